@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .bpe_automaton import op9_bpe_automaton
+from .line_dedup import op6_line_dedup
 from .quality_rules import op4_repetition_coverage
+from .sharding import op10_kd_shards
+from .token_counts import op2_token_counts
+from .url_filters import op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_token_counts,
         op4_repetition_coverage,
+        op5_url_filters,
+        op6_line_dedup,
         op9_bpe_automaton,
+        op10_kd_shards,
     )
 }
 ORACLES: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
