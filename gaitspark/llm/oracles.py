@@ -31,3 +31,21 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+TRIMMED = f"trim(lower(coalesce(text, '')), {BLANKS})"
+WORD_LIST = f"CASE WHEN {TRIMMED} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({TRIMMED}, '[\\x20\\x09-\\x0D]+') END"
+
+SQL["op8_contained_benchmarks"] = f"""
+WITH item_words AS (SELECT item_id, {WORD_LIST} AS w FROM benchmark),
+item_windows AS (SELECT item_id, w, least(len(w), 5) AS k FROM item_words WHERE len(w) > 0),
+item_shingles AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS s
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM item_windows)),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+doc_words AS (SELECT doc_id, {WORD_LIST} AS w FROM documents),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM doc_words, (SELECT DISTINCT k FROM item_shingles))),
+found AS (SELECT doc_id, item_id, count(*) AS n_found FROM doc_shingles JOIN item_shingles USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_found FROM found JOIN sizes USING (item_id) WHERE 100 * n_found >= 80 * n_shingles
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .bpe_automaton import op9_bpe_automaton
+from .decontamination import op8_contained_benchmarks
 from .line_dedup import op6_line_dedup
 from .quality_rules import op4_repetition_coverage
 from .sharding import op10_kd_shards
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_repetition_coverage,
         op5_url_filters,
         op6_line_dedup,
+        op8_contained_benchmarks,
         op9_bpe_automaton,
         op10_kd_shards,
     )
