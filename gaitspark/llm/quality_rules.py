@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, arrow_map, batch, pick, table
+from .shingles import rolled
 
 #: Fixed value: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -47,17 +47,6 @@ def hash_word(word: bytes) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(word), len(word.decode("utf-8", "replace")) if not word.isascii() else len(word)
 
 
-def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all windows of n words, from the sums of hash * multiplier^position (mod 2^64, which an odd multiplier allows to shift back)."""
-    count = len(hashes) - n + 1
-    if count <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(count, np.uint64)
-    for k in range(n):
-        out = out * MULTIPLIER + hashes[k : k + count]
-    return out ^ (out >> np.uint64(29))
-
-
 def in_repeated_windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """For each word, whether it lies in a window of n words that the text holds at least twice."""
     windows = rolled(hashes, n)

@@ -10,6 +10,7 @@ from . import oracles
 from .bpe_automaton import op9_bpe_automaton
 from .decontamination import op8_contained_benchmarks
 from .line_dedup import op6_line_dedup
+from .ngram_join import op3_jaccard_components
 from .quality_rules import op4_repetition_coverage
 from .sharding import op10_kd_shards
 from .token_counts import op2_token_counts
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_token_counts,
+        op3_jaccard_components,
         op4_repetition_coverage,
         op5_url_filters,
         op6_line_dedup,
