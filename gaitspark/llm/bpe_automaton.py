@@ -5,8 +5,8 @@ that leads back to it. The gadget of merge (u, v) -> x takes the state t that ar
 to r, arcs u are led to a copy of t without that arc v, and every state with an arc u gets an arc x to r. The states that
 arcs u lead to are then the same for all sources, so `leads_to[token]` is one state per token, and a copy is kept as its
 parent state and the label that was cut. A row of the transition table says whether a state has an arc; rows are filled as texts
-need them. Exactly one path spells each prefix of a word, so encoding is one pass from left to right over the word's
-bytes; a path's labels are the ids, and decoding emits the labels' bytes.
+need them. At most one path spells each prefix of a word, so encoding follows arcs from left to right, the longest first;
+a path's labels are the ids, and decoding emits the labels' bytes.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,18 +76,13 @@ class TokenAutomaton:
             self.leads_to[u] = len(self.parent) - 1
             self.leads_to[x] = r
             self.first[x], self.last[x], self.made[x] = u, v, time
-        self.trie: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for token in self.leads_to:
-            node = 0
-            for b in self.labels[token]:
-                nxt = self.trie[node].get(b)
-                if nxt is None:
-                    nxt = self.trie[node][b] = len(self.trie)
-                    self.trie.append({})
-                    self.ends.append(-1)
-                node = nxt
-            self.ends[node] = token
+        #: byte -> (next node, label that ends there or -1)
+        self.trie: dict = {}
+        for label in self.leads_to:
+            node, spelled = self.trie, self.labels[label]
+            for b in spelled[:-1]:
+                node = node.setdefault(b, [{}, -1])[0]
+            node.setdefault(spelled[-1], [{}, -1])[1] = label
 
     def has_arc(self, before: int, label: int) -> bool:
         """Whether the state that `before` leads to has an arc `label`.
@@ -111,37 +107,50 @@ class TokenAutomaton:
             until, a = min(until, made[a]), last[a]
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-split word."""
+        """Ids of one pre-split word: the longest arc first, back where a path ends early."""
         data = word.encode()
         n = len(data)
-        trie, ends, rows, size = self.trie, self.ends, self.rows, self.size
-        into = [-1] * (n + 1)  # label of the arc by which the path comes to each position
-        for i in range(n):
-            before = into[i]
-            base = before * size
-            node, j = 0, i
-            while j < n:
-                node = trie[node].get(data[j])
-                if node is None:
-                    break
-                j += 1
-                label = ends[node]
-                if label < 0 or into[j] >= 0:
+        rows, size, labels = self.rows, self.size, self.labels
+        path: list[int] = []
+        undo: list[tuple[int, int, list[int]]] = []
+        dead: set[int] = set()  # positions from which no path comes to the end: a position is reached by one path only
+        i, before, arcs = 0, -1, self.spelled(data, 0)
+        while i < n:
+            while arcs:
+                label = arcs.pop()
+                j = i + len(labels[label])
+                if j in dead:
                     continue
                 if before >= 0:
-                    ok = rows.get(base + label)
+                    ok = rows.get(before * size + label)
                     if ok is None:
-                        if len(rows) > 2_000_000:
+                        if len(rows) > 1_000_000:
                             rows.clear()
-                        ok = rows[base + label] = self.has_arc(before, label)
+                        ok = rows[before * size + label] = self.has_arc(before, label)
                     if not ok:
                         continue
-                into[j] = label
-        out, j = [], n
-        while j:
-            out.append(into[j])
-            j -= len(self.labels[into[j]])
-        return tuple(reversed(out))
+                undo.append((i, before, arcs))
+                path.append(label)
+                i, before = j, label
+                arcs = self.spelled(data, j)
+                break
+            else:
+                dead.add(i)
+                i, before, arcs = undo.pop()
+                path.pop()
+        return tuple(path)
+
+    def spelled(self, data: bytes, at: int) -> list[int]:
+        """Labels that the bytes from `at` on begin with, the longest last."""
+        out, node = [], self.trie
+        for k in range(at, len(data)):
+            step = node.get(data[k])
+            if step is None:
+                break
+            node, label = step
+            if label >= 0:
+                out.append(label)
+        return out
 
     def encode(self, text: str, memo: Memo) -> list[int]:
         out: list[int] = []
@@ -193,7 +202,9 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 ids = b.column(1).slice(lo, 256)
-                yield batch(key=b.column(0).slice(lo, 256), ids=ids, text=pa.array([tokens.decode(x or ()) for x in ids.to_pylist()], pa.string()))
+                flat, ends = ids.flatten().to_numpy().tolist(), [0, *np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy()).tolist()]
+                texts = [tokens.decode(flat[x:y]) for x, y in zip(ends, ends[1:])]
+                yield batch(key=b.column(0).slice(lo, 256), ids=ids, text=pa.array(texts, pa.string()))
 
     slim = pick(encoded, id_col, ids_col)
     out = arrow_map(slim, run, f"key {slim.schema[0].dataType.simpleString()}, ids array<int>, text string")

@@ -45,7 +45,7 @@ def batch(**columns: pa.Array | list) -> pa.RecordBatch:
 class Memo(dict):
     """word -> value, filled on demand and emptied when full, so that a worker's memory stays bounded."""
 
-    def __init__(self, make: Callable, most: int = 300_000) -> None:
+    def __init__(self, make: Callable, most: int = 400_000) -> None:
         super().__init__()
         self.make, self.most = make, most
 
