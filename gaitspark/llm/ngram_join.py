@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_importable, materialize
 from .common import arrow_map, batch, pick, table
 from .graph import components
-from .shingles import shingle_set, word_memo
+from .shingles import shingle_sets
 
 #: Ranges of hashes whose frequencies order the shingles. The order steers the costs only, never the result.
 RANGES = 1 << 16
@@ -38,10 +38,10 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
     """How many shingles fall into each of RANGES ranges, over all documents: an array of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = word_memo(), np.zeros(RANGES, np.int64)
+        total = np.zeros(RANGES, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                sets = [shingle_set(t, size, memo) for t in b.column(0).slice(lo, 512).to_pylist()]
+                sets = shingle_sets(b.column(0).slice(lo, 512).to_pylist(), size)
                 if sets:
                     total += np.bincount((np.concatenate(sets) & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
         at = np.flatnonzero(total)
@@ -65,16 +65,15 @@ def profiles(docs: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
     common = spark.sparkContext.broadcast(frequencies(docs, size).astype(np.int32))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                sets = [shingle_set(t, size, memo) for t in part.column(1).to_pylist()]
+                sets = shingle_sets(part.column(1).to_pylist(), size)
                 first = []
                 for s in sets:
                     take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     rank = common.value[(s & np.uint64(RANGES - 1)).astype(np.int64)]
-                    first.append(s[np.lexsort((s, rank))[:take]].view(np.int64))
+                    first.append(s[np.argsort(rank, kind="stable")[:take]].view(np.int64))
                 ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
                 yield batch(
                     id=part.column(0),
@@ -90,11 +89,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, kind: str, size: int) -> DataFra
     """(rep, n, s): the whole shingle sets of the wanted classes (rep, sig)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                sets = [shingle_set(t, size, memo) for t in part.column(1).to_pylist()]
+                sets = shingle_sets(part.column(1).to_pylist(), size)
                 right = [i for i, (s, sig) in enumerate(zip(sets, part.column(2).to_pylist())) if signature(s) == sig]
                 flat = [sets[i].view(np.int64) for i in right]
                 ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)

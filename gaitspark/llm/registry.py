@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .bpe_automaton import op9_bpe_automaton
 from .decontamination import op8_contained_benchmarks
+from .importance import op7_importance_resampling
 from .line_dedup import op6_line_dedup
 from .ngram_join import op3_jaccard_components
 from .quality_rules import op4_repetition_coverage
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_repetition_coverage,
         op5_url_filters,
         op6_line_dedup,
+        op7_importance_resampling,
         op8_contained_benchmarks,
         op9_bpe_automaton,
         op10_kd_shards,

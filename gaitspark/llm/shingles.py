@@ -1,23 +1,83 @@
-"""Words and shingles of a text as 64-bit hashes."""
+"""Words and shingles of texts as 64-bit hashes, by numpy over the bytes of many texts at once."""
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
+from collections.abc import Iterator
+from functools import lru_cache
 
-from .common import Memo
+import numpy as np
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse mod 2^64
+#: Bytes that are hashed at once; a longer text is hashed alone.
+CHUNK = 1 << 20
+
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+@lru_cache(maxsize=1)
+def byte_values() -> np.ndarray:
+    return np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i for i < n, mod 2^64."""
+    return chunk_powers() if n <= CHUNK else _powers(n)
+
 
+@lru_cache(maxsize=1)
+def chunk_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK)
 
-def word_hashes(text: str | None, memo: Memo) -> np.ndarray:
-    """Hashes of the words between white space, A-Z lower-cased."""
-    words = (text or "").encode().lower().split()
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
 
-def word_memo() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MULTIPLIER
+    return h ^ (h >> np.uint64(29))
+
+
+def hashed_words(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the hashes of its words between white space, A-Z lower-cased.
+
+    A word's hash is the difference of running sums of byte value * BASE^position at its ends, shifted back to position 0.
+    """
+    out: list[np.ndarray] = []
+    for part in chunks(texts):
+        data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
+        blank = BLANK[data]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if not blank[0]:
+            edges = np.concatenate((np.zeros(1, edges.dtype), edges))
+        starts, ends = edges[0::2], edges[1::2]  # the last byte is blank, so each start has its end
+        up, down = powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte_values()[data] * up[: len(data)], out=sums[1:])
+        hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in part])[:-1])
+        out += np.split(hashes, cuts)
+    return out
+
+
+def chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for t in texts:
+        data = (t or "").encode().lower()
+        if part and size + len(data) + 1 > CHUNK:
+            yield part
+            part, size = [], 0
+        part.append(data)
+        size += len(data) + 1
+    if part:
+        yield part
 
 
 def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -31,9 +91,14 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def shingle_set(text: str | None, size: int, memo: Memo) -> np.ndarray:
-    """Sorted distinct shingles of `size` words; of fewer words, the whole sequence as one; without words, none."""
-    hashes = word_hashes(text, memo)
-    if 0 < len(hashes) < size:
-        return rolled(hashes, len(hashes)) * MULTIPLIER + np.uint64(len(hashes))
-    return np.unique(rolled(hashes, size))
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """For each text its sorted distinct shingles of `size` words; of fewer words, the whole sequence as one; without words, none."""
+    return [
+        rolled(h, len(h)) * MULTIPLIER + np.uint64(len(h)) if 0 < len(h) < size else distinct(rolled(h, size))
+        for h in hashed_words(texts)
+    ]
