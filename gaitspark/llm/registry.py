@@ -12,6 +12,7 @@ from .decontamination import op8_contained_benchmarks
 from .importance import op7_importance_resampling
 from .line_dedup import op6_line_dedup
 from .ngram_join import op3_jaccard_components
+from .passages import op1_repeated_passages
 from .quality_rules import op4_repetition_coverage
 from .sharding import op10_kd_shards
 from .token_counts import op2_token_counts
@@ -20,6 +21,7 @@ from .url_filters import op5_url_filters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_repeated_passages,
         op2_token_counts,
         op3_jaccard_components,
         op4_repetition_coverage,
