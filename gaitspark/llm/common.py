@@ -54,3 +54,13 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+#: Broadcast no more ids than this to pick rows; more are joined by shuffle.
+BROADCAST_IDS = 200_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Inner join with a table of ids (in the shared folder, so that it is counted fast): few of them are broadcast, so
+    that texts aren't shuffled; more are not."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on)

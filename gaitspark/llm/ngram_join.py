@@ -3,8 +3,9 @@
 Documents with equal shingle sets are one class. Similar classes are partitioned into groups of bounded size; for each
 shingle, the matrix tells the groups whose union holds it. A class is compared with a group only if they may overlap
 enough: they must share one of the first shingles of both (in an order from rare to common, a pair that is similar enough
-shares one among the first n - ceil(t n) + 1), their sizes must fit, and the group's whole union must hold t of the class's
-shingles. Only then is the group opened and its members are compared one by one.
+shares one among the first n - ceil(t n) + 1), a member's size and counts of shingles by hash range must leave room for the
+overlap, and the group's whole union must hold t of the class's shingles. Only then is the group opened and such members
+are compared one by one.
 
 What is wanted are the components of the links, so groups are linked from within first: members of a family are compared
 with one leader each, and classes that are already connected aren't compared again. A family of many near copies takes
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable, materialize
-from .common import arrow_map, batch, pick, table
+from .common import arrow_map, batch, pick, table, with_ids
 from .graph import components
 from .shingles import shingle_sets
 
 #: Ranges of hashes whose frequencies order the shingles. The order steers the costs only, never the result.
 RANGES = 1 << 16
+#: Ranges of hashes in which a set's shingles are counted: the sum of the smaller counts bounds an overlap from above.
+BANDS = 128
 #: Classes in a group, about.
 CAPACITY = 32
 #: Rounds in which families are linked to leaders before groups are searched.
@@ -59,7 +62,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
-    """(id, n, sig, prefix) for each row: the set's size and digest, and its first shingles from rare to common."""
+    """(id, n, sig, prefix, bands) for each row: the set's size and digest, its first shingles from rare to common, and its counts by hash range."""
     spark = docs.sparkSession
     ensure_importable(spark)
     common = spark.sparkContext.broadcast(frequencies(docs, size).astype(np.int32))
@@ -69,8 +72,9 @@ def profiles(docs: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 sets = shingle_sets(part.column(1).to_pylist(), size)
-                first = []
-                for s in sets:
+                first, bands = [], np.zeros((len(sets), BANDS), np.int32)
+                for i, s in enumerate(sets):
+                    bands[i] = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BANDS)
                     take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     rank = common.value[(s & np.uint64(RANGES - 1)).astype(np.int64)]
                     first.append(s[np.argsort(rank, kind="stable")[:take]].view(np.int64))
@@ -79,14 +83,16 @@ def profiles(docs: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
                     id=part.column(0),
                     n=pa.array([len(s) for s in sets], pa.int64()),
                     sig=pa.array([signature(s) for s in sets], pa.binary()),
-                    prefix=pa.ListArray.from_arrays(ends, np.concatenate(first) if first else np.array([], np.int64)),
+                    prefix=pa.ListArray.from_arrays(ends, np.concatenate(first)),
+                    bands=pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, bands.reshape(-1)),
                 )
 
-    return materialize(arrow_map(docs, profile, f"id {kind}, n long, sig binary, prefix array<long>"), "profiles")
+    return materialize(arrow_map(docs, profile, f"id {kind}, n long, sig binary, prefix array<long>, bands array<int>"), "profiles")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, kind: str, size: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(rep, n, s): the whole shingle sets of the wanted classes (rep, sig)."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,7 +104,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, kind: str, size: int) -> DataFra
                 ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
                 yield batch(rep=part.column(0).take(pa.array(right, pa.int32())), n=pa.array(list(map(len, flat)), pa.int64()), s=pa.ListArray.from_arrays(ends, np.concatenate(flat) if flat else np.array([], np.int64)))
 
-    chosen = docs.join(wanted.select(F.col("rep").alias("id"), "sig"), "id").select("id", "text", "sig")
+    wanted = materialize(wanted.select(F.col("rep").alias("id"), "sig").distinct(), "wanted-sets")
+    chosen = with_ids(docs, wanted, "id").select("id", "text", "sig")
     return materialize(arrow_map(chosen, build, f"rep {kind}, n long, s array<long>"), "shingle-sets")
 
 
@@ -107,12 +114,28 @@ def fits(a: str, b: str, percent: int):
     return F.col(a) * 100 >= F.col(b) * percent
 
 
+def reaches(shared, a: str, b: str, percent: int):
+    """Whether an overlap is enough for sets of these sizes."""
+    return shared * 100 >= percent * (F.col(a) + F.col(b) - shared)
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (x, y, ...) whose sizes and counts by hash range leave room for the overlap."""
+    for k in ("x", "y"):
+        pairs = pairs.join(classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bands").alias(f"b_{k}")), k)
+    most = F.aggregate(F.zip_with("b_x", "b_y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b).cast("long")
+    return pairs.where(fits("n_x", "n_y", percent) & fits("n_y", "n_x", percent)).where(reaches(most, "n_x", "n_y", percent)).drop("n_x", "n_y", "b_x", "b_y")
+
+
+def with_sig(reps: DataFrame, classes: DataFrame) -> DataFrame:
+    return reps.toDF("rep").distinct().join(classes.select("rep", "sig"), "rep")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (x, y) whose sets are similar enough."""
     left, right = (sets.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("s").alias(f"s_{k}")) for k in ("x", "y"))
-    shared = F.size(F.array_intersect("s_x", "s_y"))
-    near = pairs.join(left, "x").join(right, "y").where(fits("n_x", "n_y", percent) & fits("n_y", "n_x", percent)).withColumn("shared", shared)
-    return near.where(F.col("shared") * 100 >= percent * (F.col("n_x") + F.col("n_y") - F.col("shared"))).select("x", "y")
+    near = pairs.join(left, "x").join(right, "y").withColumn("shared", F.size(F.array_intersect("s_x", "s_y")).cast("long"))
+    return near.where(reaches(F.col("shared"), "n_x", "n_y", percent)).select("x", "y")
 
 
 def bridging(tokens: DataFrame, comp: DataFrame) -> DataFrame:
@@ -130,32 +153,34 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(comp.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left").select("rep", F.coalesce("label", "comp").alias("comp")), "components")
 
 
-def leader_links(open_tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def leader_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Each class is compared with the leader of its most common open shingle: the class with the most open shingles there."""
     own = open_tokens.groupBy("rep").agg(F.max(F.struct("df", "token")).alias("key"), F.count("*").alias("n_open"), F.first("comp").alias("comp")).select("rep", "comp", "n_open", "key.token")
     leaders = own.groupBy("token").agg(F.max(F.struct("n_open", "rep", "comp")).alias("top")).select("token", F.col("top.rep").alias("y"), F.col("top.comp").alias("c_y"))
-    return similar(own.join(leaders, "token").where("comp <> c_y").select(F.col("rep").alias("x"), "y"), sets, percent)
+    pairs = own.join(leaders, "token").where("comp <> c_y").select(F.col("rep").alias("x"), "y")
+    pairs = materialize(possible(pairs, classes, percent), "leader-pairs")
+    sets = sets_of(docs, with_sig(pairs.select("x").union(pairs.select("y")), classes), size)
+    return similar(pairs, sets, percent)
 
 
-def group_links(open_tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links between components, found through the token-group matrix; one row a linked pair that was opened."""
+def group_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """All links between components, found through the token-group matrix; one row for each linked pair that was opened."""
     members = open_tokens.select("rep", "comp", "n").distinct()
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
     salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CAPACITY))
     members = materialize(members.join(sizes, "comp").select("rep", "comp", "n", F.xxhash64("comp", salt).alias("grp")), "groups")
     placed = open_tokens.select("token", "rep").join(members, "rep")
-    matrix = placed.groupBy("token", "grp").agg(F.first("comp").alias("g_comp"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
-    matrix = matrix.withColumnRenamed("grp", "g")
+    matrix = placed.groupBy("token", F.col("grp").alias("g")).agg(F.first("comp").alias("g_comp"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
     maybe = placed.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & fits("n", "g_lo", percent) & fits("g_hi", "n", percent))
-    maybe = materialize(maybe.select(F.col("rep").alias("x"), "g").distinct(), "query-groups")
-    if maybe.isEmpty():
-        return maybe.select("x", F.col("x").alias("y"))
-    in_groups = members.join(maybe.select(F.col("g").alias("grp")).distinct(), "grp", "left_semi").select("rep", "grp")
-    unions = sets.select("rep", "s").join(in_groups, "rep").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
-    bound = maybe.join(unions.select(F.col("grp").alias("g"), "u"), "g").join(sets.select(F.col("rep").alias("x"), "n", "s"), "x")
+    maybe = maybe.select(F.col("rep").alias("x"), "g").distinct()
+    in_groups = members.select(F.col("grp").alias("g"), F.col("rep").alias("y"))
+    pairs = materialize(possible(maybe.join(in_groups, "g"), classes, percent), "group-pairs")
+    opening = in_groups.join(pairs.select("g").distinct(), "g", "left_semi")
+    sets = sets_of(docs, with_sig(pairs.select("x").union(opening.select("y")), classes), size)
+    unions = opening.join(sets.select(F.col("rep").alias("y"), "s"), "y").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
+    bound = pairs.select("x", "g").distinct().join(unions, "g").join(sets.select(F.col("rep").alias("x"), "n", "s"), "x")
     opened = bound.where(F.size(F.array_intersect("s", "u")) * 100 >= F.col("n") * percent).select("x", "g")
-    pairs = opened.join(in_groups.select(F.col("grp").alias("g"), F.col("rep").alias("y")), "g").select("x", "y")
-    return similar(pairs.distinct(), sets, percent)
+    return similar(pairs.join(opened, ["x", "g"]).select("x", "y").distinct(), sets, percent)
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,16 +194,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     kind = dict(docs.dtypes)[id_col]
     slim = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = profiles(slim, kind, size, percent)
-    classes = materialize(seen.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    classes = materialize(seen.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bands").alias("bands")), "classes")
     tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     tokens = materialize(tokens.join(shared, "token"), "tokens")
     reps = tokens.select("rep").distinct()
     comp = materialize(reps.select("rep", F.col("rep").alias("comp")), "components")
-    sets = sets_of(slim, classes.select("rep", "sig").join(reps, "rep"), kind, size)
     for step in range(LEADER_ROUNDS + 1):
         open_tokens = materialize(bridging(tokens, comp), "open-tokens")
-        links = materialize((leader_links if step < LEADER_ROUNDS else group_links)(open_tokens, sets, percent), "similar")
+        links = materialize((leader_links if step < LEADER_ROUNDS else group_links)(open_tokens, slim, classes, size, percent), "similar")
         if not links.isEmpty():
             comp = merged(comp, links)
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
