@@ -3,8 +3,9 @@
 Documents with equal shingle sets are one class. Similar classes are partitioned into groups of bounded size; for each
 shingle, the matrix tells the groups whose union holds it. A class is compared with a group only if they may overlap
 enough: they must share one of the first shingles of both (in an order from rare to common, a pair that is similar enough
-shares one among the first n - ceil(t n) + 1), a member's size and counts of shingles by hash range must leave room for the
-overlap, and the group's whole union must hold t of the class's shingles. Only then is the group opened and such members
+shares one among the first n - ceil(t n) + 1), what follows the first shared shingle on either side, a member's size and its
+counts of shingles by hash range must leave room for the overlap, and the group's whole union must hold t of the class's
+shingles. Only then is the group opened and such members
 are compared one by one.
 
 What is wanted are the components of the links, so groups are linked from within first: members of a family are compared
@@ -119,6 +120,11 @@ def reaches(shared, a: str, b: str, percent: int):
     return shared * 100 >= percent * (F.col(a) + F.col(b) - shared)
 
 
+def leaves_room(room, a, b, percent: int):
+    """Whether sets of these sizes can be similar enough with an overlap of at most `room`."""
+    return room * (100 + percent) >= percent * (a + b)
+
+
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (x, y, ...) whose sizes and counts by hash range leave room for the overlap."""
     for k in ("x", "y"):
@@ -165,17 +171,20 @@ def leader_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, si
 
 def group_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """All links between components, found through the token-group matrix; one row for each linked pair that was opened."""
-    members = open_tokens.select("rep", "comp", "n").distinct()
+    members = open_tokens.groupBy("rep", "comp", "n").agg(F.max("room").alias("most"))
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
     salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CAPACITY))
-    members = materialize(members.join(sizes, "comp").select("rep", "comp", "n", F.xxhash64("comp", salt).alias("grp")), "groups")
-    placed = open_tokens.select("token", "rep").join(members, "rep")
-    matrix = placed.groupBy("token", F.col("grp").alias("g")).agg(F.first("comp").alias("g_comp"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
-    maybe = placed.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & fits("n", "g_lo", percent) & fits("g_hi", "n", percent))
-    maybe = maybe.select(F.col("rep").alias("x"), "g").distinct()
-    in_groups = members.select(F.col("grp").alias("g"), F.col("rep").alias("y"))
-    pairs = materialize(possible(maybe.join(in_groups, "g"), classes, percent), "group-pairs")
-    opening = in_groups.join(pairs.select("g").distinct(), "g", "left_semi")
+    members = materialize(members.join(sizes, "comp").select("rep", "comp", "n", "most", F.xxhash64("comp", salt).alias("grp")), "groups")
+    placed = open_tokens.select("token", "rep", "room").join(members.drop("most"), "rep")
+    matrix = placed.groupBy("token", F.col("grp").alias("g")).agg(F.first("comp").alias("g_comp"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.max("room").alias("g_room"))
+    # of a similar pair, all that is shared follows its first shared shingle: some token of the pair passes this
+    first = leaves_room(F.least("room", "g_room"), F.col("n"), F.col("g_lo"), percent)
+    maybe = placed.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & fits("n", "g_lo", percent) & fits("g_hi", "n", percent) & first)
+    maybe = maybe.groupBy(F.col("rep").alias("x"), "g").agg(F.first("n").alias("size_x"), F.max("room").alias("room_x"))
+    in_groups = members.select(F.col("grp").alias("g"), F.col("rep").alias("y"), F.col("n").alias("size_y"), F.col("most").alias("room_y"))
+    near = fits("size_x", "size_y", percent) & fits("size_y", "size_x", percent) & leaves_room(F.least("room_x", "room_y"), F.col("size_x"), F.col("size_y"), percent)
+    pairs = materialize(possible(maybe.join(in_groups, "g").where(near).select("x", "y", "g"), classes, percent), "group-pairs")
+    opening = in_groups.select("g", "y").join(pairs.select("g").distinct(), "g", "left_semi")
     sets = sets_of(docs, with_sig(pairs.select("x").union(opening.select("y")), classes), size)
     unions = opening.join(sets.select(F.col("rep").alias("y"), "s"), "y").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
     bound = pairs.select("x", "g").distinct().join(unions, "g").join(sets.select(F.col("rep").alias("x"), "n", "s"), "x")
@@ -195,7 +204,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     slim = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = profiles(slim, kind, size, percent)
     classes = materialize(seen.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bands").alias("bands")), "classes")
-    tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
+    tokens = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("rep", "n", "token", (F.col("n") - F.col("pos")).alias("room"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     tokens = materialize(tokens.join(shared, "token"), "tokens")
     reps = tokens.select("rep").distinct()
