@@ -61,14 +61,14 @@ def speech_frames(audio: DataFrame, keys: Keys, frame_ms: float, threshold_dbfs:
     """(keys, frame, start_time, end_time, rms, dbfs, is_speech) of waveforms: frames of frame_ms, the last one padded
     with silence. Frames are slices of the sample array, so that samples are never exploded to rows."""
     size = F.greatest(F.lit(1), F.bround(F.lit(frame_ms / 1000) * F.col(rate)).cast("int"))
-    n = F.ceil(F.size(samples) / F.col("_size")).cast("int")
-    frames = audio.withColumn("_size", size).where(F.size(samples) > 0).withColumn("frame", F.explode(F.sequence(F.lit(0), n - 1)))
-    part = F.slice(samples, F.col("frame") * F.col("_size") + 1, F.col("_size"))
-    power = F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x) / F.col("_size"))
-    out = frames.withColumn("rms", power)
-    length = F.col("_size") / F.col(rate)
-    return out.select(
-        *keys, "frame", (F.col("frame") * length).alias("start_time"), F.least((F.col("frame") + 1) * length, F.size(samples) / F.col(rate)).alias("end_time"),
+    sized = audio.where(F.size(samples) > 0).select(*keys, samples, F.col(rate).alias("_rate"), size.alias("_size"), F.size(samples).alias("_total"))
+    n = F.ceil(F.col("_total") / F.col("_size")).cast("int")
+    power = lambda f: F.sqrt(F.aggregate(F.slice(samples, f * F.col("_size") + 1, F.col("_size")), F.lit(0.0), lambda a, x: a + x * x) / F.col("_size"))
+    found = F.transform(F.sequence(F.lit(0), n - 1), lambda f: F.struct(f.alias("frame"), power(f).alias("rms")))
+    frames = sized.select(*keys, "_rate", "_size", "_total", F.explode(found).alias("f")).select("*", "f.*")
+    length = F.col("_size") / F.col("_rate")
+    return frames.select(
+        *keys, "frame", (F.col("frame") * length).alias("start_time"), F.least((F.col("frame") + 1) * length, F.col("_total") / F.col("_rate")).alias("end_time"),
         length.alias("frame_seconds"), "rms", dbfs(F.col("rms")).alias("dbfs"), (F.col("rms") >= from_dbfs(threshold_dbfs)).cast("int").alias("is_speech"),
     )
 
