@@ -94,6 +94,8 @@ def kd_shards(
             *[F.stddev_pop(F.col(c).cast("double")).alias(f"sd_{c}") for c in names],
         ).collect()
         cuts = []
+        for n in set(nodes) - {s["node"] for s in stats}:
+            open_nodes[n] = 1  # without rows there is nothing to cut
         for s in stats:
             k = open_nodes[s["node"]]
             # the widest dimension: the largest spread in units of the node's own range, so that scales don't matter
