@@ -60,7 +60,7 @@ def test_jaccard(spark, docs, size, percent):
         for _ in range(rng.choice([0, 1, 1, 1, 2, 2, 3])):
             w[rng.randrange(98)] = f"u{rng.randrange(10**6)}"
         near.append((2_000_000 + k, " ".join(w)))
-    df = spark.createDataFrame(docs + near, "doc_id long, text string").repartition(6).withColumns({"n": F.lit("x"), "rep": F.lit(1), "TEXT": F.lit(2)})
+    df = spark.createDataFrame(docs + near, "doc_id long, text string").repartition(6).select("*", F.lit("x").alias("n"), F.lit(1).alias("rep"), F.lit(2).alias("TEXT"))
     got = {r[0]: (r[1], r[2]) for r in jaccard_components(df, size, percent).collect()}
     assert got == brute.components(docs + near, size, percent)
 
