@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import SPACE, arrow_map, batch, pick, table
+from .common import SPACE, arrow_map, batch, pick, table, with_ids
 
 
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -55,8 +55,9 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, i
                 yield batch(id=part.column(0).take(pa.array(at, pa.int32())), line=pa.array(keys, pa.binary()))
 
     lines = materialize(arrow_map(slim.where(F.col(id_col).isNotNull()), explode, f"id {kind}, line binary"), "lines")
-    common = lines.groupBy("line").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = lines.join(common, "line").where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("line").alias("lost"))
+    counted = lines.groupBy("line").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    common = materialize(counted, "common-lines")  # a table, so that the join below may split a line that most documents hold
+    lost = with_ids(lines, common, "line").where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("line").alias("lost"))
 
     def rejoin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
