@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import pick, table
 
 #: The rules of the contract.
@@ -68,7 +69,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     best = fits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("r_host") + F.length("r_path"), F.col("verdict") == "block", F.concat("r_host", "r_path"), "verdict")).alias("best")
     )
-    out = urls.join(best, ["host", "path"], "left")
+    # a table, so that the join may split the rows of one url (or of none) that most pages have
+    out = urls.join(materialize(best, "url-verdicts"), ["host", "path"], "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.col3").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
