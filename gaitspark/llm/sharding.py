@@ -80,7 +80,7 @@ def kd_shards(
     names = [f"d_{i}" for i in range(len(dims))]
     # copies of a text take the metadata of the one with the smallest id, so that they lie at one point
     point = rows.groupBy("t_text").agg(F.min(F.struct("t_id", *names)).alias("at")).select("t_text", *[F.col(f"at.{c}").alias(c) for c in names])
-    rows = materialize(rows.drop(*names).join(point, "t_text"), "shard-rows")
+    rows = materialize(rows.drop(*names).join(materialize(point, "points"), "t_text"), "shard-rows")  # tables, so that the join may split a text's rows
     total = rows.agg(F.sum("size")).first()[0] or 0
     leaves = shards or max(1, math.ceil(total / target_bytes))
     share = total / leaves
