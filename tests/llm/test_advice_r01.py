@@ -20,3 +20,24 @@ def test_second_passage_after_a_long_one(spark):
     a = long + fresh(rng, 120) + second
     b = long + fresh(rng, 120) + second[:30] + ["new"] + second[30:60] + ["new"] + second[60:]
     assert found_passages(spark, [(1, a), (2, b)]) == {(2, 1, 0, 1000), (2, 1, 1120, 1212)}
+
+
+def test_passage_whose_parts_have_other_first_holders(spark):
+    rng = random.Random(2)
+    docs, want = [], set()
+    for i in range(0, 400, 4):
+        # parts that overlap, are next to each other, or cover nearly all
+        shared, (x, y) = fresh(rng, 60), [(30, 30), (40, 20), (45, 12)][i // 4 % 3]
+        docs += [(i, fresh(rng, 40) + shared[:x] + fresh(rng, 40)), (i + 1, fresh(rng, 50) + shared[y:] + fresh(rng, 40))]
+        docs += [(i + 2, fresh(rng, 70) + shared + fresh(rng, 20)), (i + 3, fresh(rng, 30) + shared + fresh(rng, 60))]
+        want.add((i + 3, i + 2, 30, 90))
+    got = found_passages(spark, docs)
+    assert want <= {(d, s, lo, hi) for d, s, lo, hi in got if hi - lo == 60} and {d % 4 for d, *_ in got} == {3}
+
+
+def test_passage_counts_by_its_length(spark):
+    rng = random.Random(3)
+    shared = fresh(rng, 56)
+    other = [w if k not in (10, 18, 26, 34, 42, 50, 51) else "zz" for k, w in enumerate(shared)]  # 49 equal words of 56
+    got = found_passages(spark, [(1, fresh(rng, 40) + shared + fresh(rng, 40)), (2, fresh(rng, 40) + other + fresh(rng, 40))])
+    assert [(d, s) for d, s, *_ in got] == [(2, 1)]
