@@ -7,7 +7,7 @@ hold goes from all of them but the one with the largest id. What is left is join
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +40,15 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, i
     that a line of a third of all documents is spread) and joined back; the second joins each document with the digests
     that it loses, at most one for each of its own lines.
     """
+    out = rejoined(pick(docs, id_col, text_col), min_chars, min_docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped")
+
+
+def rejoined(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str, carried: Sequence[str] = ()) -> DataFrame:
+    """id, text, n_lines, n_dropped and `row`, a struct of the carried columns, of each row of docs."""
     slim = pick(docs, id_col, text_col)
     kind = slim.schema[0].dataType.simpleString()
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("boolean")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,11 +79,12 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, i
                         own = [x for x, k in zip(own, line_keys(t, min_chars)) if k not in gone]
                     n_dropped.append(n_lines[-1] - len(own))
                     texts.append("\n".join(own))
-                yield batch(id=part.column(0), text=pa.array(texts, pa.string()), n_lines=pa.array(n_lines, pa.int64()), n_dropped=pa.array(n_dropped, pa.int64()))
+                yield batch(id=part.column(0), row=part.column(3), text=pa.array(texts, pa.string()), n_lines=pa.array(n_lines, pa.int64()), n_dropped=pa.array(n_dropped, pa.int64()))
 
-    joined = slim.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lost, "id", "left")
-    out = arrow_map(joined, rejoin, f"id {kind}, text string, n_lines long, n_dropped long")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped")
+    whole = pick(docs, id_col, text_col, *carried)
+    whole = whole.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    joined = whole.join(lost, "id", "left").select("id", "text", "lost", "row")
+    return arrow_map(joined, rejoin, f"id {kind}, row {whole.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +93,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their common lines; n_chars follows the text, documents left without words go."""
-    out = drop_common_lines(docs)
-    rest = docs.drop("text", "n_chars")
-    return (
-        rest.join(out.select("doc_id", "text"), "doc_id")
-        .where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-        .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-        .select(*docs.columns)
-    )
+    """All rows, without their common lines; n_chars follows the text, rows left without words go. The other columns are
+    carried through, so that null and repeated ids keep their own rows."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = rejoined(docs, 20, 3, "doc_id", "text", carried)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    made = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": n_chars} | {c: F.col(f"row.`{c}`") for c in carried}
+    return out.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*[made[c].alias(c) for c in docs.columns])

@@ -225,6 +225,7 @@ def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Shingles of five words, 0.8 or more."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id. Shingles of five words, 0.8 or more.
+    Rows with a null id are in no group and stay."""
+    gone = jaccard_components(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least")).where("not least")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

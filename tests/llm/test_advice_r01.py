@@ -3,6 +3,8 @@
 import random
 
 from gaitspark.llm import passages
+from gaitspark.llm.line_dedup import line_stage
+from gaitspark.llm.ngram_join import jaccard_stage
 
 
 def found_passages(spark, docs):
@@ -41,3 +43,20 @@ def test_passage_counts_by_its_length(spark):
     other = [w if k not in (10, 18, 26, 34, 42, 50, 51) else "zz" for k, w in enumerate(shared)]  # 49 equal words of 56
     got = found_passages(spark, [(1, fresh(rng, 40) + shared + fresh(rng, 40)), (2, fresh(rng, 40) + other + fresh(rng, 40))])
     assert [(d, s) for d, s, *_ in got] == [(2, 1)]
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    line = "a line that most of the documents hold"
+    rows = [(1, f"first text of one\n{line}"), (1, f"second text of one\n{line}"), (1, f"third text of one\n{line}"), (2, f"text of two\n{line}"), (9, f"text of nine\n{line}"), (None, f"no id\n{line}"), (None, "no id either")]
+    df = spark.createDataFrame([(d, t, f"source {k}", len(t)) for k, (d, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    got = line_stage(spark, df, "")
+    assert got.columns == df.columns
+    want = [(d, t if d in (None, 9) else t.split("\n")[0], f"source {k}") for k, (d, t) in enumerate(rows)]
+    assert sorted(map(str, ((r.doc_id, r.text, r.source) for r in got.collect()))) == sorted(map(str, want))
+    assert all(r.n_chars == len(r.text) for r in got.collect())
+    text = " ".join(fresh(rng, 40))
+    near = spark.createDataFrame([(3, text), (3, " ".join(fresh(rng, 40))), (5, text), (None, text), (None, "alone")], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard_stage(spark, near, "").collect()]
+    assert sorted(str(d) for d, _ in kept) == ["3", "3", "None", "None"]
+    assert jaccard_stage(spark, near, "").columns == near.columns
