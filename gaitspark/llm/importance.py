@@ -1,7 +1,8 @@
 """Operator 7: quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, of target text and of raw text, give each document the logarithm of its
-importance weight: the sum over its n-grams of log p_target - log p_raw. Documents are sampled without replacement in
+importance weight: the sum over its n-grams of log p_target - log p_raw, scaled to a passage of fixed length (see
+Resampling), so that the weight of a long document isn't extreme for its length alone. Documents are sampled without replacement in
 proportion to their weights by Gumbel top-k: the k largest of weight + Gumbel noise.
 """
 
@@ -132,7 +133,8 @@ def resample(
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample of documents like those labelled good and not toxic, as large as the labels' share of good ones."""
-    labels = table(spark, sf_dir, "labels")
-    share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 1.0
-    return resample(table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), share).withColumn("kept", F.lit(True))
+    """Sample of documents like those labelled good and not toxic, as large as the labels' share of these; without labels,
+    all documents."""
+    labels, wanted = table(spark, sf_dir, "labels"), (F.col("quality") == 1) & (F.col("toxic") == 0)
+    share = labels.agg(F.avg(wanted.cast("double"))).first()[0]
+    return resample(table(spark, sf_dir, "documents"), labels.where(wanted), 1.0 if share is None else share).withColumn("kept", F.lit(True))

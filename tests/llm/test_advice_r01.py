@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from gaitspark.llm import passages
+from gaitspark.llm.importance import op7_importance_resampling
 from gaitspark.llm.line_dedup import line_stage
 from gaitspark.llm.ngram_join import jaccard_stage
 
@@ -60,3 +63,11 @@ def test_stages_with_null_and_repeated_ids(spark):
     kept = [(r.doc_id, r.text) for r in jaccard_stage(spark, near, "").collect()]
     assert sorted(str(d) for d, _ in kept) == ["3", "3", "None", "None"]
     assert jaccard_stage(spark, near, "").columns == near.columns
+
+
+@pytest.mark.parametrize("labels, kept", [([(0, 1, 0), (1, 1, 1), (2, 0, 0), (3, 0, 1)], 10), ([(0, 0, 0), (1, 0, 1)], 0), ([(0, 1, 1)], 0), ([], 40)])
+def test_sample_is_the_share_of_the_target(spark, tmp_path, labels, kept):
+    rng = random.Random(5)
+    spark.createDataFrame([(i, " ".join(fresh(rng, 30))) for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert op7_importance_resampling(spark, str(tmp_path)).count() == kept
