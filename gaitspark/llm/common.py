@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_importable
 
@@ -28,12 +31,34 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package importable on the workers."""
-    ensure_importable(df.sparkSession)
+#: Bytes of an Arrow batch that Spark sends to a Python worker, where the session has no other bound than Spark's default.
+BATCH_BYTES = 8 << 20
+BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with this package importable on the workers, and batches bounded by bytes as well as by rows."""
+    spark = df.sparkSession
+    ensure_importable(spark)
+    if spark.conf.get(BYTES_CONF) == "67108864b":  # Spark's default
+        spark.conf.set(BYTES_CONF, BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 
+def slices(batches: Iterable[pa.RecordBatch], text_at: int, most_bytes: int = 1 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about most_bytes of the column text_at, or one row, so that memory doesn't depend on Spark's batches."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lengths = pc.binary_length(b.column(text_at)) if not pa.types.is_list(b.schema.field(text_at).type) else pc.multiply(pc.list_value_length(b.column(text_at)), 8)
+        ahead, lo = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while lo < b.num_rows:
+            used = int(ahead[lo - 1]) if lo else 0
+            hi = max(lo + 1, min(int(np.searchsorted(ahead, used + most_bytes, side="right")), lo + most_rows))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def utf8_size(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 
