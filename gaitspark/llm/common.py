@@ -67,20 +67,6 @@ def batch(**columns: pa.Array | list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
-class Memo(dict):
-    """word -> value, filled on demand and emptied when full, so that a worker's memory stays bounded."""
-
-    def __init__(self, make: Callable, most: int = 400_000) -> None:
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 #: Broadcast no more ids than this to pick rows; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 

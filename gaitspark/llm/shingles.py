@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -45,32 +46,50 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hashed_words(texts: list[str | None]) -> list[np.ndarray]:
-    """For each text the hashes of its words between white space, A-Z lower-cased.
+@dataclass
+class Words:
+    """The words of some texts: their bytes, each word's start, end and hash, and the number of words of each text."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+    #: where each text's bytes begin, and one past the last text's end
+    at: np.ndarray
+
+
+def words_of(part: list[bytes]) -> Words:
+    """Words lie between white space. A word's hash is the difference of running sums of byte value * BASE^position at its
+    ends, shifted back to position 0."""
+    data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
+    blank = BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edges = np.concatenate((np.zeros(1, edges.dtype), edges))
+    starts, ends = edges[0::2], edges[1::2]  # the last byte is blank, so each start has its end
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(byte_values()[data] * up[: len(data)], out=sums[1:])
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+    at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in part])))
+    return Words(data, starts, ends, hashes, np.diff(np.searchsorted(starts, at)), at)
+
 
-    A word's hash is the difference of running sums of byte value * BASE^position at its ends, shifted back to position 0.
-    """
+def hashed_words(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the hashes of its words between white space, A-Z lower-cased."""
     out: list[np.ndarray] = []
     for part in chunks(texts):
-        data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
-        blank = BLANK[data]
-        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        if not blank[0]:
-            edges = np.concatenate((np.zeros(1, edges.dtype), edges))
-        starts, ends = edges[0::2], edges[1::2]  # the last byte is blank, so each start has its end
-        up, down = powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_values()[data] * up[: len(data)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in part])[:-1])
-        out += np.split(hashes, cuts)
+        found = words_of(part)
+        out += np.split(found.hashes, np.cumsum(found.counts)[:-1])
     return out
 
 
-def chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
+def chunks(texts: list[str | None], lower: bool = True) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
-        data = (t or "").encode().lower()
+        data = (t or "").encode()
+        data = data.lower() if lower else data
         if part and size + len(data) + 1 > CHUNK:
             yield part
             part, size = [], 0
