@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gaitspark.llm.bpe_automaton import decode, digests, encode
+from gaitspark.llm.bpe_automaton import bpe_stage
 from gaitspark.llm.common import table
 from gaitspark.llm.decontamination import decontamination_stage
 from gaitspark.llm.line_dedup import line_stage
@@ -15,15 +14,6 @@ from gaitspark.llm.ngram_join import jaccard_stage
 from gaitspark.llm.quality_rules import quality_stage
 from gaitspark.session import materialize
 
-VOCABULARY = "byte_bpe_50k.json"
-
-
-def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left."""
-    path = public_tokenizers.path(VOCABULARY)
-    return digests(decode(encode(docs, path), path))
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
@@ -32,7 +22,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_encoding", bpe_stage),
 ]
 
-#: SQL can't express the automaton, nor the quality rules' rolling hashes; tests/llm/test_pipeline.py has a brute-force version.
+#: SQL can't express BPE; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL: str | None = None
 
 
