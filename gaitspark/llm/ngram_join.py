@@ -1,26 +1,30 @@
 """Operator 3: n-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets are one class. Similar classes are partitioned into groups of bounded size; for each
-shingle, the matrix tells the groups whose union holds it. A class is compared with a group only if they may overlap
-enough: they must share one of the first shingles of both (in an order from rare to common, a pair that is similar enough
-shares one among the first n - ceil(t n) + 1), what follows the first shared shingle on either side, a member's size and its
-counts of shingles by hash range must leave room for the overlap, and the group's whole union must hold t of the class's
-shingles. Only then is the group opened and such members
-are compared one by one.
-
-What is wanted are the components of the links, so groups are linked from within first: members of a family are compared
-with one leader each, and classes that are already connected aren't compared again. A family of many near copies takes
-one comparison a member, not one a pair, and no link between components is lost.
+Documents with equal shingle sets are one class. In each round, classes that may still be linked are partitioned into
+groups of bounded size: similar classes share their most common open shingle, which names their family, and a family
+with many classes is split into several groups. The token-group matrix has a row for each shingle of a group's union
+(of the classes' first shingles, in an order from rare to common: a pair that is similar enough shares one among the
+first n - ceil(t n) + 1) with the sizes that the group has there and the room that is left after the shingle.
+
+A query class meets a group through the matrix only. Its overlap with the group's union is then bounded: first by the
+sizes, the room and the group's largest counts of shingles by hash range, then by the union of the members' whole sets.
+Only groups that qualify are opened, and only then their members are compared with the query one by one.
+
+What is wanted are the components of the links. So the first rounds have one query a family, its leader, which meets the
+groups of its family: many near copies take one comparison each, not one a pair. In the last round every class that has
+an open shingle is a query, and classes that are already connected aren't compared again: no link between components is
+lost, whatever the first rounds found.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable, materialize
@@ -32,9 +36,9 @@ from .shingles import shingle_sets
 RANGES = 1 << 16
 #: Ranges of hashes in which a set's shingles are counted: the sum of the smaller counts bounds an overlap from above.
 BANDS = 128
-#: Classes in a group, about.
-CAPACITY = 32
-#: Rounds in which families are linked to leaders before groups are searched.
+#: Classes in a group, and shingles of all its classes, about. They steer the costs only, too.
+CAPACITY, CAPACITY_SHINGLES = 32, 1 << 16
+#: Rounds in which only leaders are queries.
 LEADER_ROUNDS = 2
 
 
@@ -125,12 +129,16 @@ def leaves_room(room, a, b, percent: int):
     return room * (100 + percent) >= percent * (a + b)
 
 
+def common_room(a: Column, b: Column) -> Column:
+    """The sum of the smaller counts by hash range: no overlap is larger."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y).cast("long")
+
+
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (x, y, ...) whose sizes and counts by hash range leave room for the overlap."""
+    """Those of the pairs (x, y) whose sizes and counts by hash range leave room for the overlap."""
     for k in ("x", "y"):
         pairs = pairs.join(classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bands").alias(f"b_{k}")), k)
-    most = F.aggregate(F.zip_with("b_x", "b_y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b).cast("long")
-    return pairs.where(fits("n_x", "n_y", percent) & fits("n_y", "n_x", percent)).where(reaches(most, "n_x", "n_y", percent)).drop("n_x", "n_y", "b_x", "b_y")
+    return pairs.where(reaches(common_room(F.col("b_x"), F.col("b_y")), "n_x", "n_y", percent)).select("x", "y")
 
 
 def with_sig(reps: DataFrame, classes: DataFrame) -> DataFrame:
@@ -148,7 +156,8 @@ def bridging(tokens: DataFrame, comp: DataFrame) -> DataFrame:
     """tokens with their classes' components, without those whose classes are all in one component."""
     placed = tokens.join(comp, "rep")
     several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where(F.col("lo") != F.col("hi"))
-    return placed.join(several.select("token", "df"), "token")
+    # a table, so that the join may split a shingle that most classes share
+    return placed.join(materialize(several.select("token", "df"), "bridges"), "token")
 
 
 def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -159,39 +168,68 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(comp.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left").select("rep", F.coalesce("label", "comp").alias("comp")), "components")
 
 
-def leader_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Each class is compared with the leader of its most common open shingle: the class with the most open shingles there."""
-    own = open_tokens.groupBy("rep").agg(F.max(F.struct("df", "token")).alias("key"), F.count("*").alias("n_open"), F.first("comp").alias("comp")).select("rep", "comp", "n_open", "key.token")
-    leaders = own.groupBy("token").agg(F.max(F.struct("n_open", "rep", "comp")).alias("top")).select("token", F.col("top.rep").alias("y"), F.col("top.comp").alias("c_y"))
-    pairs = own.join(leaders, "token").where("comp <> c_y").select(F.col("rep").alias("x"), "y")
-    pairs = materialize(possible(pairs, classes, percent), "leader-pairs")
-    sets = sets_of(docs, with_sig(pairs.select("x").union(pairs.select("y")), classes), size)
+def size_class(n: Column, percent: int) -> Column:
+    """Sets that can be similar enough are of the same or of neighbouring size classes."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent + 1e-9)).cast("int") if percent < 100 else n.cast("int")
+
+
+def partitioned(open_tokens: DataFrame) -> DataFrame:
+    """(rep, comp, n, leader, grp) of each open class: its group, and its family's leader, the class with most open shingles."""
+    own = open_tokens.groupBy("rep").agg(F.max(F.struct("df", "token")).alias("key"), F.count("*").alias("n_open"), F.first("comp").alias("comp"), F.first("n").alias("n"))
+    own = materialize(own.select("rep", "comp", "n", "n_open", F.col("key.token").alias("family")), "families")
+    sizes = own.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.max(F.struct("n_open", "rep"))["rep"].alias("leader"))
+    parts = F.ceil(F.greatest(F.col("size") / CAPACITY, F.col("total") / CAPACITY_SHINGLES))
+    members = own.join(materialize(sizes, "family-sizes"), "family")
+    return materialize(members.select("rep", "comp", "n", "leader", F.xxhash64("family", F.pmod(F.xxhash64("rep"), parts)).alias("grp")), "groups")
+
+
+def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(x, g): queries and groups that meet in the matrix with enough room for a member that isn't smaller than the query."""
+    placed = open_tokens.select("token", "rep", "room").join(members.drop("leader"), "rep")
+    placed = materialize(placed.withColumn("class", size_class(F.col("n"), percent)), "placed")
+    matrix = placed.groupBy("token", "class", F.col("grp").alias("g")).agg(
+        F.min("comp").alias("g_comp_lo"), F.max("comp").alias("g_comp_hi"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.max("room").alias("g_room"),
+    )
+    matrix = materialize(matrix, "matrix")
+    queries = placed.select("token", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "rep", "comp", "n", "room")
+    # of a similar pair, all that is shared follows its first shared shingle: some shingle of the pair passes this
+    room = leaves_room(F.least("room", "g_room"), F.col("n"), F.greatest("n", "g_lo"), percent)
+    other = (F.col("comp") != F.col("g_comp_lo")) | (F.col("comp") != F.col("g_comp_hi"))
+    maybe = queries.join(matrix, ["token", "class"]).where(other & (F.col("g_hi") >= F.col("n")) & fits("n", "g_lo", percent) & room)
+    return maybe.select(F.col("rep").alias("x"), "g").distinct()
+
+
+def group_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, leaders: bool) -> DataFrame:
+    """Links (x, y) between components that the groups give. Queries are the families' leaders, which meet the groups of
+    their family, or all classes, which meet all groups, and of these the members that aren't smaller."""
+    members = partitioned(open_tokens)
+    if leaders:
+        maybe = members.select(F.col("leader").alias("x"), F.col("grp").alias("g")).distinct()
+    else:
+        maybe = matrix_candidates(open_tokens, members, percent)
+    info = members.select("rep", "grp", "comp", "n").join(classes.select("rep", "bands"), "rep").groupBy(F.col("grp").alias("g")).agg(
+        F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.min("comp").alias("g_comp_lo"), F.max("comp").alias("g_comp_hi"),
+        F.aggregate(F.collect_list("bands"), F.array_repeat(F.lit(0), BANDS), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))).alias("g_bands"),
+    )
+    asks = members.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x")).join(classes.select(F.col("rep").alias("x"), F.col("bands").alias("b_x")), "x")
+    least = F.col("g_lo") if leaders else F.greatest("g_lo", "n_x")
+    other = (F.col("c_x") != F.col("g_comp_lo")) | (F.col("c_x") != F.col("g_comp_hi"))
+    bounded = maybe.join(asks, "x").join(info, "g").where(other & fits("n_x", "g_lo", percent) & fits("g_hi", "n_x", percent))
+    bounded = bounded.where(leaves_room(common_room(F.col("b_x"), F.col("g_bands")), F.col("n_x"), least, percent))
+    bounded = materialize(bounded.select("x", "c_x", "n_x", "g", least.alias("least")), "bounded")
+    inside = members.select(F.col("grp").alias("g"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
+    inside = materialize(inside.join(bounded.select("g").distinct(), "g", "left_semi"), "candidate-members")
+    sets = sets_of(docs, with_sig(bounded.select("x").union(inside.select("y")), classes), size)
+    unions = inside.join(sets.select(F.col("rep").alias("y"), "s"), "y").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
+    asked = bounded.join(sets.select(F.col("rep").alias("x"), "s"), "x").join(materialize(unions, "unions"), "g")
+    opened = materialize(asked.where(leaves_room(F.size(F.array_intersect("s", "u")).cast("long"), F.col("n_x"), F.col("least"), percent)).select("x", "c_x", "n_x", "g"), "opened")
+    pairs = opened.join(inside, "g").where((F.col("c_x") != F.col("c_y")) & fits("n_x", "n_y", percent) & fits("n_y", "n_x", percent))
+    if not leaders:
+        pairs = pairs.where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
+    pairs = materialize(possible(pairs.select("x", "y"), classes, percent), "opened-pairs")
     return similar(pairs, sets, percent)
 
 
-def group_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """All links between components, found through the token-group matrix; one row for each linked pair that was opened."""
-    members = open_tokens.groupBy("rep", "comp", "n").agg(F.max("room").alias("most"))
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
-    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CAPACITY))
-    members = materialize(members.join(sizes, "comp").select("rep", "comp", "n", "most", F.xxhash64("comp", salt).alias("grp")), "groups")
-    placed = open_tokens.select("token", "rep", "room").join(members.drop("most"), "rep")
-    matrix = placed.groupBy("token", F.col("grp").alias("g")).agg(F.first("comp").alias("g_comp"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.max("room").alias("g_room"))
-    # of a similar pair, all that is shared follows its first shared shingle: some token of the pair passes this
-    first = leaves_room(F.least("room", "g_room"), F.col("n"), F.col("g_lo"), percent)
-    maybe = placed.join(matrix, "token").where((F.col("comp") < F.col("g_comp")) & fits("n", "g_lo", percent) & fits("g_hi", "n", percent) & first)
-    maybe = maybe.groupBy(F.col("rep").alias("x"), "g").agg(F.first("n").alias("size_x"), F.max("room").alias("room_x"))
-    in_groups = members.select(F.col("grp").alias("g"), F.col("rep").alias("y"), F.col("n").alias("size_y"), F.col("most").alias("room_y"))
-    near = fits("size_x", "size_y", percent) & fits("size_y", "size_x", percent) & leaves_room(F.least("room_x", "room_y"), F.col("size_x"), F.col("size_y"), percent)
-    pairs = materialize(possible(maybe.join(in_groups, "g").where(near).select("x", "y", "g"), classes, percent), "group-pairs")
-    opening = in_groups.select("g", "y").join(pairs.select("g").distinct(), "g", "left_semi")
-    sets = sets_of(docs, with_sig(pairs.select("x").union(opening.select("y")), classes), size)
-    unions = opening.join(sets.select(F.col("rep").alias("y"), "s"), "y").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
-    bound = pairs.select("x", "g").distinct().join(unions, "g").join(sets.select(F.col("rep").alias("x"), "n", "s"), "x")
-    opened = bound.where(F.size(F.array_intersect("s", "u")) * 100 >= F.col("n") * percent).select("x", "g")
-    return similar(pairs.join(opened, ["x", "g"]).select("x", "y").distinct(), sets, percent)
-
-
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs.
 
@@ -206,12 +244,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     classes = materialize(seen.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bands").alias("bands")), "classes")
     tokens = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("rep", "n", "token", (F.col("n") - F.col("pos")).alias("room"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    tokens = materialize(tokens.join(shared, "token"), "tokens")
+    tokens = materialize(tokens.join(materialize(shared, "shared-tokens"), "token"), "tokens")
     reps = tokens.select("rep").distinct()
     comp = materialize(reps.select("rep", F.col("rep").alias("comp")), "components")
     for step in range(LEADER_ROUNDS + 1):
         open_tokens = materialize(bridging(tokens, comp), "open-tokens")
-        links = materialize((leader_links if step < LEADER_ROUNDS else group_links)(open_tokens, slim, classes, size, percent), "similar")
+        links = materialize(group_links(open_tokens, slim, classes, size, percent, step < LEADER_ROUNDS), "similar")
         if not links.isEmpty():
             comp = merged(comp, links)
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
@@ -226,6 +264,15 @@ def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Shingles of five words, 0.8 or more.
-    Rows with a null id are in no group and stay."""
-    gone = jaccard_components(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least")).where("not least")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+    A document is an id and a text: rows that repeat both stay together, and rows of one id with different texts are
+    documents of their own (of these, the one with the smallest hash of its text comes first). Rows with a null id are in
+    no group and stay, as do texts without words. An empty table stays empty; all columns are kept, whatever their names.
+    """
+    names = docs.columns
+    rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    ident, text = F.col(f"_{names.index('doc_id')}"), F.col(f"_{names.index('text')}")
+    rows = rows.withColumn("document", F.when(ident.isNotNull(), F.struct(ident.alias("id"), F.xxhash64(text).alias("hash"))))
+    found = jaccard_components(rows.select("document", text.alias("text")), id_col="document")
+    gone = found.where(F.col("document") != F.col("component_id")).select("document").distinct()
+    return rows.join(gone, "document", "left_anti").drop("document").toDF(*names)
