@@ -7,8 +7,8 @@ with many classes is split into several groups. The token-group matrix has a row
 first n - ceil(t n) + 1) with the sizes that the group has there and the room that is left after the shingle.
 
 A query class meets a group through the matrix only. Its overlap with the group's union is then bounded: first by the
-sizes, the room and the group's largest counts of shingles by hash range, then by the union of the members' whole sets.
-Only groups that qualify are opened, and only then their members are compared with the query one by one.
+sizes, the room and the group's largest counts of shingles by hash range, then by the group's stored union of all its
+members' shingles, as marks of 16 bits. Only groups that qualify are opened, and only then their members are compared with the query one by one.
 
 What is wanted are the components of the links. So the first rounds have one query a family, its leader, which meets the
 groups of its family: many near copies take one comparison each, not one a pair. In the last round every class that has
@@ -27,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_importable, materialize
+from ..session import Scratch, ensure_importable, materialize
 from .common import arrow_map, batch, pick, table, with_ids
 from .graph import components
-from .shingles import shingle_sets
+from .shingles import distinct, shingle_sets
 
 #: Ranges of hashes whose frequencies order the shingles. The order steers the costs only, never the result.
 RANGES = 1 << 16
 #: Ranges of hashes in which a set's shingles are counted: the sum of the smaller counts bounds an overlap from above.
 BANDS = 128
+#: Bits of a shingle's mark in a group's stored union. Marks of different shingles may be equal, which only raises a bound.
+MARK_BITS = 16
 #: Classes in a group, and shingles of all its classes, about. They steer the costs only, too.
 CAPACITY, CAPACITY_SHINGLES = 32, 1 << 16
 #: Rounds in which only leaders are queries.
@@ -67,7 +69,8 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
-    """(id, n, sig, prefix, bands) for each row: the set's size and digest, its first shingles from rare to common, and its counts by hash range."""
+    """(id, n, sig, prefix, bands, marks) for each row: the set's size and digest, its first shingles from rare to common, its
+    counts by hash range, and the distinct marks of its shingles."""
     spark = docs.sparkSession
     ensure_importable(spark)
     common = spark.sparkContext.broadcast(frequencies(docs, size).astype(np.int32))
@@ -77,25 +80,28 @@ def profiles(docs: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 sets = shingle_sets(part.column(1).to_pylist(), size)
-                first, bands = [], np.zeros((len(sets), BANDS), np.int32)
+                first, marks, bands = [], [np.empty(0, np.int16)], np.zeros((len(sets), BANDS), np.int32)
                 for i, s in enumerate(sets):
                     bands[i] = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BANDS)
                     take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     rank = common.value[(s & np.uint64(RANGES - 1)).astype(np.int64)]
                     first.append(s[np.argsort(rank, kind="stable")[:take]].view(np.int64))
+                    marks.append(distinct((s >> np.uint64(64 - 7 - MARK_BITS)).astype(np.uint16)).view(np.int16))
                 ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
+                mark_ends = np.cumsum(list(map(len, marks)), dtype=np.int32)
                 yield batch(
                     id=part.column(0),
                     n=pa.array([len(s) for s in sets], pa.int64()),
                     sig=pa.array([signature(s) for s in sets], pa.binary()),
                     prefix=pa.ListArray.from_arrays(ends, np.concatenate(first)),
                     bands=pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, bands.reshape(-1)),
+                    marks=pa.ListArray.from_arrays(mark_ends, np.concatenate(marks)),
                 )
 
-    return materialize(arrow_map(docs, profile, f"id {kind}, n long, sig binary, prefix array<long>, bands array<int>"), "profiles")
+    return materialize(arrow_map(docs, profile, f"id {kind}, n long, sig binary, prefix array<long>, bands array<int>, marks array<smallint>"), "profiles")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int, keep: Scratch) -> DataFrame:
     """(rep, n, s): the whole shingle sets of the wanted classes (rep, sig)."""
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -109,9 +115,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
                 yield batch(rep=part.column(0).take(pa.array(right, pa.int32())), n=pa.array(list(map(len, flat)), pa.int64()), s=pa.ListArray.from_arrays(ends, np.concatenate(flat) if flat else np.array([], np.int64)))
 
-    wanted = materialize(wanted.select(F.col("rep").alias("id"), "sig").distinct(), "wanted-sets")
+    wanted = keep(wanted.select(F.col("rep").alias("id"), "sig").distinct(), "wanted-sets")
     chosen = with_ids(docs, wanted, "id").select("id", "text", "sig")
-    return materialize(arrow_map(chosen, build, f"rep {kind}, n long, s array<long>"), "shingle-sets")
+    return keep(arrow_map(chosen, build, f"rep {kind}, n long, s array<long>"), "shingle-sets")
 
 
 def fits(a: str, b: str, percent: int):
@@ -152,12 +158,12 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.where(reaches(F.col("shared"), "n_x", "n_y", percent)).select("x", "y")
 
 
-def bridging(tokens: DataFrame, comp: DataFrame) -> DataFrame:
+def bridging(tokens: DataFrame, comp: DataFrame, keep: Scratch) -> DataFrame:
     """tokens with their classes' components, without those whose classes are all in one component."""
     placed = tokens.join(comp, "rep")
     several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where(F.col("lo") != F.col("hi"))
     # a table, so that the join may split a shingle that most classes share
-    return placed.join(materialize(several.select("token", "df"), "bridges"), "token")
+    return placed.join(keep(several.select("token", "df"), "bridges"), "token")
 
 
 def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -173,41 +179,43 @@ def size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent + 1e-9)).cast("int") if percent < 100 else n.cast("int")
 
 
-def partitioned(open_tokens: DataFrame) -> DataFrame:
-    """(rep, comp, n, leader, grp) of each open class: its group, and its family's leader, the class with most open shingles."""
+def partitioned(open_tokens: DataFrame, leaders: bool, keep: Scratch) -> DataFrame:
+    """(rep, comp, n, leader, grp) of each open class. With leaders, groups are parts of families and leave out the leader
+    (the class with most open shingles), for it is what they are asked for: its grp is null. Else they are parts of
+    components, so that no query is in a group that it asks."""
     own = open_tokens.groupBy("rep").agg(F.max(F.struct("df", "token")).alias("key"), F.count("*").alias("n_open"), F.first("comp").alias("comp"), F.first("n").alias("n"))
-    own = materialize(own.select("rep", "comp", "n", "n_open", F.col("key.token").alias("family")), "families")
+    own = keep(own.select("rep", "comp", "n", "n_open", F.xxhash64(F.col("key.token") if leaders else F.col("comp")).alias("family")), "families")
     sizes = own.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.max(F.struct("n_open", "rep"))["rep"].alias("leader"))
     parts = F.ceil(F.greatest(F.col("size") / CAPACITY, F.col("total") / CAPACITY_SHINGLES))
-    members = own.join(materialize(sizes, "family-sizes"), "family")
-    return materialize(members.select("rep", "comp", "n", "leader", F.xxhash64("family", F.pmod(F.xxhash64("rep"), parts)).alias("grp")), "groups")
+    grp = F.xxhash64("family", F.pmod(F.xxhash64("rep"), parts))
+    members = own.join(keep(sizes, "family-sizes"), "family")
+    return keep(members.select("rep", "comp", "n", "leader", (F.when(F.col("rep") != F.col("leader"), grp) if leaders else grp).alias("grp")), "groups")
 
 
-def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     """(x, g): queries and groups that meet in the matrix with enough room for a member that isn't smaller than the query."""
     placed = open_tokens.select("token", "rep", "room").join(members.drop("leader"), "rep")
-    placed = materialize(placed.withColumn("class", size_class(F.col("n"), percent)), "placed")
+    placed = keep(placed.withColumn("class", size_class(F.col("n"), percent)), "placed")
     matrix = placed.groupBy("token", "class", F.col("grp").alias("g")).agg(
-        F.min("comp").alias("g_comp_lo"), F.max("comp").alias("g_comp_hi"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.max("room").alias("g_room"),
+        F.first("comp").alias("g_comp"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.max("room").alias("g_room"),
     )
-    matrix = materialize(matrix, "matrix")
+    matrix = keep(matrix, "matrix")
     queries = placed.select("token", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "rep", "comp", "n", "room")
     # of a similar pair, all that is shared follows its first shared shingle: some shingle of the pair passes this
     room = leaves_room(F.least("room", "g_room"), F.col("n"), F.greatest("n", "g_lo"), percent)
-    other = (F.col("comp") != F.col("g_comp_lo")) | (F.col("comp") != F.col("g_comp_hi"))
-    maybe = queries.join(matrix, ["token", "class"]).where(other & (F.col("g_hi") >= F.col("n")) & fits("n", "g_lo", percent) & room)
+    maybe = queries.join(matrix, ["token", "class"]).where((F.col("comp") != F.col("g_comp")) & (F.col("g_hi") >= F.col("n")) & fits("n", "g_lo", percent) & room)
     return maybe.select(F.col("rep").alias("x"), "g").distinct()
 
 
-def group_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, leaders: bool) -> DataFrame:
+def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classes: DataFrame, size: int, percent: int, leaders: bool, keep: Scratch) -> DataFrame:
     """Links (x, y) between components that the groups give. Queries are the families' leaders, which meet the groups of
     their family, or all classes, which meet all groups, and of these the members that aren't smaller."""
-    members = partitioned(open_tokens)
+    members = partitioned(open_tokens, leaders, keep)
     if leaders:
-        maybe = members.select(F.col("leader").alias("x"), F.col("grp").alias("g")).distinct()
+        maybe = members.where("grp is not null").select(F.col("leader").alias("x"), F.col("grp").alias("g")).distinct()
     else:
-        maybe = matrix_candidates(open_tokens, members, percent)
-    info = members.select("rep", "grp", "comp", "n").join(classes.select("rep", "bands"), "rep").groupBy(F.col("grp").alias("g")).agg(
+        maybe = matrix_candidates(open_tokens, members, percent, keep)
+    info = members.where("grp is not null").select("rep", "grp", "comp", "n").join(classes.select("rep", "bands"), "rep").groupBy(F.col("grp").alias("g")).agg(
         F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.min("comp").alias("g_comp_lo"), F.max("comp").alias("g_comp_hi"),
         F.aggregate(F.collect_list("bands"), F.array_repeat(F.lit(0), BANDS), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))).alias("g_bands"),
     )
@@ -216,17 +224,21 @@ def group_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, siz
     other = (F.col("c_x") != F.col("g_comp_lo")) | (F.col("c_x") != F.col("g_comp_hi"))
     bounded = maybe.join(asks, "x").join(info, "g").where(other & fits("n_x", "g_lo", percent) & fits("g_hi", "n_x", percent))
     bounded = bounded.where(leaves_room(common_room(F.col("b_x"), F.col("g_bands")), F.col("n_x"), least, percent))
-    bounded = materialize(bounded.select("x", "c_x", "n_x", "g", least.alias("least")), "bounded")
+    bounded = keep(bounded.select("x", "c_x", "n_x", "g", least.alias("least")), "bounded")
     inside = members.select(F.col("grp").alias("g"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
-    inside = materialize(inside.join(bounded.select("g").distinct(), "g", "left_semi"), "candidate-members")
-    sets = sets_of(docs, with_sig(bounded.select("x").union(inside.select("y")), classes), size)
-    unions = inside.join(sets.select(F.col("rep").alias("y"), "s"), "y").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
-    asked = bounded.join(sets.select(F.col("rep").alias("x"), "s"), "x").join(materialize(unions, "unions"), "g")
-    opened = materialize(asked.where(leaves_room(F.size(F.array_intersect("s", "u")).cast("long"), F.col("n_x"), F.col("least"), percent)).select("x", "c_x", "n_x", "g"), "opened")
+    inside = keep(inside.join(bounded.select("g").distinct(), "g", "left_semi"), "candidate-members")
+    # the groups' stored unions, as marks: n - size(marks) shingles of the query may hide behind another's mark
+    named = keep(with_sig(bounded.select("x").union(inside.select("y")), classes).withColumnRenamed("rep", "id"), "wanted-marks")
+    marks = keep(with_ids(seen.select("id", "marks", F.col("sig").alias("own")), named, "id").where(F.col("own") == F.col("sig")).groupBy(F.col("id").alias("rep")).agg(F.first("marks").alias("m")), "marks")
+    unions = inside.join(marks.select(F.col("rep").alias("y"), "m"), "y").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("u"))
+    asked = bounded.join(marks.select(F.col("rep").alias("x"), "m"), "x").join(keep(unions, "unions"), "g")
+    most = (F.size(F.array_intersect("m", "u")) + F.col("n_x") - F.size("m")).cast("long")
+    opened = keep(asked.where(leaves_room(most, F.col("n_x"), F.col("least"), percent)).select("x", "c_x", "n_x", "g"), "opened")
     pairs = opened.join(inside, "g").where((F.col("c_x") != F.col("c_y")) & fits("n_x", "n_y", percent) & fits("n_y", "n_x", percent))
     if not leaders:
         pairs = pairs.where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
-    pairs = materialize(possible(pairs.select("x", "y"), classes, percent), "opened-pairs")
+    pairs = keep(possible(pairs.select("x", "y"), classes, percent), "opened-pairs")
+    sets = sets_of(docs, with_sig(pairs.select("x").union(pairs.select("y")), classes), size, keep)
     return similar(pairs, sets, percent)
 
 
@@ -248,10 +260,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     reps = tokens.select("rep").distinct()
     comp = materialize(reps.select("rep", F.col("rep").alias("comp")), "components")
     for step in range(LEADER_ROUNDS + 1):
-        open_tokens = materialize(bridging(tokens, comp), "open-tokens")
-        links = materialize(group_links(open_tokens, slim, classes, size, percent, step < LEADER_ROUNDS), "similar")
-        if not links.isEmpty():
-            comp = merged(comp, links)
+        with Scratch(docs.sparkSession) as keep:
+            open_tokens = keep(bridging(tokens, comp, keep), "open-tokens")
+            links = keep(group_links(open_tokens, slim, seen, classes, size, percent, step < LEADER_ROUNDS, keep), "similar")
+            if not links.isEmpty():
+                comp = merged(comp, links)
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
     known = classes.select("sig", "rep").join(comp, "rep", "left").join(least, "comp", "left").select("sig", F.coalesce("least", "rep").alias("component"))
     out = seen.select("id", "n", "sig").join(known, "sig", "left")
