@@ -41,7 +41,9 @@ MARK_BITS = 16
 #: Classes in a group, and shingles of all its classes, about. They steer the costs only, too.
 CAPACITY, CAPACITY_SHINGLES = 32, 1 << 16
 #: Rounds in which only leaders are queries.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
+#: Sizes from one size class of the matrix to the next.
+SIZE_STEP = 2.0
 
 
 def frequencies(docs: DataFrame, size: int) -> np.ndarray:
@@ -174,9 +176,8 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(comp.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left").select("rep", F.coalesce("label", "comp").alias("comp")), "components")
 
 
-def size_class(n: Column, percent: int) -> Column:
-    """Sets that can be similar enough are of the same or of neighbouring size classes."""
-    return F.floor(F.log(n.cast("double")) / math.log(100 / percent + 1e-9)).cast("int") if percent < 100 else n.cast("int")
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP) + 1e-9).cast("int")
 
 
 def partitioned(open_tokens: DataFrame, leaders: bool, keep: Scratch) -> DataFrame:
@@ -195,12 +196,14 @@ def partitioned(open_tokens: DataFrame, leaders: bool, keep: Scratch) -> DataFra
 def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     """(x, g): queries and groups that meet in the matrix with enough room for a member that isn't smaller than the query."""
     placed = open_tokens.select("token", "rep", "room").join(members.drop("leader"), "rep")
-    placed = keep(placed.withColumn("class", size_class(F.col("n"), percent)), "placed")
+    placed = keep(placed.withColumn("class", size_class(F.col("n"))), "placed")
     matrix = placed.groupBy("token", "class", F.col("grp").alias("g")).agg(
         F.first("comp").alias("g_comp"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.max("room").alias("g_room"),
     )
     matrix = keep(matrix, "matrix")
-    queries = placed.select("token", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "rep", "comp", "n", "room")
+    # the classes of all sizes from the query's own to the largest that is similar enough
+    reach = F.explode(F.sequence("class", size_class(F.col("n") * 100 / percent)))
+    queries = placed.select("token", reach.alias("class"), "rep", "comp", "n", "room")
     # of a similar pair, all that is shared follows its first shared shingle: some shingle of the pair passes this
     room = leaves_room(F.least("room", "g_room"), F.col("n"), F.greatest("n", "g_lo"), percent)
     maybe = queries.join(matrix, ["token", "class"]).where((F.col("comp") != F.col("g_comp")) & (F.col("g_hi") >= F.col("n")) & fits("n", "g_lo", percent) & room)
@@ -215,17 +218,20 @@ def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classe
         maybe = members.where("grp is not null").select(F.col("leader").alias("x"), F.col("grp").alias("g")).distinct()
     else:
         maybe = matrix_candidates(open_tokens, members, percent, keep)
-    info = members.where("grp is not null").select("rep", "grp", "comp", "n").join(classes.select("rep", "bands"), "rep").groupBy(F.col("grp").alias("g")).agg(
-        F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.min("comp").alias("g_comp_lo"), F.max("comp").alias("g_comp_hi"),
-        F.aggregate(F.collect_list("bands"), F.array_repeat(F.lit(0), BANDS), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))).alias("g_bands"),
-    )
-    asks = members.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x")).join(classes.select(F.col("rep").alias("x"), F.col("bands").alias("b_x")), "x")
-    least = F.col("g_lo") if leaders else F.greatest("g_lo", "n_x")
+    inside = members.where("grp is not null").select(F.col("grp").alias("g"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
+    sizes = inside.groupBy("g").agg(F.min("n_y").alias("g_lo"), F.max("n_y").alias("g_hi"), F.min("c_y").alias("g_comp_lo"), F.max("c_y").alias("g_comp_hi"))
+    asks = members.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"))
     other = (F.col("c_x") != F.col("g_comp_lo")) | (F.col("c_x") != F.col("g_comp_hi"))
-    bounded = maybe.join(asks, "x").join(info, "g").where(other & fits("n_x", "g_lo", percent) & fits("g_hi", "n_x", percent))
-    bounded = bounded.where(leaves_room(common_room(F.col("b_x"), F.col("g_bands")), F.col("n_x"), least, percent))
-    bounded = keep(bounded.select("x", "c_x", "n_x", "g", least.alias("least")), "bounded")
-    inside = members.select(F.col("grp").alias("g"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
+    sized = maybe.join(asks, "x").join(keep(sizes, "group-sizes"), "g").where(other & fits("n_x", "g_lo", percent) & fits("g_hi", "n_x", percent))
+    sized = keep(sized.select("x", "c_x", "n_x", "g", (F.col("g_lo") if leaders else F.greatest("g_lo", "n_x")).alias("least")), "sized")
+    # the largest counts by hash range of the groups' members
+    bands = classes.select(F.col("rep").alias("y"), "bands")
+    listed = keep(inside.join(sized.select("g").distinct(), "g", "left_semi").select("y", "g"), "sized-members")
+    largest = F.aggregate(F.collect_list("bands"), F.array_repeat(F.lit(0), BANDS), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    of_groups = keep(with_ids(bands, listed, "y").groupBy("g").agg(largest.alias("b_g")), "group-bands")
+    of_queries = with_ids(bands.toDF("x", "b_x"), keep(sized.select("x").distinct(), "queries"), "x")
+    bounded = sized.join(of_queries, "x").join(of_groups, "g").where(leaves_room(common_room(F.col("b_x"), F.col("b_g")), F.col("n_x"), F.col("least"), percent))
+    bounded = keep(bounded.select("x", "c_x", "n_x", "g", "least"), "bounded")
     inside = keep(inside.join(bounded.select("g").distinct(), "g", "left_semi"), "candidate-members")
     # the groups' stored unions, as marks: n - size(marks) shingles of the query may hide behind another's mark
     named = keep(with_sig(bounded.select("x").union(inside.select("y")), classes).withColumnRenamed("rep", "id"), "wanted-marks")
