@@ -34,7 +34,8 @@ def shingled(rows: DataFrame, size: int) -> DataFrame:
 
 
 def item_shingles(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(item, window, n, shingle, h) for each distinct shingle of an item; one of fewer words is a single shingle of them all."""
+    """(item, window, n, n_window, shingle, h) for each distinct shingle of an item: its shingles in all, and of this window.
+    A row of fewer words than `size` is a single shingle of them all; rows of one item may have different windows."""
     base = pick(items, id_col, text_col).select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("words")).where(F.get("words", F.lit(0)) != "")
     window = F.least(F.size("words"), F.lit(size))
     each = base.select("item", "words", window.alias("window"), F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("pos"))
@@ -42,7 +43,7 @@ def item_shingles(items: DataFrame, size: int, id_col: str, text_col: str) -> Da
     for k in range(1, size + 1):
         hashed = F.when(F.col("window") == k, F.xxhash64(*parts(k))).otherwise(hashed)
     one = each.select("item", "window", F.array_join(F.slice("words", F.col("pos") + 1, F.col("window")), " ").alias("shingle"), hashed.alias("h")).distinct()
-    return one.withColumn("n", F.count("*").over(Window.partitionBy("item", "window")))
+    return one.withColumn("n", F.count("*").over(Window.partitionBy("item"))).withColumn("n_window", F.count("*").over(Window.partitionBy("item", "window")))
 
 
 def needed(n: Column, percent: int) -> Column:
@@ -51,13 +52,15 @@ def needed(n: Column, percent: int) -> Column:
 
 
 def sketches(shingles: DataFrame, percent: int) -> DataFrame:
-    """(item, window, h, need, hits): an item's bottom-k sketch, and how many of it a containing document holds at least."""
+    """(item, window, h, need, hits): an item's bottom-k sketch, how many shingles of the window a containing document holds
+    at least, and how many of the sketch."""
     top = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n"))) + 1) - 1  # the largest size of the item's partition
     k = (F.floor(top * (100 - percent) / 100.0 + 1e-9) + 1).cast("long")
-    ranked = shingles.withColumn("rank", F.row_number().over(Window.partitionBy("item", "window").orderBy("h", "shingle")))
+    ranked = shingles.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("h", "window", "shingle")))
     need = needed(F.col("n"), percent)
     hits = F.least(k, F.col("n")) - (F.col("n") - need)
-    return ranked.where(F.col("rank") <= k).select("item", "window", "h", need.alias("need"), F.greatest(hits, F.lit(1)).alias("hits"))
+    here = F.greatest(need - (F.col("n") - F.col("n_window")), F.lit(1))
+    return ranked.where(F.col("rank") <= k).select("item", "window", "h", here.alias("need"), F.greatest(hits, F.lit(1)).alias("hits"))
 
 
 def contained_items(
@@ -84,28 +87,28 @@ def contained_items(
     sketch = materialize(sketches(shingles, percent), "item-sketches")
     small = sketch.count() <= BROADCAST_ROWS
     base = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("words"))
-    found = None
+    met = None
     for window in sorted(r[0] for r in sketch.select("window").distinct().collect()):
-        own = sketch.where(F.col("window") == window).drop("window")
+        own = sketch.where(F.col("window") == window)
         hashed = shingled(base, window).select("doc", (F.size("words") - window + 1).alias("m"), F.xxhash64(*parts(window)).alias("h"))
-        met = hashed.join(F.broadcast(own) if small else own, "h").where(F.col("m") >= F.col("need"))
-        pairs = met.groupBy("doc", "item").agg(F.count_distinct("h").alias("met"), F.max("hits").alias("hits")).where(F.col("met") >= F.col("hits"))
-        pairs = pairs.select("doc", "item", F.lit(window).alias("window"))
-        found = pairs if found is None else found.union(pairs)
+        some = hashed.join(F.broadcast(own) if small else own, "h").where(F.col("m") >= F.col("need")).select("doc", "item", "window", "h", "hits")
+        met = some if met is None else met.union(some)
     out = "{} {}, {} {}, n_shingles long, n_found long".format(id_col, dict(docs.dtypes)[id_col], item_col, dict(items.dtypes)[item_col])
-    if found is None:
+    if met is None:
         return spark.createDataFrame([], out)
-    found = materialize(found, "contained-candidates")
+    found = met.groupBy("doc", "item").agg(F.count_distinct("window", "h").alias("met"), F.max("hits").alias("hits")).where(F.col("met") >= F.col("hits"))
+    windows = shingles.select(F.col("item").alias("i"), "window").distinct()
+    found = materialize(found.join(windows, F.col("item").eqNullSafe(F.col("i"))).select("doc", "item", "window"), "contained-candidates")
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     near = found.join(texts, F.col("doc").eqNullSafe(F.col("d"))).select("doc", "item", "window", words(F.col("t")).alias("words"))
     at = F.explode(F.sequence(F.lit(0), F.size("words") - F.col("window")))
     held = near.where(F.size("words") >= F.col("window")).select("doc", "item", "window", "words", at.alias("pos"))
-    held = held.select("doc", "item", F.array_join(F.slice("words", F.col("pos") + 1, F.col("window")), " ").alias("shingle"))
-    truth = shingles.select(F.col("item").alias("i"), F.col("shingle").alias("s"), "n")
+    held = held.select("doc", "item", "window", F.array_join(F.slice("words", F.col("pos") + 1, F.col("window")), " ").alias("shingle"))
+    truth = shingles.select(F.col("item").alias("i"), F.col("window").alias("w"), F.col("shingle").alias("s"), "n")
     exact = (
-        held.join(truth, F.col("item").eqNullSafe(F.col("i")) & (F.col("shingle") == F.col("s")))
+        held.join(truth, F.col("item").eqNullSafe(F.col("i")) & (F.col("window") == F.col("w")) & (F.col("shingle") == F.col("s")))
         .groupBy("doc", "item")
-        .agg(F.max("n").alias("n_shingles"), F.count_distinct("s").alias("n_found"))
+        .agg(F.max("n").alias("n_shingles"), F.count_distinct("w", "s").alias("n_found"))
         .where(F.col("n_found") >= needed(F.col("n_shingles"), percent))
     )
     return exact.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_shingles", "n_found")
@@ -116,6 +119,9 @@ def op8_contained_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, with all their columns."""
-    hit = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, with all their columns, whatever their names. Rows of one id are one document;
+    rows with a null id are one document, too: all go if they hold an item together. Null texts hold nothing and stay."""
+    names = docs.columns
+    rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    hit = contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit")).distinct()
+    return rows.join(hit, F.col(f"_{names.index('doc_id')}").eqNullSafe(F.col("hit")), "left_anti").toDF(*names)
