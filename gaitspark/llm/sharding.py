@@ -3,7 +3,8 @@
 A node that must give k shards is split along its widest metadata dimension at a weighted median (for odd k at the
 matching share), until every leaf is one shard. Medians are found from histograms: Spark sums the bytes in at most BINS
 ranges of each node, the driver picks the range in which the wanted share falls, and the next round looks into that
-range only. What the driver gets is bounded by nodes x BINS, whatever the input.
+range only. The driver gets at most NODES x BINS counts at once, and keeps a few numbers for each leaf: they grow with the
+number of leaves, not with the rows of one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..session import materialize
 from .common import pick, table, utf8_size
 
 BINS = 2048
+#: Nodes that are cut together.
+NODES = 64
 #: The last two dimensions of the order in a node: equal texts lie together, and rows of one text by their id.
 TIES = ("t_text", "t_id")
 
@@ -39,9 +42,12 @@ class Node:
     cut: list[int] = field(default_factory=list)
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def dimension(column: Column, kind: str) -> Column:
     """A metadata column as a number: numbers as they are (rounded), others by a hash of 31 bits; null comes first."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "long"):
+    if kind in WHOLE:
         return F.coalesce(column.cast("long"), F.lit(-(1 << 62)))
     if kind in ("float", "double"):
         return F.coalesce(F.when(F.isnan(column), None).otherwise(F.round(column).cast("long")), F.lit(-(1 << 62)))
@@ -62,8 +68,9 @@ def kd_shards(
     size is the text's UTF-8 bytes (null: none) plus 1. Give the number of shards, or target_bytes for ceil(total / target)
     shards. Rows of equal texts are one point and stay in one shard, unless a cut that keeps them together would miss its
     share by more than `slack` of a shard; then it goes through them by id, so that a text with a third of all rows is
-    spread. slot counts a shard's rows from 0 without gaps. Repeated rows share the order and count each; an
-    empty table gives an empty one; columns not named in dims aren't read.
+    spread. slot counts a shard's rows from 0 without gaps. Repeated rows share the order and count each; null ids come
+    before others, ids that aren't whole numbers are ordered by their hash; an empty table gives an empty one; columns not
+    named in dims aren't read.
     """
     kinds = dict(docs.dtypes)
     slim = pick(docs, id_col, text_col, *[d for d in dims if d not in (id_col, text_col)])
@@ -73,7 +80,7 @@ def kd_shards(
         (utf8_size(F.col(text_col)) + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("t_text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("t_id"),
+        F.coalesce(F.col(id_col).cast("long") if kinds[id_col] in WHOLE else F.xxhash64(F.col(id_col)), F.lit(-1)).alias("t_id"),
         *[dimension(F.col(d), kinds[d]).alias(f"d_{i}") for i, d in enumerate(dims)],
         F.lit(0).alias("node"),
     )
@@ -85,7 +92,7 @@ def kd_shards(
     leaves = shards or max(1, math.ceil(total / target_bytes))
     share = total / leaves
     open_nodes, paths, fresh = {0: leaves}, {}, 1
-    assign = F.lit(0)
+    assign, root = F.lit(0), {}
     while any(k > 1 for k in open_nodes.values()):
         nodes = [n for n, k in open_nodes.items() if k > 1]
         current = rows.withColumn("node", assign).where(F.col("node").isin(nodes))
@@ -98,13 +105,15 @@ def kd_shards(
             open_nodes[n] = 1  # without rows there is nothing to cut
         for s in stats:
             k = open_nodes[s["node"]]
-            # the widest dimension: the largest spread in units of the node's own range, so that scales don't matter
-            width = {c: (s[f"sd_{c}"] or 0) / max(1, s[f"hi_{c}"] - s[f"lo_{c}"]) for c in names}
+            # the widest dimension: the largest spread in units of the whole table's range, so that scales don't matter
+            root = root or {c: max(1, s[f"hi_{c}"] - s[f"lo_{c}"]) for c in names}
+            width = {c: (s[f"sd_{c}"] or 0) / root[c] for c in names}
             dim = max(names, key=lambda c: (width[c], c)) if names else TIES[0]
             order = [dim, *TIES] if names else list(TIES)
             left = (k + 1) // 2
             cuts.append(Node(s["node"], k, s["total"], dim, [s[f"lo_{c}"] for c in order], [s[f"hi_{c}"] for c in order], s["total"] * left / k))
-        find_cuts(current, cuts, bool(names), slack * share)
+        for i in range(0, len(cuts), NODES):
+            find_cuts(current, cuts[i : i + NODES], bool(names), slack * share)
         for c in cuts:
             paths[c.name] = (c.dim, c.cut, fresh, fresh + 1)
             k = open_nodes.pop(c.name)
@@ -141,6 +150,11 @@ def descend(paths: dict, node: int, named: bool) -> Column:
     return F.when(below(key_columns(dim, named), cut), descend(paths, left, named)).otherwise(descend(paths, right, named))
 
 
+def width_bits(c: Node) -> int:
+    """The width of a node's bins as a power of two: whole numbers that are shifted, so that ends of 64 bits don't overflow."""
+    return max(0, (c.hi[c.level] - c.lo[c.level]).bit_length() - BINS.bit_length() + 2)
+
+
 def find_cuts(rows: DataFrame, cuts: list[Node], named: bool, slack: float) -> None:
     """Sets each node's cut: the key up to which rows go left, so that their bytes come closest to what is wanted."""
     todo = [c for c in cuts if c.want < c.total]
@@ -149,27 +163,25 @@ def find_cuts(rows: DataFrame, cuts: list[Node], named: bool, slack: float) -> N
         inside = F.lit(False)
         for c in todo:
             keys, at = key_columns(c.dim, named), c.level
-            step = max(1, -(-(c.hi[at] - c.lo[at] + 1) // BINS))
+            shift = width_bits(c)
             here = (F.col("node") == c.name) & keys[at].between(c.lo[at], c.hi[at])
             for i in range(at):
                 here &= keys[i] == c.lo[i]
             inside |= here
-            # a subtraction of 64-bit ends can't overflow as decimals
-            offset = F.floor((keys[at].cast("decimal(38,0)") - F.lit(c.lo[at]).cast("decimal(38,0)")) / F.lit(step).cast("decimal(20,0)")).cast("long")
-            bins = F.when(here, offset).otherwise(bins)
+            bins = F.when(here, F.shiftright(keys[at], shift)).otherwise(bins)
         found = rows.where(inside).groupBy("node", bins.alias("bin")).agg(F.sum("size").alias("size")).collect()
         for c in todo:
             at = c.level
-            step = max(1, -(-(c.hi[at] - c.lo[at] + 1) // BINS))
+            shift = width_bits(c)
             before, mine = c.before, sorted((r["bin"], r["size"]) for r in found if r["node"] == c.name)
             for b, size in mine:
                 if before + size >= c.want or b == mine[-1][0]:
                     break
                 before += size
-            lo = c.lo[at] + b * step
+            lo = max(b << shift, c.lo[at])
             c.before = before
-            if step > 1:
-                c.lo[at], c.hi[at] = lo, min(lo + step - 1, c.hi[at])
+            if shift:
+                c.lo[at], c.hi[at] = lo, min((b << shift) + (1 << shift) - 1, c.hi[at])
                 continue
             # one value of this part of the key holds the wanted share
             c.lo[at] = c.hi[at] = lo
