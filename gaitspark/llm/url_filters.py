@@ -1,7 +1,7 @@
 """Operator 5: URL filters.
 
-Rules are (verdict, host, path). Each URL is expanded into expressions host suffix + path prefix, of the path lengths
-that rules have; expressions are joined with the rules on the first bytes of their digests, confirmed by the full
+Rules are (verdict, host, path). Each URL is expanded into expressions host suffix + path prefix, of the numbers of
+labels and the path lengths that rules have; expressions are joined with the rules on the first bytes of their digests, confirmed by the full
 digests, and the longest rule decides.
 """
 
@@ -46,16 +46,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     :// has an empty host and path and fits no rule, except one for an empty host. Equal urls are judged once, and every
     row gets its verdict back; extra columns aren't read. An empty rule table leaves all to the default.
 
-    The rules' path lengths are gathered on the driver: a set of numbers no larger than the longest rule. The
+    The rules' path lengths and numbers of labels are gathered on the driver: sets of numbers no larger than the longest rule. The
     rules themselves are joined, and Spark broadcasts them only while they are under its own threshold.
     """
     host, path = host_and_path(F.col("url"))
     urls = pick(pages, id_col, url_col).select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
     rules = pick(rules, "verdict", "host", "path")
     lengths = sorted(r[0] for r in rules.select(F.length("path")).where("path is not null").distinct().collect())
+    counts = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\.", -1))).where("host is not null").distinct().collect())
     keyed = rules.select("verdict", F.col("host").alias("r_host"), F.col("path").alias("r_path"), digest(F.col("host"), F.col("path")).alias("full")).withColumn("short", F.substring("full", 1, 8))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # suffixes of as many labels as rules have, so that a long host costs no more than its own length for each
+    suffix = lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, F.lit(n)), ".")
+    suffixes = F.array_compact(F.array(*[F.when(F.size(labels) >= n, suffix(n)) for n in counts])) if counts else F.array().cast("array<string>")
     prefixes = F.array_distinct(F.array(*[F.substring("path", 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
     expanded = (
         urls.select("host", "path")
