@@ -16,20 +16,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .bpe_automaton import WORDS, byte_letters
-from .common import arrow_map, batch, pick, table, utf8_size
+from .common import BROADCAST_IDS, arrow_map, batch, pick, slices, table, utf8_size
 
 CACHE = "content string, tokenizer string, n_tokens long"
 
 
 def tokenizer_version(path: str) -> str:
-    """Digest of the vocabulary file and of the library that reads it."""
+    """Digest of the vocabulary file and of the libraries that may count its tokens."""
     import sentencepiece
+    import tiktoken
     import tokenizers
 
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + f"|{tokenizers.__version__}|{sentencepiece.__version__}".encode()).hexdigest()
+        return hashlib.sha256(f.read() + f"|{tokenizers.__version__}|{sentencepiece.__version__}|{tiktoken.__version__}".encode()).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -98,18 +99,22 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str, id_col: str = "do
     slim = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = slim.withColumn("content", F.sha2("text", 256))
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("content")
-    distinct = keyed.groupBy("content").agg(F.first("text").alias("text"))
+    # digests meet the cache, not texts: with few misses, only their texts are moved
+    unknown = materialize(keyed.select("content").distinct().join(known, "content", "left_anti"), "token-misses")
+    few = unknown.count() <= BROADCAST_IDS
+    texts = keyed.join(F.broadcast(unknown), "content") if few else keyed
+    distinct = texts.groupBy("content").agg(F.first("text").alias("text"))
+    distinct = distinct if few else distinct.join(unknown, "content")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = counter(vocabulary)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                yield batch(content=part.column(0), n_tokens=pa.array(run(part.column(1).to_pylist()), pa.int64()))
+        for b in slices(batches, 1):
+            yield batch(content=b.column(0), n_tokens=pa.array(run(b.column(1).to_pylist()), pa.int64()))
 
-    misses = arrow_map(distinct.join(known, "content", "left_anti"), count, "content string, n_tokens long")
+    misses = arrow_map(distinct, count, "content string, n_tokens long")
     misses.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    # a table, so that the join may split the rows of one text
+    counts = materialize(read_cache(spark, cache).where(F.col("tokenizer") == version).select("content", "n_tokens"), "token-counts")
     out = keyed.select("id", "content", utf8_size(F.col("text")).alias("n_bytes")).join(counts, "content")
     return out.select(F.col("id").alias(id_col), "content", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
