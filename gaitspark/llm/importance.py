@@ -1,8 +1,7 @@
 """Operator 7: quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, of target text and of raw text, give each document the logarithm of its
-importance weight: the sum over its n-grams of log p_target - log p_raw, scaled to a passage of fixed length (see
-Resampling), so that the weight of a long document isn't extreme for its length alone. Documents are sampled without replacement in
+importance weight: the sum over its n-grams of log p_target - log p_raw. Documents are sampled without replacement in
 proportion to their weights by Gumbel top-k: the k largest of weight + Gumbel noise.
 """
 
@@ -30,13 +29,13 @@ UNIT = 1 << 30
 @dataclass(frozen=True)
 class Resampling:
     """buckets: of n-gram hashes. max_target_rows: the target model is fitted on no more labelled documents than this
-    (those whose ids have the smallest hashes). passage and shrink: a document of n n-grams competes as a passage of
-    `passage` ones of its kind, passage * sum / (n + shrink), or long documents would hold only extreme weights."""
+    (those whose ids have the smallest hashes). passage: None for the plain sum; else a document of n n-grams competes as a
+    passage of so many of its kind, passage * sum / (n + shrink), so that long documents' weights aren't extreme."""
 
     buckets: int = 10_000
     orders: tuple[int, ...] = (1, 2)
     max_target_rows: int = 20_000
-    passage: int = 64
+    passage: int | None = None
     shrink: int = 16
     seed: int = 7
 
@@ -57,10 +56,10 @@ def fit(docs: DataFrame, target: DataFrame, how: Resampling) -> np.ndarray:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                for found, wanted in zip(ngram_buckets(part.column(0).to_pylist(), how), part.column(1).to_pylist()):
-                    total[0] += (own := np.bincount(found, minlength=how.buckets))
-                    if wanted:
-                        total[1] += own
+                found, wanted = ngram_buckets(part.column(0).to_pylist(), how), part.column(1).to_pylist()
+                for k, own in enumerate((found, [x for x, w in zip(found, wanted) if w])):
+                    if own:
+                        total[k] += np.bincount(np.concatenate(own), minlength=how.buckets)
         yield batch(bucket=pa.array(np.arange(how.buckets), pa.int64()), raw=pa.array(total[0]), target=pa.array(total[1]))
 
     marked = docs.join(F.broadcast(chosen.withColumn("wanted", F.lit(True))), "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
@@ -82,7 +81,9 @@ def log_weights(docs: DataFrame, model: np.ndarray, how: Resampling) -> DataFram
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 found = ngram_buckets(part.column(1).to_pylist(), how)
-                weights = [how.passage * float(shared.value[f].sum()) / (len(f) + how.shrink) for f in found]
+                weights = [float(shared.value[f].sum()) for f in found]
+                if how.passage:
+                    weights = [how.passage * w / (len(f) + how.shrink) for w, f in zip(weights, found)]
                 yield batch(id=part.column(0), n_ngrams=pa.array(list(map(len, found)), pa.int64()), log_weight=pa.array(weights, pa.float64()))
 
     return arrow_map(docs, score, f"id {docs.schema['id'].dataType.simpleString()}, n_ngrams long, log_weight double")
