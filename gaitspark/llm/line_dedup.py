@@ -93,10 +93,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without their common lines; n_chars follows the text, rows left without words go. The other columns are
-    carried through, so that null and repeated ids keep their own rows."""
-    carried = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = rejoined(docs, 20, 3, "doc_id", "text", carried)
-    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    made = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": n_chars} | {c: F.col(f"row.`{c}`") for c in carried}
-    return out.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*[made[c].alias(c) for c in docs.columns])
+    """All rows, without their common lines; n_chars, where there is one, follows the text; rows left without words go. The
+    other columns are carried through, so that null and repeated ids keep their own rows. Rows of one id are one document
+    for the counts, rows with a null id don't count; an empty table stays empty."""
+    names = docs.columns
+    plain = [f"_{i}" for i in range(len(names))]  # whatever the columns' names
+    ident, text, size = (plain[names.index(c)] if c in names else None for c in ("doc_id", "text", "n_chars"))
+    carried = [c for c in plain if c not in (ident, text, size)]
+    out = rejoined(docs.toDF(*plain), 20, 3, ident, text, carried)
+    made = {ident: F.col("id"), text: F.col("text")} | {c: F.col(f"row.{c}") for c in carried}
+    if size:
+        made[size] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*[made[c].alias(c) for c in plain]).toDF(*names)
