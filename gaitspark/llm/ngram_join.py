@@ -10,8 +10,9 @@ A query class meets a group through the matrix only. Its overlap with the group'
 sizes, the room and the group's largest counts of shingles by hash range, then by the group's stored union of all its
 members' shingles, as marks of 16 bits. Only groups that qualify are opened, and only then their members are compared with the query one by one.
 
-What is wanted are the components of the links. So the first rounds have one query a family, its leader, which meets the
-groups of its family: many near copies take one comparison each, not one a pair. In the last round every class that has
+What is wanted are the components of the links. So in the first round only the leaders of families are queries and meet
+the groups of their family, and in the second all classes meet one leader of each component: many near copies take a
+comparison or two each, not one a pair. In the last round every class that has
 an open shingle is a query, and classes that are already connected aren't compared again: no link between components is
 lost, whatever the first rounds found.
 """
@@ -40,8 +41,8 @@ BANDS = 128
 MARK_BITS = 16
 #: Classes in a group, and shingles of all its classes, about. They steer the costs only, too.
 CAPACITY, CAPACITY_SHINGLES = 32, 1 << 16
-#: Rounds in which only leaders are queries.
-LEADER_ROUNDS = 1
+#: Rounds: leaders ask their families, all ask the leaders of components, all ask all.
+ROUNDS = 3
 #: Sizes from one size class of the matrix to the next.
 SIZE_STEP = 2.0
 
@@ -180,50 +181,55 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP) + 1e-9).cast("int")
 
 
-def partitioned(open_tokens: DataFrame, leaders: bool, keep: Scratch) -> DataFrame:
-    """(rep, comp, n, leader, grp) of each open class. With leaders, groups are parts of families and leave out the leader
-    (the class with most open shingles), for it is what they are asked for: its grp is null. Else they are parts of
-    components, so that no query is in a group that it asks."""
+def partitioned(open_tokens: DataFrame, step: int, keep: Scratch) -> DataFrame:
+    """(rep, comp, n, leader, grp) of each open class; grp is null for classes that no query is to meet. In the first round
+    groups are parts of families without their leader, in the second the leaders of components with several classes, and in
+    the last parts of components. A leader is the class with most open shingles."""
     own = open_tokens.groupBy("rep").agg(F.max(F.struct("df", "token")).alias("key"), F.count("*").alias("n_open"), F.first("comp").alias("comp"), F.first("n").alias("n"))
-    own = keep(own.select("rep", "comp", "n", "n_open", F.xxhash64(F.col("key.token") if leaders else F.col("comp")).alias("family")), "families")
+    own = keep(own.select("rep", "comp", "n", "n_open", F.xxhash64(F.col("comp") if step else F.col("key.token")).alias("family")), "families")
     sizes = own.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.max(F.struct("n_open", "rep"))["rep"].alias("leader"))
     parts = F.ceil(F.greatest(F.col("size") / CAPACITY, F.col("total") / CAPACITY_SHINGLES))
     grp = F.xxhash64("family", F.pmod(F.xxhash64("rep"), parts))
     members = own.join(keep(sizes, "family-sizes"), "family")
-    return keep(members.select("rep", "comp", "n", "leader", (F.when(F.col("rep") != F.col("leader"), grp) if leaders else grp).alias("grp")), "groups")
+    wanted = [F.col("rep") != F.col("leader"), (F.col("rep") == F.col("leader")) & (F.col("size") > 1), F.lit(True)][step]
+    return keep(members.select("rep", "comp", "n", "leader", F.when(wanted, grp).alias("grp")), "groups")
 
 
-def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int, keep: Scratch) -> DataFrame:
-    """(x, g): queries and groups that meet in the matrix with enough room for a member that isn't smaller than the query."""
+def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int, smaller: bool, keep: Scratch) -> DataFrame:
+    """(x, g): queries and groups that meet in the matrix with enough room for a member that isn't smaller than the query, or
+    for any member."""
     placed = open_tokens.select("token", "rep", "room").join(members.drop("leader"), "rep")
     placed = keep(placed.withColumn("class", size_class(F.col("n"))), "placed")
-    matrix = placed.groupBy("token", "class", F.col("grp").alias("g")).agg(
+    matrix = placed.where("grp is not null").groupBy("token", "class", F.col("grp").alias("g")).agg(
         F.first("comp").alias("g_comp"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.max("room").alias("g_room"),
     )
     matrix = keep(matrix, "matrix")
-    # the classes of all sizes from the query's own to the largest that is similar enough
-    reach = F.explode(F.sequence("class", size_class(F.col("n") * 100 / percent)))
+    # the classes of all sizes that are similar enough, from the query's own or the smallest on
+    reach = F.explode(F.sequence(size_class(F.col("n") * percent / 100) if smaller else F.col("class"), size_class(F.col("n") * 100 / percent)))
     queries = placed.select("token", reach.alias("class"), "rep", "comp", "n", "room")
     # of a similar pair, all that is shared follows its first shared shingle: some shingle of the pair passes this
-    room = leaves_room(F.least("room", "g_room"), F.col("n"), F.greatest("n", "g_lo"), percent)
-    maybe = queries.join(matrix, ["token", "class"]).where((F.col("comp") != F.col("g_comp")) & (F.col("g_hi") >= F.col("n")) & fits("n", "g_lo", percent) & room)
+    room = leaves_room(F.least("room", "g_room"), F.col("n"), F.col("g_lo") if smaller else F.greatest("n", "g_lo"), percent)
+    maybe = queries.join(matrix, ["token", "class"]).where((F.col("comp") != F.col("g_comp")) & fits("g_hi", "n", percent) & fits("n", "g_lo", percent) & room)
+    maybe = maybe if smaller else maybe.where("g_hi >= n")
     return maybe.select(F.col("rep").alias("x"), "g").distinct()
 
 
-def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classes: DataFrame, size: int, percent: int, leaders: bool, keep: Scratch) -> DataFrame:
-    """Links (x, y) between components that the groups give. Queries are the families' leaders, which meet the groups of
-    their family, or all classes, which meet all groups, and of these the members that aren't smaller."""
-    members = partitioned(open_tokens, leaders, keep)
-    if leaders:
+def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classes: DataFrame, size: int, percent: int, step: int, keep: Scratch) -> DataFrame:
+    """Links (x, y) between components that the groups give. In the first round queries are the families' leaders, which meet
+    the groups of their family; then all classes, which meet the groups that the matrix names, in the last round only
+    members that aren't smaller, for each pair is to be compared once."""
+    first, last = step == 0, step == ROUNDS - 1
+    members = partitioned(open_tokens, step, keep)
+    if first:
         maybe = members.where("grp is not null").select(F.col("leader").alias("x"), F.col("grp").alias("g")).distinct()
     else:
-        maybe = matrix_candidates(open_tokens, members, percent, keep)
+        maybe = matrix_candidates(open_tokens, members, percent, not last, keep)
     inside = members.where("grp is not null").select(F.col("grp").alias("g"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
     sizes = inside.groupBy("g").agg(F.min("n_y").alias("g_lo"), F.max("n_y").alias("g_hi"), F.min("c_y").alias("g_comp_lo"), F.max("c_y").alias("g_comp_hi"))
     asks = members.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"))
     other = (F.col("c_x") != F.col("g_comp_lo")) | (F.col("c_x") != F.col("g_comp_hi"))
     sized = maybe.join(asks, "x").join(keep(sizes, "group-sizes"), "g").where(other & fits("n_x", "g_lo", percent) & fits("g_hi", "n_x", percent))
-    sized = keep(sized.select("x", "c_x", "n_x", "g", (F.col("g_lo") if leaders else F.greatest("g_lo", "n_x")).alias("least")), "sized")
+    sized = keep(sized.select("x", "c_x", "n_x", "g", (F.greatest("g_lo", "n_x") if last else F.col("g_lo")).alias("least")), "sized")
     # the largest counts by hash range of the groups' members
     bands = classes.select(F.col("rep").alias("y"), "bands")
     listed = keep(inside.join(sized.select("g").distinct(), "g", "left_semi").select("y", "g"), "sized-members")
@@ -241,7 +247,7 @@ def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classe
     most = (F.size(F.array_intersect("m", "u")) + F.col("n_x") - F.size("m")).cast("long")
     opened = keep(asked.where(leaves_room(most, F.col("n_x"), F.col("least"), percent)).select("x", "c_x", "n_x", "g"), "opened")
     pairs = opened.join(inside, "g").where((F.col("c_x") != F.col("c_y")) & fits("n_x", "n_y", percent) & fits("n_y", "n_x", percent))
-    if not leaders:
+    if last:
         pairs = pairs.where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
     pairs = keep(possible(pairs.select("x", "y"), classes, percent), "opened-pairs")
     sets = sets_of(docs, with_sig(pairs.select("x").union(pairs.select("y")), classes), size, keep)
@@ -265,13 +271,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     tokens = materialize(tokens.join(materialize(shared, "shared-tokens"), "token"), "tokens")
     reps = tokens.select("rep").distinct()
     comp = materialize(reps.select("rep", F.col("rep").alias("comp")), "components")
-    for step in range(LEADER_ROUNDS + 1):
+    for step in range(ROUNDS):
         with Scratch(docs.sparkSession) as keep:
             open_tokens = keep(bridging(tokens, comp, keep), "open-tokens")
-            links = keep(group_links(open_tokens, slim, seen, classes, size, percent, step < LEADER_ROUNDS, keep), "similar")
+            links = keep(group_links(open_tokens, slim, seen, classes, size, percent, step, keep), "similar")
             if not links.isEmpty():
                 comp = merged(comp, links)
-    least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
+    # a table, so that the join may split a component with most classes
+    least = materialize(comp.groupBy("comp").agg(F.min("rep").alias("least")), "component-ids")
     known = classes.select("sig", "rep").join(comp, "rep", "left").join(least, "comp", "left").select("sig", F.coalesce("least", "rep").alias("component"))
     out = seen.select("id", "n", "sig").join(known, "sig", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
