@@ -48,7 +48,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     project = load_config(args.config)
     if args.command == "validate-manifest":
         _, issues = manifests.validate(spark, project, not args.no_check_files)
-        for r in issues.orderBy("row_number", "severity", "code").limit(1000).collect():
+        for r in issues.orderBy("row_number", "severity", "code").toLocalIterator():
             print(f"{r.severity}: row {r.row_number}: {r.message}")
         return int(not issues.where("severity = 'error'").isEmpty())
     study = stages.load(spark, project, not args.no_check_files)

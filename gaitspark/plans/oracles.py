@@ -161,7 +161,7 @@ SELECT p_partkey, round(d, 6) AS duration_s, round(f, 6) AS frame_rate_hz, coale
         for c in ("imu__total", "imu__orders", "availability__imu", "audio__mean_value", "availability__audio", "clinical__balance", "availability__clinical")
     ),
     "clinical_union_dedupe": """SELECT DISTINCT n::VARCHAR AS participant_id, (n % 5)::BIGINT AS clinical__group, 1::BIGINT AS availability__clinical FROM (SELECT s_nationkey AS n FROM supplier UNION ALL SELECT c_nationkey FROM customer)""",
-    "dual_task_cost": """WITH o AS (SELECT o_custkey AS participant_id, o_orderpriority AS condition, max(o_orderkey) AS trial_id, avg(o_totalprice) AS p, count(*)::DOUBLE AS k FROM orders WHERE o_custkey % 3 > 0 OR o_orderpriority = '1-URGENT' GROUP BY ALL)
+    "dual_task_cost": """WITH o AS (SELECT o_custkey AS participant_id, o_orderpriority AS condition, max(o_orderkey) AS trial_id, avg(o_totalprice) AS p, count(*)::DOUBLE AS k FROM orders GROUP BY ALL)
 SELECT s.participant_id, s.trial_id AS single_trial_id, d.trial_id AS dual_trial_id, round(s.p, 4) AS single__imu_mean_price, round(d.p, 4) AS dual__imu_mean_price, round((d.p - s.p) / abs(s.p) * 100, 4) AS dtc__imu_mean_price_pct,
   s.k AS single__audio_orders_pct, d.k AS dual__audio_orders_pct, round((s.k - d.k) / abs(s.k) * 100, 4) AS dtc__audio_orders_pct, 2::BIGINT AS dtc_valid_metric_count
 FROM o s JOIN o d ON s.participant_id = d.participant_id AND s.condition = '1-URGENT' AND d.condition = '5-LOW'""",

@@ -33,10 +33,10 @@ class Study:
         return self.tables[name]
 
     def export(self, name: str, path: str) -> None:
-        """A CSV with a header in the output folder: maps and lists as JSON."""
+        """A folder of CSV parts with headers in the output folder: maps and lists as JSON."""
         df = self.tables[name]
         flat = [F.to_json(c).alias(c) if k.startswith(("map", "array")) else F.col(c) for c, k in df.dtypes]
-        df.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{self.project.resolve(self.project.output_dir)}/{path}")
+        df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{self.project.resolve(self.project.output_dir)}/{path}")
 
 
 def status(df: DataFrame, note: str) -> DataFrame:

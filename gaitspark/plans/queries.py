@@ -300,7 +300,7 @@ def clinical_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dual_task_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 3 > 0 or o_orderpriority = '1-URGENT'")
+    rows = table(spark, sf_dir, "orders")
     rows = rows.groupBy(F.col("o_custkey").alias("participant_id"), F.col("o_orderpriority").alias("condition")).agg(
         F.max("o_orderkey").alias("trial_id"), F.avg("o_totalprice").alias("imu__mean_price"), F.count("*").cast("double").alias("audio__orders_pct")
     )
