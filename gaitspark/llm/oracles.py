@@ -32,8 +32,10 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-TRIMMED = f"trim(lower(coalesce(text, '')), {BLANKS})"
-WORD_LIST = f"CASE WHEN {TRIMMED} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({TRIMMED}, '[\\x20\\x09-\\x0D]+') END"
+WORD_LIST_OF = "CASE WHEN trim({0}, {1}) = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(trim({0}, {1}), '[\\x20\\x09-\\x0D]+') END"
+WORD_LIST = WORD_LIST_OF.format("lower(coalesce(text, ''))", BLANKS)
+LOWERED_WORDS = WORD_LIST_OF.format(LOWER.format("coalesce(text, '')"), BLANKS)
+WORDS = WORD_LIST_OF.format("coalesce(text, '')", BLANKS)
 
 SQL["op8_contained_benchmarks"] = f"""
 WITH item_words AS (SELECT item_id, {WORD_LIST} AS w FROM benchmark),
@@ -49,3 +51,47 @@ doc_shingles AS (
 found AS (SELECT doc_id, item_id, count(*) AS n_found FROM doc_shingles JOIN item_shingles USING (k, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_found FROM found JOIN sizes USING (item_id) WHERE 100 * n_found >= 80 * n_shingles
 """
+
+SQL["op3_jaccard_components"] = f"""
+WITH RECURSIVE doc_words AS (SELECT doc_id, {LOWERED_WORDS} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, least(len(w), 3) AS k, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS p FROM doc_words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL)
+  JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE 100 * shared >= 90 * (sx.n + sy.n - shared)),
+reached(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id
+FROM documents d JOIN reached r ON r.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+COVERAGES = {5: "0.40", 6: "0.38", 8: "0.34", 10: "0.30"}
+GRAMS = ", ".join("concat_ws(' ', word, " + ", ".join(f"lead(word, {i}) OVER in_text" for i in range(1, k)) + f") AS g{k}, lead(p, {k - 1}) OVER in_text IS NOT NULL AS whole{k}" for k in COVERAGES)
+TWICE = ", ".join(f"whole{k} AND count(*) OVER (PARTITION BY doc_id, whole{k}, g{k}) > 1 AS d{k}" for k in COVERAGES)
+INSIDE = ", ".join(f"bool_or(d{k}) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS c{k}" for k in COVERAGES)
+COVERED = ", ".join(f"sum(length(word)) FILTER (c{k}) AS c{k}" for k in COVERAGES)
+FINE = " AND ".join(f"coalesce(c{k}, 0) / greatest(1, word_chars) <= {most}::DOUBLE" for k, most in COVERAGES.items())
+
+SQL["op4_repetition_coverage"] = f"""
+WITH doc_words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+text_words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc_words),
+grams AS (SELECT doc_id, p, word, {GRAMS} FROM text_words WINDOW in_text AS (PARTITION BY doc_id ORDER BY p)),
+twice AS (SELECT doc_id, p, word, {TWICE} FROM grams),
+inside AS (SELECT doc_id, word, {INSIDE} FROM twice),
+by_words AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, count_if(c8) AS n_repeat_words, {COVERED} FROM inside GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g') AS packed, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+by_lines AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(packed)) AS line_chars FROM lines WHERE nth > 1 AND packed <> '' GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, line_chars, {", ".join(f"c{k}" for k in COVERAGES)}
+  FROM documents d LEFT JOIN by_words USING (doc_id) LEFT JOIN by_lines USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(line_chars, 0) / greatest(1, word_chars) <= 0.30::DOUBLE AND n_symbols <= 0.25::DOUBLE * n_words AND {FINE} AS kept
+FROM judged
+"""
