@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .config import load_config
 from .plans import project as stages
 from .plans.report import report
@@ -28,10 +29,13 @@ COMMANDS = {
     "generate-report": ("preprocess", "annotate", "synchronize", "listen", "step", "watch", "fuse", "report"),
     "run-all": ("preprocess", "annotate", "synchronize", "listen", "step", "watch", "fuse", "model?", "report"),
 }
+#: run-all goes on after these stages only if no trial has failed so far.
+GATES = ("preprocess", "synchronize", "watch")
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="gaitspark")
+    out.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     sub = out.add_subparsers(dest="command", required=True)
     made = sub.add_parser("generate-synthetic")
     made.add_argument("--output", required=True)
@@ -41,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.add_argument("--config", required=True)
         p.add_argument("--no-check-files", action="store_true")
+        if name == "generate-report":
+            p.add_argument("--output")
     return out
 
 
@@ -55,22 +61,21 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     failed = successes = 0
     for name in COMMANDS[args.command]:
         if name == "report":
-            path = f"{project.resolve(project.output_dir)}/research_summary.md"
-            os.makedirs(os.path.dirname(path), exist_ok=True)
+            path = getattr(args, "output", None) or f"{project.resolve(project.output_dir)}/research_summary.md"
+            os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
             with open(path, "w", encoding="utf-8") as f:
                 f.write(report(study))
         elif name == "model" or name == "model?" and project.modeling.enabled:
             successes = stages.model(study)
             failed += not successes
         elif name == "watch":
-            stages.watch(study, None, None, None)
+            stages.watch(study)
         elif name != "model?":
             getattr(stages, name)(study)
-        if name == "preprocess" and args.command == "run-all" and stages.failures(study):
-            return 1
-    for name, path in stages.EXPORTS.items():
-        if name in study.tables:
-            study.export(name, path)
+        if name in GATES and args.command == "run-all" and stages.failures(study):
+            print(f"error: {name} has failures, later stages were not run", file=sys.stderr)
+            break
+    stages.export(study)
     return int(bool(failed or stages.failures(study)))
 
 

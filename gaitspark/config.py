@@ -174,6 +174,9 @@ class Video:
     minimum_pose_detection_confidence: float = set_to(0.5, share)
     minimum_pose_presence_confidence: float = set_to(0.5, share)
     minimum_tracking_confidence: float = set_to(0.5, share)
+    probe_table: str | None = set_to(None, maybe_text)
+    landmark_table: str | None = set_to(None, maybe_text)
+    frame_table: str | None = set_to(None, maybe_text)
 
 
 @dataclass(frozen=True)

@@ -60,8 +60,13 @@ def matched(found: DataFrame, reference: DataFrame, keys: Keys, time: str, toler
     both = both.withColumn("n", F.row_number().over(along([*keys, "kind"], time)))
     w = along(keys, time, "kind", "n")
     both = both.withColumn("_new", F.coalesce(F.col(time) - F.lag(time).over(w) > tolerance, F.lit(True)).cast("int")).withColumn("cluster", F.sum("_new").over(w))
-    side = lambda k, name: both.where(F.col("kind") == k).select(*keys, "cluster", F.col("n").alias(name), F.col(time).alias(f"t_{name}"))
-    near = side(0, "i").join(side(1, "r"), [*keys, "cluster"]).withColumn("error", F.abs(F.col("t_i") - F.col("t_r"))).where(F.col("error") <= tolerance)
+    # near events are in the same stretch of time or in neighbouring ones, so no pair beyond two tolerances is made
+    place = F.floor(F.col(time) / tolerance) if tolerance > 0 else F.col(time)
+    side = lambda k, name: both.where(F.col("kind") == k).select(*keys, "cluster", F.col("n").alias(name), F.col(time).alias(f"t_{name}"), place.alias("_place"))
+    around = side(1, "r")
+    if tolerance > 0:
+        around = around.withColumn("_place", F.explode(F.array(*[F.col("_place") + d for d in (-1, 0, 1)])))
+    near = side(0, "i").join(around, [*keys, "cluster", "_place"]).drop("_place").withColumn("error", F.abs(F.col("t_i") - F.col("t_r"))).where(F.col("error") <= tolerance)
     lists = near.groupBy(*keys, "cluster").agg(F.array_sort(F.collect_list(F.struct("error", "i", "r"))).alias("near"))
     none = F.array().cast("array<struct<error:double,i:int,r:int>>")
     taken = F.aggregate("near", none, lambda a, c: F.when(F.exists(a, lambda x: (x["i"] == c["i"]) | (x["r"] == c["r"])), a).otherwise(F.array_append(a, c)))

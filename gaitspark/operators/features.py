@@ -9,7 +9,7 @@ from ..functions.expressions import cv_percent, distance, finite, lean_degrees,
 from ..schemas import ACCELERATION
 from .events import agreement, contact_timing, measured
 from .kernels import step_events
-from .series import Keys, along, gradient, sampling
+from .series import Keys, along, gradient
 from .windows import clipped, extents, full_scopes, parts_of_trials, phase_scopes, sliced, turning, walking, with_all
 
 SCOPE = ["feature_level", "segment_name"]
@@ -26,7 +26,7 @@ def signal_features(samples: DataFrame, scopes: DataFrame, keys: Keys) -> DataFr
     inside = sliced(samples, scopes, keys, "timestamp")
     axes = [c for c in ACCELERATION if c in samples.columns]
     w = along(scope, "timestamp")
-    parts = inside.withColumns({f"_j_{c}": gradient(F.col(c), F.col("timestamp"), w) for c in axes})
+    parts = inside.withColumns({f"_j_{c}": gradient(F.col(c), F.col("timestamp"), w) for c in axes} | {"_dt": F.col("timestamp") - F.lag("timestamp").over(w)})
     signal = lambda c: F.col(c) if c in samples.columns else F.lit(None).cast("double")
     jerk = F.sqrt(sum((F.col(f"_j_{c}") * F.col(f"_j_{c}") for c in axes), F.lit(0.0))) if axes else F.lit(None).cast("double")
     ml = finite(signal("acc_ml"))
@@ -39,9 +39,9 @@ def signal_features(samples: DataFrame, scopes: DataFrame, keys: Keys) -> DataFr
         (F.max(ml) - F.min(ml)).alias("pelvis_acc_range_ml_m_s2"),
         rms(jerk).alias("pelvis_jerk_rms_m_s3"),
         rms(signal("gyro_yaw")).alias("angular_velocity_rms_rad_s"),
+        ratio(F.lit(1.0), F.median(F.when(F.col("_dt") > 0, F.col("_dt")))).alias("sampling_rate_hz"),
     )
-    rates = sampling(inside, scope, "timestamp").select(*scope, "sampling_rate_hz")
-    return prefixed(out.join(rates, scope, "left"), "imu__", keys)
+    return prefixed(out, "imu__", keys)
 
 
 def step_statistics(steps: DataFrame, parts: DataFrame, keys: Keys) -> DataFrame:

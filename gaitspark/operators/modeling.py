@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio, target_column
+from ..session import Scratch, materialize
 from .fusion import cohort, numeric_columns
 
-#: Groups are dealt to folds by size on the driver up to this many; beyond it by hash, where folds come out even.
-DEALT_GROUPS = 100_000
+#: A group is dealt by itself if it has more than 1 / (SHARES * folds) of the rows of a class; the others share packets.
+SHARES = 100
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -40,26 +41,40 @@ def scale(df: DataFrame, values: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def group_folds(df: DataFrame, group: str, folds: int, label: str | None = None) -> DataFrame:
-    """(group, fold): whole groups in folds 0 to folds - 1, the largest to the lightest fold; with a label, each fold's
-    share of every class is kept even."""
-    kinds = [label] if label else []
-    sizes = df.groupBy(group, *kinds).agg(F.count("*").alias("n"))
-    groups = sizes.select(group).distinct()
-    if groups.count() > DEALT_GROUPS:
-        return groups.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
-    own: dict[object, dict[object, int]] = {}
-    for r in sizes.collect():
-        own.setdefault(r[group], {})[r[label] if label else 0] = r["n"]
-    classes = sorted({c for v in own.values() for c in v}, key=str)
-    total = {c: sum(v.get(c, 0) for v in own.values()) for c in classes}
-    load = [dict.fromkeys(classes, 0) for _ in range(folds)]
-    fold_of = {}
-    for g in sorted(own, key=lambda g: (-max(own[g].values()), -sum(own[g].values()), str(g))):
-        at = min(range(folds), key=lambda k: (max((load[k][c] + own[g].get(c, 0)) / total[c] for c in classes), sum(load[k].values()), k))
-        fold_of[g] = at
-        for c, n in own[g].items():
+    """(group, fold): whole groups in folds 0 to folds - 1, the largest to the lightest fold; with a label of few classes,
+    each fold's share of every class is kept even.
+
+    What is dealt are groups with more than 1 / (SHARES * folds) of the rows of some class, and packets of all smaller
+    groups by hash: at most SHARES * folds * (classes + 1) items reach the driver, however many groups there are.
+    """
+    kind = F.col(label) if label else F.lit(0)
+    parts = SHARES * folds
+    with Scratch(df.sparkSession) as keep:
+        sizes = keep(df.groupBy(F.col(group).alias("who"), kind.alias("kind")).agg(F.count("*").alias("n")), "group-sizes")
+        total = {r["kind"]: r["n"] for r in sizes.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+        limit = F.coalesce(*[F.when(F.col("kind").eqNullSafe(F.lit(c)), F.lit(n)) for c, n in total.items()], F.lit(0))
+        heavy = sizes.groupBy("who").agg(F.max(F.col("n") * parts > limit).alias("heavy"))
+        item = F.when(F.col("heavy"), F.concat(F.lit("group "), F.coalesce(F.col("who").cast("string"), F.lit("")))).otherwise(F.concat(F.lit("packet "), F.pmod(F.xxhash64("who"), F.lit(parts)).cast("string")))
+        items = keep(heavy.select("who", item.alias("item")), "group-items")
+        same = sizes["who"].eqNullSafe(items["who"])
+        dealt = deal(sizes.join(items, same).groupBy("item", "kind").agg(F.sum("n").alias("n")).collect(), total, folds)
+        places = df.sparkSession.createDataFrame(dealt, "item string, fold int")
+        return materialize(items.join(F.broadcast(places), "item").select(F.col("who").alias(group), "fold"), "group-folds")
+
+
+def deal(counts: Sequence, total: dict, folds: int) -> list[tuple[str, int]]:
+    """Items (item, kind, n) to folds: the largest first, each to the fold whose fullest class stays the least full."""
+    own: dict[str, dict] = {}
+    for r in counts:
+        own.setdefault(r["item"], {})[r["kind"]] = r["n"]
+    load = [dict.fromkeys(total, 0) for _ in range(folds)]
+    out = []
+    for name in sorted(own, key=lambda g: (-max(own[g].values()), -sum(own[g].values()), g)):
+        at = min(range(folds), key=lambda k: (max((load[k][c] + own[name].get(c, 0)) / total[c] for c in total), sum(load[k].values()), k))
+        out.append((name, at))
+        for c, n in own[name].items():
             load[at][c] += n
-    return df.sparkSession.createDataFrame(list(fold_of.items()), f"{group} {dict(df.dtypes)[group]}, fold int")
+    return out
 
 
 def split_audit(folded: DataFrame, group: str, folds: int) -> DataFrame:
@@ -210,7 +225,7 @@ def evaluate(frame: DataFrame, feature_sets: dict[str, Sequence[str]], how: Base
                 label = (F.col(target) == positive).cast("double")
             data = data.withColumn("_y", label)
             placed = group_folds(data, how.group, k, "_y" if how.task_type == "classification" else None)
-            folded = data.join(F.broadcast(placed) if n <= DEALT_GROUPS else placed, how.group).persist()
+            folded = data.join(placed, how.group).persist()
             audit = split_audit(folded, how.group, k).collect()
             if any(r["group_overlap_count"] for r in audit):
                 raise RuntimeError("a participant group is in two folds")

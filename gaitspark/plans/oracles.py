@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries of this folder; what SQL can't express (kernels, folds, models, greedy matching) has tests instead."""
+"""DuckDB SQL for the queries of this folder; what SQL can't express (kernels, models) has tests instead."""
 
 S = "SELECT user_id, event_id, (epoch_us(ts) - 1704067200000000) / 1e6 AS t, event_type, value FROM events"
 GAPPY = f"SELECT user_id, event_id, t, CASE WHEN event_type <> 'error' THEN value END AS value FROM ({S})"
@@ -29,6 +29,15 @@ def changed(name: str, source: str, rule: str) -> str:
 {name} AS (SELECT user_id, t, {rule} AS state FROM {name}_c)"""
 
 
+def same_sign(name: str, source: str, order: str) -> str:
+    """CTEs that flip each label's quaternions to the side of the one before; the result has the columns of source."""
+    turned = ", ".join(f"v.{c} * s AS {c}" for c in ("qw", "qx", "qy", "qz"))
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {order}) AS n FROM {source}),
+{name} AS (SELECT label, n, {order}, qw, qx, qy, qz FROM {name}_n WHERE n = 1 UNION ALL
+  SELECT v.label, v.n, v.{order}, {turned} FROM {name} r JOIN {name}_n v ON v.label = r.label AND v.n = r.n + 1,
+  LATERAL (SELECT CASE WHEN r.qw * v.qw + r.qx * v.qx + r.qy * v.qy + r.qz * v.qz < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS s))"""
+
+
 BOTH = "CASE WHEN state = 1 AND n < 2 THEN 0 WHEN state = 0 AND run > 1 AND run < last_run AND n < 3 THEN 1 ELSE state END"
 SPEECH = "CASE WHEN state = 1 AND n < 2 THEN 0 ELSE state END"
 PAUSE = "CASE WHEN state = 0 AND run > 1 AND run < last_run AND n < 3 THEN 1 ELSE state END"
@@ -94,6 +103,33 @@ r AS (SELECT label, n, vec_id, qw, qx, qy, qz FROM v WHERE n = 1 UNION ALL
   SELECT v.label, v.n, v.vec_id, s * v.qw, s * v.qx, s * v.qy, s * v.qz FROM r JOIN v ON v.label = r.label AND v.n = r.n + 1,
   LATERAL (SELECT CASE WHEN r.qw * v.qw + r.qx * v.qx + r.qy * v.qy + r.qz * v.qz < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS s))
 SELECT vec_id, round(qw, 6) AS qw, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz FROM r""",
+    "slerp_resample": f"""WITH RECURSIVE unit AS (SELECT label, vec_id, {", ".join(f"{c} / sqrt(qw*qw + qx*qx + qy*qy + qz*qz) AS {c}" for c in ("qw", "qx", "qy", "qz"))} FROM ({VECTORS}) WHERE qw*qw + qx*qx + qy*qy + qz*qz > 0),
+{same_sign("valid", "unit", "vec_id")}, k AS (SELECT label, vec_id::DOUBLE AS t, [qw, qx, qy, qz] AS q FROM valid),
+b AS (SELECT label, min(vec_id)::DOUBLE AS a, max(vec_id)::DOUBLE AS z FROM embeddings GROUP BY label),
+g AS (SELECT label, unnest(range(0, floor((z - a) * 0.1 + 1e-9)::BIGINT + 1)) AS grid_index, a FROM b), x AS (SELECT label, grid_index, a + grid_index * 10.0 AS t FROM g),
+p AS (SELECT x.*, k.t AS pt, k.q AS p FROM x ASOF LEFT JOIN k ON x.label = k.label AND x.t >= k.t), pq AS (SELECT p.*, k.t AS qt, k.q AS q FROM p ASOF LEFT JOIN k ON p.label = k.label AND p.t < k.t),
+u AS (SELECT *, (t - pt) / (qt - pt) AS u, acos(greatest(-1, least(1, list_dot_product(p, q)))) AS w FROM pq),
+s AS (SELECT *, CASE WHEN sin(w) < 1e-9 THEN 1 - u ELSE sin((1 - u) * w) / sin(w) END AS c, CASE WHEN sin(w) < 1e-9 THEN u ELSE sin(u * w) / sin(w) END AS d FROM u),
+mixed AS (SELECT label, grid_index, {", ".join(f"coalesce(p[{i}] * c + q[{i}] * d, p[{i}], q[{i}]) AS {n}" for i, n in enumerate(("qw", "qx", "qy", "qz"), 1))} FROM s), {same_sign("even", "mixed", "grid_index")}
+SELECT label, grid_index, round(qw, 6) AS qw, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz FROM even""",
+    # the closest pair of an event that is also the closest of its partner is taken, in rounds: the same as closest first
+    "event_match": f"""WITH RECURSIVE e AS (SELECT user_id, event_type, t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t) AS n FROM ({S})),
+near AS (SELECT f.user_id, f.n AS i, r.n AS r, abs(f.t - r.t) AS error FROM e f JOIN e r ON f.user_id = r.user_id AND f.event_type = 'click' AND r.event_type = 'view' AND abs(f.t - r.t) <= 20000),
+m AS (SELECT *, false AS taken FROM near UNION ALL
+  SELECT user_id, i, r, error, taken FROM (SELECT *, bool_or(taken) OVER (PARTITION BY user_id, i) OR bool_or(taken) OVER (PARTITION BY user_id, r) AS used FROM (
+    SELECT user_id, i, r, error, row_number() OVER (PARTITION BY user_id, i ORDER BY error, i, r) = 1 AND row_number() OVER (PARTITION BY user_id, r ORDER BY error, i, r) = 1 AS taken FROM m WHERE NOT taken)) WHERE taken OR NOT used),
+k AS (SELECT user_id, count(*) AS m, avg(error) AS err FROM m WHERE taken GROUP BY user_id),
+c AS (SELECT user_id, nullif(count_if(event_type = 'click'), 0) AS f, nullif(count_if(event_type = 'view'), 0) AS r FROM e GROUP BY user_id)
+SELECT user_id, coalesce(m, 0) AS matched_event_count, round(coalesce(m, 0) / f, 6) AS event_precision, round(coalesce(m, 0) / r, 6) AS event_recall, round(err, 6) AS event_mean_abs_error_s,
+  round(CASE WHEN m > 0 THEN 2 * (m / f) * (m / r) / (m / f + m / r) END, 6) AS event_agreement_f1 FROM c LEFT JOIN k USING (user_id)""",
+    # every source is large enough to be dealt by itself
+    "group_folds": """WITH RECURSIVE s AS (SELECT source, count_if(quality = 0) AS a, count_if(quality = 1) AS b FROM labels JOIN documents USING (doc_id) GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY greatest(a, b) DESC, a + b DESC, source) AS n FROM s), whole AS (SELECT nullif(sum(a), 0)::BIGINT AS ta, nullif(sum(b), 0)::BIGINT AS tb FROM s),
+g AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS source, NULL::BIGINT AS fold, [0, 0, 0]::BIGINT[] AS la, [0, 0, 0]::BIGINT[] AS lb UNION ALL
+  SELECT o.n, o.source, k, [la[i] + CASE WHEN i = k + 1 THEN a ELSE 0 END FOR i IN [1, 2, 3]]::BIGINT[], [lb[i] + CASE WHEN i = k + 1 THEN b ELSE 0 END FOR i IN [1, 2, 3]]::BIGINT[]
+  FROM g JOIN o ON o.n = g.n + 1, whole,
+  LATERAL (SELECT list_sort([{'c': greatest(coalesce((la[i] + a) / ta, 0), coalesce((lb[i] + b) / tb, 0)), 's': la[i] + lb[i], 'k': i - 1} FOR i IN [1, 2, 3]])[1].k::BIGINT AS k))
+SELECT source, fold FROM g WHERE n > 0""",
     "step_statistics": f"""WITH p AS (SELECT user_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM ({S}) WHERE event_type = 'purchase'),
 a AS (SELECT user_id, count(*) AS n, avg(gap) AS m, stddev_samp(gap) AS sd FROM p GROUP BY user_id)
 SELECT b.user_id, round(m, 4) AS imu__mean_step_time_s, round(sd, 4) AS imu__step_time_sd_s, round(sd / m * 100, 4) AS imu__step_time_cv_pct, coalesce(n, 0) AS imu__step_count,

@@ -163,17 +163,28 @@ def step(study: Study) -> None:
     at = [c for c in samples.columns if c not in KEYS]
     out = features.footswitch_features(found, known(study, "footswitch", "imu").select(*KEYS, *at), known(study, "footswitch", "segments"), KEYS, imu.step_min_interval_s, imu.step_prominence, how.event_matching_tolerance_s, steps)
     study.keep("footswitch_features", out)
-    study.keep("imu_features", features.imu_features(samples, segments, KEYS, imu.step_min_interval_s, imu.step_prominence, steps))
-
-
-def watch(study: Study, metadata: DataFrame | None, landmarks: DataFrame | None, frames: DataFrame | None) -> None:
-    """Video features of probed metadata and of pose tables that another program made."""
-    spark, ids = study.spark, ", ".join(f"{k} string" for k in KEYS)
-    metadata = metadata if metadata is not None else spark.createDataFrame([], f"{ids}, duration_s double, frame_rate_hz double, total_frames long, width_pixels int, height_pixels int")
-    landmarks = landmarks if landmarks is not None else spark.createDataFrame([], f"{LANDMARKS}, landmark_index int")
-    frames = frames if frames is not None else spark.createDataFrame([], FRAMES)
-    study.keep("video_features", features.video_features(metadata, landmarks, frames, study.tables["segments"], study.tables["bounds"], KEYS, study.project.video.minimum_visibility))
-    study.keep("video_qc", metadata.select(*KEYS, F.lit("pass").alias("qc_status"), F.lit("").alias("qc_notes")))
+    empty = windows.empty_windows(samples, segments, KEYS, "timestamp").groupBy(*KEYS).agg(F.min_by(F.concat(F.lit("no samples in segment "), "segment_name"), "start_time").alias("error"))
+    wrong = study.keep("imu_feature_failures", empty.unionByName(study.tables["segment_errors"].select(*KEYS, "error")))
+    whole = lambda df: df.join(wrong.select(*KEYS), KEYS, "left_anti")
+    study.keep("imu_features", features.imu_features(whole(samples), whole(segments), KEYS, imu.step_min_interval_s, imu.step_prominence, whole(steps)))
+
+
+def watch(study: Study, metadata: DataFrame | None = None, landmarks: DataFrame | None = None, frames: DataFrame | None = None) -> None:
+    """Video features of probes and of pose tables that other programs made: the tables given, else the Parquet tables that
+    the configuration names (a probe is the keys and its JSON text). A trial's video without a usable probe fails."""
+    spark, how, ids = study.spark, study.project.video, ", ".join(f"{k} string" for k in KEYS)
+    stored = lambda path, schema: spark.read.parquet(study.project.resolve(path)) if path else spark.createDataFrame([], schema)
+    if metadata is None:
+        metadata = signals.video_metadata(stored(how.probe_table, f"{ids}, probe string"))
+    landmarks = landmarks if landmarks is not None else stored(how.landmark_table, f"{LANDMARKS}, landmark_index int")
+    frames = frames if frames is not None else stored(how.frame_table, FRAMES)
+    if "error" not in metadata.columns:
+        metadata = metadata.withColumn("error", F.lit(None).cast("string"))
+    good = metadata.where("error is null").drop("error")
+    study.keep("video_features", features.video_features(good, landmarks, frames, study.tables["segments"], study.tables["bounds"], KEYS, how.minimum_visibility))
+    filmed = study.tables["manifest"].where("video_path <> ''").select(*KEYS).join(metadata.select(*KEYS, "error", F.lit(True).alias("_probed")), KEYS, "full")
+    note = F.coalesce("error", F.when(F.col("_probed").isNull(), "the video has no probe"), F.lit(""))
+    study.keep("video_qc", filmed.select(*KEYS, F.when(note == "", "pass").otherwise("fail").alias("qc_status"), note.alias("qc_notes")))
 
 
 def fuse(study: Study) -> None:
@@ -204,12 +215,24 @@ def model(study: Study) -> int:
 EXPORTS = {
     "imu_qc": "qc/imu_preprocessing", "synchronization": "qc/synchronization", "audio_qc": "qc/audio", "footswitch_qc": "qc/footswitch", "video_qc": "qc/video",
     "imu_features": "features/imu_features", "audio_features": "features/audio_features", "footswitch_features": "features/footswitch_features", "video_features": "features/video_features",
-    "multimodal_features": "features/multimodal_features", "feature_inventory": "features/feature_inventory", "dual_task_costs": "features/dual_task_costs",
+    "imu_feature_failures": "features/imu_feature_failures", "segment_errors": "qc/annotation_errors", "multimodal_features": "features/multimodal_features", "feature_inventory": "features/feature_inventory", "dual_task_costs": "features/dual_task_costs",
+    "modeling_predictions": "modeling/predictions", "modeling_fold_metrics": "modeling/fold_metrics", "modeling_summary": "modeling/summary", "modeling_split_audit": "modeling/split_audit", "modeling_skipped": "modeling/skipped",
 }
 
 
-def failures(study: Study, names: tuple[str, ...] = ("imu_qc", "audio_qc", "footswitch_qc", "video_qc")) -> int:
-    return sum(study.tables[n].where("qc_status = 'fail'").count() for n in names if n in study.tables)
+#: The rows of a table that are failures; an alignment that is done and misses a limit isn't one.
+FAILED = {name: "qc_status = 'fail'" for name in ("imu_qc", "audio_qc", "footswitch_qc", "video_qc")} | dict.fromkeys(("segment_errors", "synchronization", "imu_feature_failures"), "error is not null")
+
+
+def failures(study: Study) -> int:
+    """How many failures the stages run so far have recorded."""
+    return sum(study.tables[n].where(rule).count() for n, rule in FAILED.items() if n in study.tables)
+
+
+def export(study: Study) -> None:
+    for name, path in EXPORTS.items():
+        if name in study.tables:
+            study.export(name, path)
 
 
 def load(spark: SparkSession, project: Project, check_files: bool = True) -> Study:
@@ -234,7 +257,5 @@ def run_all(spark: SparkSession, project: Project, metadata: DataFrame | None =
     fuse(study)
     if project.modeling.enabled:
         model(study)
-    for name, path in EXPORTS.items():
-        if name in study.tables:
-            study.export(name, path)
+    export(study)
     return study

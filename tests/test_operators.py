@@ -181,3 +181,15 @@ def test_grouped_evaluation(spark):
     assert {r.group_overlap_count for r in out["split_audit"].collect()} == {0}
     alone = modeling.evaluate(df.where("participant_id = 'P001'"), {"imu": ("imu",)}, how, keys)
     assert alone["successful"] == 0 and alone["skipped"].count() == 2
+
+
+def test_folds_of_many_groups(spark):
+    """More groups than are dealt one by one: whole groups, even folds and classes, the large group's fold gets less else."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 4 == 0, "large").otherwise(F.concat(F.lit("g"), (F.col("id") % 7_001).cast("string"))).alias("who"), (F.xxhash64("id") % 5 == 0).cast("int").alias("y")
+    )
+    folded = rows.join(modeling.group_folds(rows, "who", 3, "y"), "who")
+    assert folded.count() == 40_000 and folded.groupBy("who").agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty()
+    for r in folded.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect():
+        assert r.n == pytest.approx(40_000 / 3, rel=0.02) and r.y == pytest.approx(rows.agg(F.sum("y")).first()[0] / 3, rel=0.03)
+    assert modeling.group_folds(rows.where("false"), "who", 3, "y").count() == 0

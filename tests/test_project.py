@@ -92,3 +92,54 @@ def test_broken_file_fails_its_trial_only(spark, tmp_path):
     stages.preprocess(s)
     assert {r.trial_id: r.qc_status for r in s.tables["imu_qc"].collect()} == {"T01": "pass", "T02": "fail"}
     assert s.tables["imu"].select(F.count_distinct("trial_id")).first()[0] == 1
+
+
+def made(tmp_path, **change):
+    write_study(f"{tmp_path}/study")
+    (tmp_path / "config.yaml").write_text(yaml.safe_dump(CONFIG | change))
+    return lambda spark, command: cli.main([command, "--config", str(tmp_path / "config.yaml")], spark)
+
+
+def test_failed_synchronization_stops_a_run(spark, tmp_path, capsys):
+    run = made(tmp_path, synchronization={"offsets_seconds": {"audio": 0.0}})
+    assert run(spark, "synchronize") == 1 and run(spark, "run-all") == 1
+    assert "synchronize has failures" in capsys.readouterr().err
+    assert (tmp_path / "outputs/qc/synchronization").exists() and not (tmp_path / "outputs/features").exists()
+
+
+def test_phase_without_samples_fails_its_trial(spark, tmp_path):
+    run = made(tmp_path)
+    path = next((tmp_path / "study/P001/S01/T02").glob("*annot*"))
+    lines = path.read_text().splitlines()
+    first = dict(zip(lines[0].split(","), lines[1].split(",")))
+    first |= {"segment_name": "blink", "start_time": "1.001", "end_time": "1.002"}
+    path.write_text("\n".join([*lines, ",".join(first.values())]) + "\n")
+    assert run(spark, "extract-features") == 1
+    rows = spark.read.parquet(f"{tmp_path}/processed/imu_features.parquet")
+    wrong = spark.read.parquet(f"{tmp_path}/processed/imu_feature_failures.parquet").collect()
+    assert {r.trial_id for r in rows.collect()} == {"T01"} and [(r.trial_id, r.error) for r in wrong] == [("T02", "no samples in segment blink")]
+    path.write_text("\n".join([*lines, lines[1].rsplit(",", 2)[0] + ",7,"]) + "\n")
+    assert run(spark, "synchronize") == 1
+
+
+def test_videos_need_probes(spark, tmp_path):
+    run = made(tmp_path, video={"probe_table": "probes.parquet"})
+    manifest = tmp_path / "study/participants.csv"
+    lines = manifest.read_text().splitlines()
+    at = lines[0].split(",").index("video_path")
+    with_video = [",".join([*line.split(",")[:at], "gait.mp4", *line.split(",")[at + 1 :]]) for line in lines[1:]]
+    manifest.write_text("\n".join([lines[0], *with_video]) + "\n")
+    (tmp_path / "gait.mp4").write_bytes(b"video")
+    (tmp_path / "study/gait.mp4").write_bytes(b"video")
+    probe = '{"streams": [{"duration": "20", "avg_frame_rate": "25/1", "width": "640", "height": "480"}], "format": {}}'
+    keys = [dict(zip(lines[0].split(","), line.split(","))) for line in lines[1:]]
+    rows = [(k["participant_id"], k["session_id"], k["trial_id"], k["condition"], probe) for k in keys]
+    write = lambda some: spark.createDataFrame(some, "participant_id string, session_id string, trial_id string, condition string, probe string").write.mode("overwrite").parquet(f"{tmp_path}/probes.parquet")
+    write(rows)
+    assert run(spark, "process-video") == 0
+    found = spark.read.parquet(f"{tmp_path}/processed/video_features.parquet").where("feature_level = 'trial'").collect()
+    assert len(found) == 2 and {r.video__total_frames for r in found} == {500}
+    write(rows[:1])
+    assert run(spark, "process-video") == 1
+    qc = {r.trial_id: (r.qc_status, r.qc_notes) for r in spark.read.parquet(f"{tmp_path}/processed/video_qc.parquet").collect()}
+    assert qc == {rows[0][2]: ("pass", ""), rows[1][2]: ("fail", "the video has no probe")}
