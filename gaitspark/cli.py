@@ -16,19 +16,19 @@ from .plans.report import report
 from .sources import manifest as manifests
 from .sources.synthetic import write_study
 
-#: The commands, and the stages that each runs in order.
+#: The commands, the stages that each needs in order, and the tables whose failures it answers for.
 COMMANDS = {
-    "preprocess": ("preprocess",),
-    "synchronize": ("preprocess", "annotate", "synchronize"),
-    "process-audio": ("preprocess", "annotate", "synchronize", "listen"),
-    "process-footswitch": ("preprocess", "annotate", "synchronize", "step"),
-    "process-video": ("preprocess", "annotate", "watch"),
-    "extract-features": ("preprocess", "annotate", "synchronize", "listen", "step", "watch"),
-    "fuse-features": ("preprocess", "annotate", "synchronize", "listen", "step", "watch", "fuse"),
-    "run-baselines": ("preprocess", "annotate", "synchronize", "listen", "step", "watch", "fuse", "model"),
-    "generate-report": ("preprocess", "annotate", "synchronize", "listen", "step", "watch", "fuse", "report"),
-    "run-all": ("preprocess", "annotate", "synchronize", "listen", "step", "watch", "fuse", "model?", "report"),
-}
+    "preprocess": (("preprocess",), ("imu_qc",)),
+    "synchronize": (("preprocess", "annotate", "synchronize"), ("synchronization", "segment_errors")),
+    "process-audio": (("preprocess", "annotate", "synchronize", "listen"), ("audio_qc",)),
+    "process-footswitch": (("preprocess", "annotate", "synchronize", "step"), ("footswitch_qc",)),
+    "process-video": (("preprocess", "annotate", "watch"), ("video_qc",)),
+    "extract-features": (("preprocess", "annotate", "synchronize", "listen", "step", "watch"), ("imu_feature_failures", "segment_errors")),
+    "fuse-features": (stages.ORDER, ()),
+    "run-baselines": ((*stages.ORDER, "model"), ()),
+    "generate-report": (stages.ORDER, ()),
+    "run-all": (stages.ORDER, tuple(stages.FAILED)),
+}
 #: run-all goes on after these stages only if no trial has failed so far.
 GATES = ("preprocess", "synchronize", "watch")
 
@@ -36,21 +36,31 @@ GATES = ("preprocess", "synchronize", "watch")
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="gaitspark")
     out.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
+    out.add_argument("--verbose", action="store_true", help="say which stages ran and which were current")
     sub = out.add_subparsers(dest="command", required=True)
     made = sub.add_parser("generate-synthetic")
-    made.add_argument("--output", required=True)
+    made.add_argument("--output", default="data/synthetic")
     made.add_argument("--participants", type=int, default=1)
     made.add_argument("--seed", type=int, default=42)
     for name in ("validate-manifest", *COMMANDS):
         p = sub.add_parser(name)
-        p.add_argument("--config", required=True)
+        p.add_argument("--config", default="configs/example.yaml")
         p.add_argument("--no-check-files", action="store_true")
         if name == "generate-report":
             p.add_argument("--output")
     return out
 
 
+def write_report(study: stages.Study, path: str | None) -> None:
+    path = path or f"{study.project.resolve(study.project.output_dir)}/research_summary.md"
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(report(study))
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
+    """A command's stages: those whose tables are current are read, the others run. A report shows modelling where its
+    tables are current, and doesn't run it."""
     project = load_config(args.config)
     if args.command == "validate-manifest":
         _, issues = manifests.validate(spark, project, not args.no_check_files)
@@ -58,25 +68,26 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             print(f"{r.severity}: row {r.row_number}: {r.message}")
         return int(not issues.where("severity = 'error'").isEmpty())
     study = stages.load(spark, project, not args.no_check_files)
-    failed = successes = 0
-    for name in COMMANDS[args.command]:
-        if name == "report":
-            path = getattr(args, "output", None) or f"{project.resolve(project.output_dir)}/research_summary.md"
-            os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(report(study))
-        elif name == "model" or name == "model?" and project.modeling.enabled:
-            successes = stages.model(study)
-            failed += not successes
-        elif name == "watch":
-            stages.watch(study)
-        elif name != "model?":
-            getattr(stages, name)(study)
-        if name in GATES and args.command == "run-all" and stages.failures(study):
+    needed, answers_for = COMMANDS[args.command]
+    whole = args.command == "run-all"
+    stopped = False
+    for name in needed:
+        stages.perform(study, name)
+        if args.verbose:
+            print(f"{name}: {'done' if name in study.ran else 'current'}", file=sys.stderr)
+        if whole and name in GATES and stages.failures(study):
             print(f"error: {name} has failures, later stages were not run", file=sys.stderr)
+            stopped = True
             break
+    if whole and not stopped and project.modeling.enabled:
+        stages.perform(study, "model")
+    if args.command == "generate-report":
+        stages.reuse(study, "model")
+    if args.command == "generate-report" or whole and not stopped:
+        write_report(study, getattr(args, "output", None))
     stages.export(study)
-    return int(bool(failed or stages.failures(study)))
+    no_model = study.successes == 0 and (whole or args.command == "run-baselines")
+    return int(no_model or bool(stages.failures(study, answers_for)))
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:

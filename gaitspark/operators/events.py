@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio
+from ..session import Scratch, materialize
 from .series import Keys, along
 from .windows import sliced
 
@@ -50,33 +51,53 @@ def contact_timing(measured_events: DataFrame, keys: Keys, prefix: str = "footsw
 
 
 def matched(found: DataFrame, reference: DataFrame, keys: Keys, time: str, tolerance: float) -> DataFrame:
-    """(keys, error, i, r): pairs of events, each used once, the closest first (ties: the earlier found event, then the
-    earlier reference).
+    """(keys, found_time, reference_time, error, n): pairs of events, each used once, the closest first (ties: the earlier
+    found event, then the earlier reference); n pairs of events of the same two times are one row.
 
-    Events further apart than the tolerance can't compete, so a trial's events are cut where both series pause for
-    longer, and each cluster is matched on its own: what is gathered in one row is a cluster, not a trial.
+    In rounds: a pair of times that are each other's nearest is taken before any other pair of either, so all such pairs
+    are taken at once, as many as both times have events; what is left goes to the next round, and a time without a
+    partner within the tolerance drops out. The nearest is the last before or the first after, which windows find: rows
+    of one window are the events of three stretches as long as the tolerance, never a trial. There are as many rounds as
+    the longest row of times has in which each is nearer to the next than to the one before.
     """
-    both = found.select(*keys, time, F.lit(0).alias("kind")).unionByName(reference.select(*keys, time, F.lit(1).alias("kind")))
-    both = both.withColumn("n", F.row_number().over(along([*keys, "kind"], time)))
-    w = along(keys, time, "kind", "n")
-    both = both.withColumn("_new", F.coalesce(F.col(time) - F.lag(time).over(w) > tolerance, F.lit(True)).cast("int")).withColumn("cluster", F.sum("_new").over(w))
-    # near events are in the same stretch of time or in neighbouring ones, so no pair beyond two tolerances is made
-    place = F.floor(F.col(time) / tolerance) if tolerance > 0 else F.col(time)
-    side = lambda k, name: both.where(F.col("kind") == k).select(*keys, "cluster", F.col("n").alias(name), F.col(time).alias(f"t_{name}"), place.alias("_place"))
-    around = side(1, "r")
-    if tolerance > 0:
-        around = around.withColumn("_place", F.explode(F.array(*[F.col("_place") + d for d in (-1, 0, 1)])))
-    near = side(0, "i").join(around, [*keys, "cluster", "_place"]).drop("_place").withColumn("error", F.abs(F.col("t_i") - F.col("t_r"))).where(F.col("error") <= tolerance)
-    lists = near.groupBy(*keys, "cluster").agg(F.array_sort(F.collect_list(F.struct("error", "i", "r"))).alias("near"))
-    none = F.array().cast("array<struct<error:double,i:int,r:int>>")
-    taken = F.aggregate("near", none, lambda a, c: F.when(F.exists(a, lambda x: (x["i"] == c["i"]) | (x["r"] == c["r"])), a).otherwise(F.array_append(a, c)))
-    return lists.select(*keys, F.explode(taken).alias("m")).select(*keys, "m.error", "m.i", "m.r")
+    schema = ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in keys)
+    with Scratch(found.sparkSession) as keep:
+        both = found.select(*keys, F.col(time).alias("t"), F.lit(0).alias("kind")).unionByName(reference.select(*keys, F.col(time).alias("t"), F.lit(1).alias("kind")))
+        left = keep(both.where("t is not null").groupBy(*keys, "kind", "t").agg(F.count("*").alias("n")), "events")
+        taken = found.sparkSession.createDataFrame([], f"{schema}, found_time double, reference_time double, error double, n long")
+        while True:
+            near = keep(nearest(left, keys, tolerance), "nearest")
+            a = near.where("kind = 0").select(*keys, F.col("t").alias("found_time"), F.col("other").alias("reference_time"), F.col("n").alias("_a"))
+            b = near.where("kind = 1").select(*keys, F.col("other").alias("found_time"), F.col("t").alias("reference_time"), F.col("n").alias("_b"))
+            pairs = a.join(b, [*keys, "found_time", "reference_time"]).select(*keys, "found_time", "reference_time", F.abs(F.col("found_time") - F.col("reference_time")).alias("error"), F.least("_a", "_b").alias("n"))
+            pairs = keep(pairs, "pairs")
+            if pairs.isEmpty():
+                return materialize(taken, "matched")
+            taken = taken.unionByName(pairs)
+            used = pairs.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("found_time").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("reference_time").alias("t")))).alias("x"), F.col("n").alias("_used")).select(*keys, "x.kind", "x.t", "_used")
+            rest = near.select(*keys, "kind", "t", "n").join(used, [*keys, "kind", "t"], "left").withColumn("n", F.col("n") - F.coalesce("_used", F.lit(0))).drop("_used")
+            left = rest.where("n > 0")
+
+
+def nearest(times: DataFrame, keys: Keys, tolerance: float) -> DataFrame:
+    """times (keys, kind, t, n) with the nearest time of the other kind (ties: the earlier) that is within the tolerance;
+    those without one are left out."""
+    place = F.floor(F.col("t") / tolerance) if tolerance > 0 else F.col("t")
+    cells = F.explode(F.array(*[place + d for d in (0, -1, 1)])) if tolerance > 0 else place
+    spread = times.withColumn("_home", place).withColumn("_cell", cells)
+    cell, so_far = Window.partitionBy(*keys, "_cell"), (Window.unboundedPreceding, -1)
+    forth, back = cell.orderBy("t", "kind").rowsBetween(*so_far), cell.orderBy(F.desc("t"), F.desc("kind")).rowsBetween(*so_far)
+    seen = lambda kind, way: F.last(F.when(F.col("kind") == kind, F.col("t")), ignorenulls=True).over(way)
+    other = lambda way: F.when(F.col("kind") == 0, seen(1, way)).otherwise(seen(0, way))
+    ends = spread.withColumns({"_before": other(forth), "_after": other(back)}).where("_home = _cell")
+    closer = F.when(F.col("_after").isNull() | (F.col("t") - F.col("_before") <= F.col("_after") - F.col("t")), F.col("_before")).otherwise(F.col("_after"))
+    return ends.withColumn("other", closer).where(F.abs(F.col("t") - F.col("other")) <= tolerance).select(*keys, "kind", "t", "n", "other")
 
 
 def agreement(found: DataFrame, reference: DataFrame, scopes: DataFrame, keys: Keys, time: str, tolerance: float, prefix: str = "footswitch__imu_") -> DataFrame:
     """Matched events, precision, recall, F1 and mean absolute error of each scope (a row of keys)."""
     counts = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    pairs = matched(found, reference, keys, time, tolerance).groupBy(*keys).agg(F.count("*").alias("m"), F.avg("error").alias("event_mean_abs_error_s"))
+    pairs = matched(found, reference, keys, time, tolerance).groupBy(*keys).agg(F.sum("n").alias("m"), (F.sum(F.col("error") * F.col("n")) / F.sum("n")).alias("event_mean_abs_error_s"))
     out = scopes.select(*keys).distinct()
     for df in (counts(found, "n_found"), counts(reference, "n_reference"), pairs):
         out = out.join(df, list(keys), "left")

@@ -51,10 +51,11 @@ def totals_before(df: DataFrame, order: Sequence[Column | str], value: str, name
     return summed.join(offsets(rows, F.sum(value)), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_place", "_before", "_own")
 
 
-def average_ranks(df: DataFrame, x: str, by: Sequence[str] = (), extra: Sequence[Column] = (), name: str = "rank") -> DataFrame:
-    """(by, x, n, name, extra aggregates): each distinct value's number of rows and rank from 1 within its group, ties on
-    their average. NULLs come first. A group may be the whole table: only distinct values are ordered, in ranges."""
-    values = df.groupBy(*by, x).agg(F.count("*").alias("n"), *extra)
+def average_ranks(df: DataFrame, x: str, by: Sequence[str] = (), rows: Column | None = None, extra: Sequence[Column] = (), name: str = "rank") -> DataFrame:
+    """(by, x, n, name, extra aggregates): each distinct value's number of rows (or sum of `rows`) and rank from 1 within
+    its group, ties on their average. NULLs come first. A group may be the whole table: only distinct values are ordered,
+    in ranges."""
+    values = df.groupBy(*by, x).agg((F.count("*") if rows is None else F.sum(rows)).alias("n"), *extra)
     placed = totals_before(values, [F.asc_nulls_first(c) for c in (*by, x)], "n", "_before_all")
     if by:
         first = placed.groupBy(*[F.struct(c).alias(f"_{i}") for i, c in enumerate(by)]).agg(F.min("_before_all").alias("_first"))

@@ -57,15 +57,22 @@ def transitions(df: DataFrame, keys: Keys, time: str, state: str) -> DataFrame:
     return df.withColumn("event", event).where("event is not null").select(*keys, time, "event")
 
 
-def speech_frames(audio: DataFrame, keys: Keys, frame_ms: float, threshold_dbfs: float, samples: str = "samples", rate: str = "sampling_rate") -> DataFrame:
-    """(keys, frame, start_time, end_time, rms, dbfs, is_speech) of waveforms: frames of frame_ms, the last one padded
-    with silence. Frames are slices of the sample array, so that samples are never exploded to rows."""
+def speech_frames(audio: DataFrame, keys: Keys, frame_ms: float, threshold_dbfs: float, samples: str = "samples", rate: str = "sampling_rate", first: str = "first_sample", total: str = "n_samples") -> DataFrame:
+    """(keys, frame, start_time, end_time, rms, dbfs, is_speech) of waveforms in blocks: frames of frame_ms, the last one
+    padded with silence. A block's array is summed by frames, so that samples are never rows; a frame that lies in several
+    blocks is the sum of its parts. A block begins with sample `first` of its recording's `total`."""
     size = F.greatest(F.lit(1), F.bround(F.lit(frame_ms / 1000) * F.col(rate)).cast("int"))
-    sized = audio.where(F.size(samples) > 0).select(*keys, samples, F.col(rate).alias("_rate"), size.alias("_size"), F.size(samples).alias("_total"))
-    n = F.ceil(F.col("_total") / F.col("_size")).cast("int")
-    power = lambda f: F.sqrt(F.aggregate(F.slice(samples, f * F.col("_size") + 1, F.col("_size")), F.lit(0.0), lambda a, x: a + x * x) / F.col("_size"))
-    found = F.transform(F.sequence(F.lit(0), n - 1), lambda f: F.struct(f.alias("frame"), power(f).alias("rms")))
-    frames = sized.select(*keys, "_rate", "_size", "_total", F.explode(found).alias("f")).select("*", "f.*")
+    sized = audio.where(F.size(samples) > 0).select(*keys, samples, F.col(rate).alias("_rate"), size.alias("_size"), F.col(total).alias("_total"), F.col(first).alias("_first"), (F.col(first) + F.size(samples)).alias("_end"))
+
+    def part(f: Column) -> Column:
+        lo, hi = F.greatest(f * F.col("_size"), F.col("_first")), F.least((f + 1) * F.col("_size"), F.col("_end"))
+        return F.aggregate(F.slice(samples, (lo - F.col("_first") + 1).cast("int"), (hi - lo).cast("int")), F.lit(0.0), lambda a, x: a + x * x)
+
+    frame = lambda at: F.call_function("div", at, F.col("_size"))
+    found = F.transform(F.sequence(frame(F.col("_first")), frame(F.col("_end") - 1)), lambda f: F.struct(f.alias("frame"), part(f).alias("power")))
+    parts = sized.select(*keys, "_rate", "_size", "_total", F.explode(found).alias("f")).select(*keys, "_rate", "_size", "_total", "f.*")
+    frames = parts.groupBy(*keys, "frame").agg(F.first("_rate").alias("_rate"), F.first("_size").alias("_size"), F.first("_total").alias("_total"), F.sum("power").alias("power"))
+    frames = frames.withColumns({"frame": F.col("frame").cast("int"), "rms": F.sqrt(F.col("power") / F.col("_size"))})
     length = F.col("_size") / F.col("_rate")
     return frames.select(
         *keys, "frame", (F.col("frame") * length).alias("start_time"), F.least((F.col("frame") + 1) * length, F.col("_total") / F.col("_rate")).alias("end_time"),
@@ -74,9 +81,9 @@ def speech_frames(audio: DataFrame, keys: Keys, frame_ms: float, threshold_dbfs:
 
 
 def clipping(audio: DataFrame, keys: Keys, threshold: float, samples: str = "samples") -> DataFrame:
-    """clipping_ratio: the share of samples at or over the threshold in size."""
-    loud = F.aggregate(samples, F.lit(0), lambda n, x: n + (F.abs(x) >= threshold).cast("int"))
-    return audio.select(*keys, (loud / F.when(F.size(samples) > 0, F.size(samples))).alias("clipping_ratio"))
+    """clipping_ratio: the share of samples, over all blocks, at or over the threshold in size."""
+    loud = F.aggregate(samples, F.lit(0).cast("long"), lambda n, x: n + (F.abs(x) >= threshold).cast("long"))
+    return audio.groupBy(*keys).agg((F.sum(loud) / F.when(F.sum(F.size(samples)) > 0, F.sum(F.size(samples)))).alias("clipping_ratio"))
 
 
 def activity(frames: DataFrame, keys: Keys, columns: Sequence[str] = ("start_time", "end_time")) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +14,10 @@ from ..config import Project
 from ..functions.expressions import acceleration, angular, contact, on_reference_clock
 from ..operators import alignment, features, fusion, kernels, modeling, runs, series, windows
 from ..schemas import ACCELERATION, ANGULAR, FRAMES, LANDMARKS, QUATERNION, SIGNALS, TRIAL_KEYS
+from ..session import Scratch, materialize, remove, write_small
 from ..sources import manifest as manifests
-from ..sources import signals
+from ..sources import containers, signals
+from .store import Store, digest, fingerprint
 
 KEYS = TRIAL_KEYS
 STATUS = [*KEYS, "qc_status", "qc_notes"]
@@ -20,16 +25,25 @@ STATUS = [*KEYS, "qc_status", "qc_notes"]
 
 @dataclass
 class Study:
-    """The tables of a run by name; each is written as Parquet below the processed folder and read back."""
+    """The tables of a run by name, each below the processed folder. Within a stage they are written aside; when it ends
+    they are moved into place together, with a fingerprint of all that the stage read."""
 
     spark: SparkSession
     project: Project
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    prints: dict[str, str] = field(default_factory=dict)
+    #: the stages that ran now, in order; the others' tables were current
+    ran: list[str] = field(default_factory=list)
+    #: the tables that the running stage made the last time, where they are whole
+    before: dict[str, DataFrame] = field(default_factory=dict)
+    #: the number of successful evaluations, where models were evaluated
+    successes: int | None = None
+
+    def __post_init__(self) -> None:
+        self.store = Store(self.spark, self.project.resolve(self.project.processed_dir))
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.project.resolve(self.project.processed_dir)}/{name}.parquet"
-        df.write.mode("overwrite").parquet(path)
-        self.tables[name] = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[name] = self.store.write(name, df)
         return self.tables[name]
 
     def export(self, name: str, path: str) -> None:
@@ -44,9 +58,34 @@ def status(df: DataFrame, note: str) -> DataFrame:
 
 
 def preprocess(study: Study) -> None:
-    """imu: filtered, resampled signals in SI units; imu_qc: one row a trial."""
+    """imu: filtered, resampled signals in SI units, a folder for each trial; imu_qc: one row a trial; imu_trials: what each
+    trial was made from. Where only some trials' files have changed, only they are made again, and the files of the
+    others stay as they are."""
+    spark, store = study.spark, study.store
+    settings = fingerprint(asdict(study.project.imu))
+    state = F.sha2(F.concat_ws("|", F.lit(settings), "imu_path", F.col("length").cast("string"), F.col("modified").cast("string")), 256)
+    files = study.tables["files"].where("modality = 'imu'").select(F.col("path").alias("imu_path"), "length", "modified")
+    now = study.keep("imu_trials", study.tables["manifest"].join(files, "imu_path", "left").select(*KEYS, state.alias("state")))
+    old = study.before
+    stale = now.join(old["imu_trials"].withColumnRenamed("state", "old"), KEYS, "left").where("old is null or old <> state").select(*KEYS) if old else now.select(*KEYS)
+    stale = study.keep("imu_changed", stale)
+    with Scratch(spark) as keep:
+        made, qc = processed(study, study.tables["manifest"].join(stale, KEYS, "left_semi"), keep)
+        if old:
+            qc = old["imu_qc"].join(stale, KEYS, "left_anti").join(now.select(*KEYS), KEYS, "left_semi").unionByName(qc, allowMissingColumns=True)
+        qc = study.keep("imu_qc", qc)
+        store.replace_parts("imu", made, KEYS)
+
+
+def held(imu: DataFrame, qc: DataFrame) -> DataFrame:
+    """The signals of trials that passed: folders of trials that are gone or that fail now may still be there."""
+    return imu.join(qc.where("qc_status <> 'fail' and n_samples is not null").select(*KEYS), KEYS, "left_semi")
+
+
+def processed(study: Study, manifest: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(signals, status) of the trials of a manifest."""
     how, spark = study.project.imu, study.spark
-    raw = study.keep("imu_raw", signals.read_imu(spark, study.tables["manifest"], study.project))
+    raw = keep(signals.read_imu(spark, manifest, study.project), "imu-raw")
     broken = status(raw.where("error is not null"), "error")
     mapped = [s for s in SIGNALS if s in how.columns]
     quats = list(QUATERNION) if set(QUATERNION) <= set(mapped) else []
@@ -55,18 +94,18 @@ def preprocess(study: Study) -> None:
     few = status(rows.groupBy(*KEYS).agg(F.count("timestamp").alias("n")).where("n < 2").withColumn("e", F.lit("fewer than two valid timestamps")), "e")
     rows = rows.join(few.select(*KEYS), KEYS, "left_anti")
     quality = series.timestamp_quality(rows, KEYS, "timestamp", "ordinal")
-    rows = study.keep("imu_ordered", series.dedupe_first(rows, KEYS, "timestamp", "ordinal").select(*KEYS, "timestamp", *mapped))
+    rows = keep(series.dedupe_first(rows, KEYS, "timestamp", "ordinal").select(*KEYS, "timestamp", *mapped), "imu-ordered")
     missing = series.missing_ratios(rows, KEYS, mapped)
     filled = series.fill_gaps(rows, KEYS, "timestamp", [c for c in mapped if c not in quats])
     g = how.gravity_value_m_s2
     units = {c: acceleration(F.col(c), how.input_acceleration_unit, g) for c in mapped if c in ACCELERATION} | {c: angular(F.col(c), how.input_angular_velocity_unit) for c in mapped if c in ANGULAR}
     if how.gravity_removal == "constant" and "acc_vertical" in units:
         units["acc_vertical"] = units["acc_vertical"] - g
-    si = study.keep("imu_units", filled.withColumns(units) if units else filled)
+    si = keep(filled.withColumns(units) if units else filled, "imu-units")
     limits = {c: how.maximum_abs_acceleration_m_s2 for c in mapped if c in ACCELERATION} | {c: how.maximum_abs_angular_velocity_rad_s for c in mapped if c in ANGULAR}
     odd = series.anomaly_ratios(si, KEYS, limits)
-    rates = study.keep("imu_rates", series.sampling(si, KEYS, "timestamp"))
-    smooth = study.keep("imu_smooth", kernels.lowpass(si.join(rates.select(*KEYS, "sampling_rate_hz"), KEYS), KEYS, "timestamp", list(limits), "sampling_rate_hz", how.lowpass_cutoff_hz, how.filter_order))
+    rates = keep(series.sampling(si, KEYS, "timestamp"), "imu-rates")
+    smooth = keep(kernels.lowpass(si.join(rates.select(*KEYS, "sampling_rate_hz"), KEYS), KEYS, "timestamp", list(limits), "sampling_rate_hz", how.lowpass_cutoff_hz, how.filter_order), "imu-smooth")
     notes = smooth.groupBy(*KEYS).agg(F.first("filter_note").alias("filter_note"))
     if how.lowpass_cutoff_hz >= how.target_sampling_rate_hz / 2:
         notes = notes.withColumn("filter_note", F.lit("error: cutoff is at or above half the target rate"))
@@ -75,7 +114,7 @@ def preprocess(study: Study) -> None:
     even = series.resample_linear(good, KEYS, "timestamp", [c for c in mapped if c not in quats], how.target_sampling_rate_hz)
     if quats:
         even = even.join(series.resample_slerp(good.select(*KEYS, "timestamp", *quats), KEYS, "timestamp", quats, how.target_sampling_rate_hz).drop("timestamp"), [*KEYS, "grid_index"], "left")
-    study.keep("imu", even)
+    even = even.select(*[c for c in even.columns if c not in KEYS], *KEYS)
     qc = quality.join(missing, KEYS).join(odd, KEYS).join(rates, KEYS).join(notes, KEYS, "left")
     far = F.abs(F.col("sampling_rate_hz") - how.target_sampling_rate_hz) > 0.01 * how.target_sampling_rate_hz
     warned = F.array_compact(F.array(
@@ -85,8 +124,8 @@ def preprocess(study: Study) -> None:
     ))
     verdict = F.when(F.col("filter_note").startswith("error"), "fail").when(F.size("_w") > 0, "warning").otherwise("pass")
     full = qc.withColumn("_w", warned).withColumns({"qc_status": verdict, "qc_notes": F.array_join("_w", " | ")}).drop("_w")
-    absent = study.tables["manifest"].where("imu_path = ''").select(*KEYS, F.lit("warning").alias("qc_status"), F.lit("IMU absent").alias("qc_notes"))
-    study.keep("imu_qc", full.unionByName(broken.dropDuplicates(KEYS), allowMissingColumns=True).unionByName(few, allowMissingColumns=True).unionByName(absent, allowMissingColumns=True))
+    absent = manifest.where("imu_path = ''").select(*KEYS, F.lit("warning").alias("qc_status"), F.lit("IMU absent").alias("qc_notes"))
+    return even, full.unionByName(broken.dropDuplicates(KEYS), allowMissingColumns=True).unionByName(few, allowMissingColumns=True).unionByName(absent, allowMissingColumns=True)
 
 
 def annotate(study: Study) -> None:
@@ -119,12 +158,13 @@ def synchronize(study: Study) -> None:
     study.keep("synchronization", done)
     offsets = lambda m: study.tables["synchronization"].where((F.col("target_modality") == m) & F.col("error").isNull()).select(*KEYS, "offset_seconds")
     study.keep("footswitch", foot.where("error is null").drop("error").join(offsets("footswitch"), KEYS).withColumn("timestamp", on_reference_clock("native_timestamp", F.col("offset_seconds"))))
-    study.keep("audio", audio.where("error is null").drop("error").join(offsets("audio"), KEYS))
+    study.keep("audio", audio.drop("error").join(offsets("audio"), KEYS))
 
 
 def listen(study: Study) -> None:
     how = study.project.audio
-    audio, shift = study.tables["audio"], study.tables["audio"].select(*KEYS, "offset_seconds")
+    audio = study.tables["audio"]
+    shift = audio.select(*KEYS, "offset_seconds").distinct()
     frames = runs.speech_frames(audio, KEYS, how.frame_duration_ms, how.energy_threshold_dbfs)
     stable = runs.stabilize_speech(frames, KEYS, "frame", "is_speech", F.col("frame_seconds"), how.minimum_speech_duration_s, how.minimum_pause_duration_s)
     stable = study.keep("audio_frames", stable.join(shift, KEYS).withColumns({c: F.col(c) + F.col("offset_seconds") for c in ("start_time", "end_time")}).drop("offset_seconds"))
@@ -132,7 +172,7 @@ def listen(study: Study) -> None:
     count = spoken.where("activity = 'speech'").groupBy(*KEYS).agg(F.count("*").alias("speech_segments"))
     qc = runs.clipping(audio, KEYS, how.clipping_threshold).join(count, KEYS, "left").fillna(0, ["speech_segments"])
     odd = (F.col("speech_segments") == 0) | (F.col("clipping_ratio") > 0.01)
-    failed = status(study.tables["audio_native"].where("error is not null"), "error")
+    failed = status(study.tables["audio_native"].where("error is not null").groupBy(*KEYS).agg(F.min("error").alias("error")), "error")
     study.keep("audio_qc", qc.withColumns({"qc_status": F.when(odd, "warning").otherwise("pass"), "qc_notes": F.lit("")}).unionByName(failed, allowMissingColumns=True))
     found = features.audio_features(spoken, known(study, "audio", "bounds"), known(study, "audio", "segments"), KEYS, how.minimum_pause_duration_s, how.task_start_seconds)
     study.keep("audio_features", found)
@@ -171,7 +211,8 @@ def step(study: Study) -> None:
 
 def watch(study: Study, metadata: DataFrame | None = None, landmarks: DataFrame | None = None, frames: DataFrame | None = None) -> None:
     """Video features of probes and of pose tables that other programs made: the tables given, else the Parquet tables that
-    the configuration names (a probe is the keys and its JSON text). A trial's video without a usable probe fails."""
+    the configuration names (a probe is the keys and its JSON text). A video without a probe is read itself, as far as its
+    container tells; a trial whose video tells nothing usable fails."""
     spark, how, ids = study.spark, study.project.video, ", ".join(f"{k} string" for k in KEYS)
     stored = lambda path, schema: spark.read.parquet(study.project.resolve(path)) if path else spark.createDataFrame([], schema)
     if metadata is None:
@@ -180,10 +221,13 @@ def watch(study: Study, metadata: DataFrame | None = None, landmarks: DataFrame
     frames = frames if frames is not None else stored(how.frame_table, FRAMES)
     if "error" not in metadata.columns:
         metadata = metadata.withColumn("error", F.lit(None).cast("string"))
+    files = study.tables["files"].where("modality = 'video'").select(F.col("path").alias("video_path"), "uri")
+    alone = study.tables["manifest"].join(metadata.select(*KEYS), KEYS, "left_anti").join(files, "video_path").select(*KEYS, "uri")
+    metadata = study.keep("video_metadata", metadata.unionByName(containers.video_files(alone).drop("container_s"), allowMissingColumns=True))
     good = metadata.where("error is null").drop("error")
     study.keep("video_features", features.video_features(good, landmarks, frames, study.tables["segments"], study.tables["bounds"], KEYS, how.minimum_visibility))
     filmed = study.tables["manifest"].where("video_path <> ''").select(*KEYS).join(metadata.select(*KEYS, "error", F.lit(True).alias("_probed")), KEYS, "full")
-    note = F.coalesce("error", F.when(F.col("_probed").isNull(), "the video has no probe"), F.lit(""))
+    note = F.coalesce("error", F.when(F.col("_probed").isNull(), "the video isn't there"), F.lit(""))
     study.keep("video_qc", filmed.select(*KEYS, F.when(note == "", "pass").otherwise("fail").alias("qc_status"), note.alias("qc_notes")))
 
 
@@ -202,18 +246,23 @@ def fuse(study: Study) -> None:
         study.keep("dual_task_skipped", skipped)
 
 
-def model(study: Study) -> int:
-    """The number of successful evaluations."""
+def model(study: Study) -> None:
     how = study.project.modeling
     setting = modeling.Baseline(how.task_type, how.target_column, how.group_column, how.folds, how.random_seed, how.models, how.cohort_modes, how.positive_label)
     found = modeling.evaluate(study.tables["multimodal_features"], study.project.fusion.feature_sets, setting, KEYS)
     for name in ("predictions", "fold_metrics", "summary", "split_audit", "skipped"):
         study.keep(f"modeling_{name}", found[name])
-    return found["successful"]
+    study.successes = found["successful"]
+
+
+def metadata(study: Study) -> str:
+    """What the evaluation was asked for and what came of it, as JSON."""
+    how = asdict(study.project.modeling) | {"feature_sets": study.project.fusion.feature_sets, "successful_evaluations": study.successes}
+    return json.dumps(how, indent=2, sort_keys=True, default=str)
 
 
 EXPORTS = {
-    "imu_qc": "qc/imu_preprocessing", "synchronization": "qc/synchronization", "audio_qc": "qc/audio", "footswitch_qc": "qc/footswitch", "video_qc": "qc/video",
+    "imu_qc": "qc/imu_preprocessing", "synchronization": "qc/synchronization", "audio_qc": "qc/audio", "footswitch_qc": "qc/footswitch", "video_qc": "qc/video", "video_metadata": "qc/video_metadata",
     "imu_features": "features/imu_features", "audio_features": "features/audio_features", "footswitch_features": "features/footswitch_features", "video_features": "features/video_features",
     "imu_feature_failures": "features/imu_feature_failures", "segment_errors": "qc/annotation_errors", "multimodal_features": "features/multimodal_features", "feature_inventory": "features/feature_inventory", "dual_task_costs": "features/dual_task_costs",
     "modeling_predictions": "modeling/predictions", "modeling_fold_metrics": "modeling/fold_metrics", "modeling_summary": "modeling/summary", "modeling_split_audit": "modeling/split_audit", "modeling_skipped": "modeling/skipped",
@@ -224,38 +273,111 @@ EXPORTS = {
 FAILED = {name: "qc_status = 'fail'" for name in ("imu_qc", "audio_qc", "footswitch_qc", "video_qc")} | dict.fromkeys(("segment_errors", "synchronization", "imu_feature_failures"), "error is not null")
 
 
-def failures(study: Study) -> int:
-    """How many failures the stages run so far have recorded."""
-    return sum(study.tables[n].where(rule).count() for n, rule in FAILED.items() if n in study.tables)
+def failures(study: Study, names: tuple[str, ...] = tuple(FAILED)) -> int:
+    """How many failures the named tables, where they are there, have recorded."""
+    return sum(study.tables[n].where(FAILED[n]).count() for n in names if n in study.tables)
 
 
 def export(study: Study) -> None:
+    """The tables there are; the folder of one that isn't there any more goes."""
+    folder = study.project.resolve(study.project.output_dir)
     for name, path in EXPORTS.items():
         if name in study.tables:
             study.export(name, path)
+        elif name == "dual_task_costs" and "multimodal_features" in study.tables:
+            remove(study.spark, f"{folder}/{path}")
+    if "modeling_summary" in study.tables:
+        write_small(study.spark, f"{folder}/modeling/metadata.json", metadata(study))
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A stage's function, and what it reads: sections of the configuration, files of modalities, and tables of other stages."""
+
+    run: Callable[[Study], object]
+    sections: tuple[str, ...] = ()
+    files: tuple[str, ...] = ()
+    after: tuple[str, ...] = ()
+
+
+STAGES = {
+    "preprocess": Stage(preprocess, ("imu",), ("imu",)),
+    "annotate": Stage(annotate, (), ("annotation",), ("preprocess",)),
+    "synchronize": Stage(synchronize, ("synchronization", "audio", "footswitch"), ("audio", "footswitch"), ("annotate",)),
+    "listen": Stage(listen, ("audio",), (), ("annotate", "synchronize")),
+    "step": Stage(step, ("footswitch", "imu"), (), ("preprocess", "annotate", "synchronize")),
+    "watch": Stage(watch, ("video",), ("video",), ("annotate",)),
+    "fuse": Stage(fuse, ("fusion", "dual_task_cost"), ("clinical",), ("listen", "step", "watch")),
+    "model": Stage(model, ("modeling", "fusion"), (), ("fuse",)),
+}
+
+
+def wanted(study: Study, name: str) -> str:
+    """The fingerprint that a stage's tables have if they are current. Tables that the configuration names count by their
+    files; tables that a caller gives make a stage run."""
+    stage, t = STAGES[name], study.tables
+    read = digest(t["files"].where(F.col("modality").isin(*stage.files)), ["modality", "path", "length", "modified"]) if stage.files else ""
+    rows = digest(t["manifest"], [*KEYS, *[f"{m}_path" for m in stage.files]])
+    extra = [study.project.resolve(p) for p in (study.project.video.probe_table, study.project.video.landmark_table, study.project.video.frame_table) if p] if name == "watch" else []
+    extra = digest(study.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(extra), ["path", "length", "modificationTime"]) if extra else ""
+    return fingerprint(name, [asdict(getattr(study.project, s)) for s in stage.sections], rows, read, extra, [study.prints[a] for a in stage.after])
+
+
+def reuse(study: Study, name: str) -> bool:
+    """Takes over a stage's stored tables if they are current."""
+    study.prints[name] = wanted(study, name)
+    marker = study.store.marker(name)
+    if not marker or marker["fingerprint"] != study.prints[name]:
+        return False
+    take(study, name, study.store.tables(marker["tables"]), marker)
+    return True
+
+
+def take(study: Study, name: str, tables: dict[str, DataFrame], marker: dict) -> None:
+    study.tables |= tables
+    if name == "preprocess":
+        study.tables["imu"] = held(tables["imu"], tables["imu_qc"])
+    if "successes" in marker:
+        study.successes = marker["successes"]
+
+
+def perform(study: Study, name: str, function: Callable[[Study], object] | None = None) -> None:
+    """Makes a stage's tables, unless they are current and no other function is given."""
+    if reuse(study, name) and not function:
+        return
+    marker = study.store.marker(name)
+    study.before = study.store.tables(marker["tables"]) if marker else {}
+    study.store.begin(name)
+    (function or STAGES[name].run)(study)
+    if function:  # what it was given has no fingerprint
+        study.prints[name] = uuid.uuid4().hex
+    more = {"successes": study.successes} if name == "model" else {}
+    take(study, name, study.store.end(name, study.prints[name], marker, **more), more)
+    study.ran.append(name)
 
 
 def load(spark: SparkSession, project: Project, check_files: bool = True) -> Study:
-    """A study with its manifest, or an error that counts what is wrong with it."""
+    """A study with its manifest and the listing of its files, or an error that names all that is wrong with it."""
     manifest, issues = manifests.validate(spark, project, check_files)
     wrong = issues.where("severity = 'error'")
     if n := wrong.count():
-        raise ValueError(f"manifest has {n} errors: " + "; ".join(f"row {r.row_number}: {r.message}" for r in wrong.orderBy("row_number").limit(5).collect()))
+        raise ValueError("\n".join([f"manifest has {n} errors:", *(f"row {r.row_number}: {r.message}" for r in wrong.orderBy("row_number", "code", "message").toLocalIterator())]))
     study = Study(spark, project)
-    study.keep("manifest", manifest)
+    study.tables["manifest"] = materialize(manifest, "manifest")
+    study.tables["files"] = materialize(manifests.declared_files(spark, manifest, project).where("uri is not null"), "files")
     return study
 
 
+#: The stages of a whole run but for modelling, in order.
+ORDER = ("preprocess", "annotate", "synchronize", "listen", "step", "watch", "fuse")
+
+
 def run_all(spark: SparkSession, project: Project, metadata: DataFrame | None = None, landmarks: DataFrame | None = None, frames: DataFrame | None = None) -> Study:
     study = load(spark, project)
-    preprocess(study)
-    annotate(study)
-    synchronize(study)
-    listen(study)
-    step(study)
-    watch(study, metadata, landmarks, frames)
-    fuse(study)
+    given = metadata is not None or landmarks is not None or frames is not None
+    for name in ORDER:
+        perform(study, name, (lambda s: watch(s, metadata, landmarks, frames)) if given and name == "watch" else None)
     if project.modeling.enabled:
-        model(study)
+        perform(study, "model")
     export(study)
     return study

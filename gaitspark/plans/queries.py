@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -165,10 +165,11 @@ def contact_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events.contact_timing(events.measured(found, scopes, USER), USER, "").drop(*SCOPE), 4)
 
 
-def waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user's values in order as a waveform of 1000 samples a second."""
-    s = signal(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
-    return s.select("user_id", F.transform("s", lambda x: x["value"] / 100).alias("samples"), F.lit(1000).alias("sampling_rate"))
+def waveform(spark: SparkSession, sf_dir: str, block: int = 20) -> DataFrame:
+    """Every user's values in order as a waveform of 1000 samples a second, in blocks that frames don't keep to."""
+    placed = signal(spark, sf_dir).withColumns({"place": F.row_number().over(series.along(USER, "t")) - 1, "n_samples": F.count("*").over(Window.partitionBy(*USER))})
+    s = placed.groupBy("user_id", "n_samples", (F.col("place") - F.col("place") % block).alias("first_sample")).agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("s"))
+    return s.select("user_id", "n_samples", "first_sample", F.transform("s", lambda x: x["value"] / 100).alias("samples"), F.lit(1000).alias("sampling_rate"))
 
 
 def frame_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,12 +389,12 @@ def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline(spark: SparkSession, sf_dir: str, model: str, task: str) -> DataFrame:
-    """Grouped cross-validation on the fused customers, of which nations are the groups."""
+    """Grouped cross-validation on the fused customers, of which nations are the groups, over both cohorts."""
     fused = fused_tables(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("participant_id")), "id")
     target = fused.withColumn("clinical__target", F.col("clinical__balance") if task == "regression" else (F.col("clinical__balance") > 5000).cast("int")).drop("clinical__balance")
-    how = modeling.Baseline(task_type=task, folds=3, models=(model,), cohort_modes=("all_samples",), positive=1 if task == "classification" else None, trees=20)
+    how = modeling.Baseline(task_type=task, folds=3, models=(model,), positive=1 if task == "classification" else None)
     found = modeling.evaluate(target, {"imu_audio": ("imu", "audio")}, how, ["id"])
-    return found["predictions"].select("id", "fold", "y_true", F.round("y_pred", 3).alias("y_pred"), F.round("y_score", 4).alias("y_score"))
+    return found["predictions"].select("id", "cohort", "fold", "y_true", F.round("y_pred", 3).alias("y_pred"), F.round("y_score", 4).alias("y_score"))
 
 
 def fused_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,39 +10,57 @@ from ..operators import fusion
 from ..schemas import MODALITIES
 from .project import Study
 
-#: The stages and artifacts of the report by their tables.
-STAGES = (("IMU preprocessing", "imu_qc"), ("Synchronization", "synchronization"), ("Audio processing", "audio_qc"), ("Footswitch processing", "footswitch_qc"), ("Video processing", "video_qc"))
-ARTIFACTS = (("IMU", "imu_features"), ("Audio", "audio_features"), ("Footswitch", "footswitch_features"), ("Video", "video_features"))
+#: The stages of the report: a name, the table of its checks and the table of its features.
+STAGES = (
+    ("Inertial signals", "imu_qc", "imu_features"),
+    ("Clock alignment", "synchronization", None),
+    ("Speech", "audio_qc", "audio_features"),
+    ("Foot contacts", "footswitch_qc", "footswitch_features"),
+    ("Video and pose", "video_qc", "video_features"),
+)
 
 
 def markdown_table(header: Sequence[str], rows: Sequence[Sequence[object]]) -> list[str]:
-    line = lambda cells: "| " + " | ".join(str(c).replace("|", "\\|") for c in cells) + " |"
+    line = lambda cells: "| " + " | ".join("–" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
     return [line(header), "|" + "---|" * len(header), *map(line, rows), ""]
 
 
-def report(study: Study) -> str:
-    t, project = study.tables, study.project
-    manifest = t["manifest"]
-    people, trials = manifest.agg(F.count_distinct("participant_id"), F.count("*")).first()
-    conditions = [(r["condition"], r["count"]) for r in manifest.groupBy("condition").count().orderBy("condition").collect()]
-    paths = [(r["modality"], r["available"], r["missing"]) for r in fusion.availability_counts(manifest, MODALITIES).orderBy("place").collect()]
-    qc = [(label, "available" if name in t else "absent", *(fusion.status_counts(t[name]).first() if name in t else (0, 0, 0, 0))) for label, name in STAGES]
-    made = [(label, "available" if name in t else "absent", *(fusion.level_counts(t[name]).first() if name in t else (0, 0, 0))) for label, name in ARTIFACTS]
-    for label, name in (("Multimodal trial table", "multimodal_features"), ("Dual-task cost pairs", "dual_task_costs")):
-        n = t[name].count() if name in t else 0
-        made.append((label, "available" if name in t else "absent", n, n, 0))
-    if "modeling_fold_metrics" in t:
-        s = t["modeling_summary"].agg(*[F.count_distinct(c) for c in ("feature_set", "model", "metric")]).first()
-        modeled = f"{s[0]} feature sets, {s[1]} models and {s[2]} metrics were evaluated over participant-grouped folds."
+def recordings(study: Study) -> list[str]:
+    """One row a condition: its trials and people, and how many of its trials have each input."""
+    manifest = study.tables["manifest"]
+    has = [F.count_if(F.col(f"{m}_path") != "").alias(m) for m in MODALITIES]
+    of = lambda df: df.agg(F.count("*").alias("trials"), F.count_distinct("participant_id").alias("people"), *has)
+    rows = [tuple(r) for r in of(manifest.groupBy("condition")).orderBy("condition").collect()]
+    return markdown_table(("Recorded", "n", "people", *MODALITIES), [*rows, ("all", *of(manifest).first())])
+
+
+def stages(study: Study) -> list[str]:
+    """One row a stage: what became of its trials, and how many feature rows it left."""
+    t, rows = study.tables, []
+    for name, checks, made in STAGES:
+        seen = fusion.status_counts(t[checks]).first() if checks in t else (None,) * 4
+        left = fusion.level_counts(t[made]).first() if made in t else (None,) * 3
+        rows.append((name, *seen, left[1], left[2]))
+    return markdown_table(("Processed", "checked", "fine", "doubtful", "failed", "rows by trial", "rows by phase"), rows)
+
+
+def comparisons(study: Study) -> list[str]:
+    t = study.tables
+    out = [f"- {t['multimodal_features'].count()} trials have all their features in one table." if "multimodal_features" in t else "- Features were not joined."]
+    if "dual_task_costs" in t:
+        out.append(f"- {t['dual_task_costs'].count()} pairs of a trial under a second task and one without were compared.")
+    elif study.project.dual_task_cost.enabled:
+        out.append("- Trials with and without a second task are to be compared, but weren't yet.")
     else:
-        modeled = "Baseline modelling was not run."
-    out = [f"# {project.name}: research summary", "", "Counts over whole tables, written by a program for research use; nothing here describes or judges a single person.", "", "## Dataset", ""]
-    out += markdown_table(("Measure", "Count"), (("Participants", people), ("Trials", trials)))
-    out += ["### Conditions", "", *markdown_table(("Condition", "Trials"), conditions)]
-    out += ["### Modality availability", "", *markdown_table(("Modality", "Available trials", "Missing trials"), paths)]
-    out += ["## Quality control", "", *markdown_table(("Stage", "Artifact", "Rows", "Pass", "Warning", "Fail"), qc)]
-    out += ["## Derived features", "", *markdown_table(("Artifact", "Status", "Total rows", "Trial rows", "Phase rows"), made)]
-    out += ["## Modelling", "", modeled, "", "## Reproducibility", ""]
-    costs = "were compared with single-task ones" if project.dual_task_cost.enabled else "were not compared with single-task ones"
-    out += [f"This study was read from `{project.source}`. A signal's times were shifted by its offset onto the reference clock; dual-task trials {costs}.", ""]
-    return "\n".join(out)
+        out.append("- Trials with and without a second task were not to be compared.")
+    if "modeling_summary" in t:
+        sets, models, metrics = t["modeling_summary"].agg(*[F.count_distinct(c) for c in ("feature_set", "model", "metric")]).first()
+        out.append(f"- {study.successes} evaluations of {models} models on {sets} feature sets, with people kept in one fold, gave {metrics} metrics.")
+    else:
+        out.append("- No models were evaluated.")
+    return [*out, ""]
+
+
+def report(study: Study) -> str:
+    note = f"Counted over whole tables from `{study.project.source}`, all times on the inertial sensor's clock. For research: nothing here describes or judges a single person."
+    return "\n".join([f"# {study.project.name} in numbers", "", note, "", *recordings(study), *stages(study), *comparisons(study)])

@@ -73,3 +73,45 @@ class Scratch:
         for path in self.paths:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hadoop_file(spark: SparkSession, path: str):
+    """(file system, path) of a path on any of Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None where there is none."""
+    fs, at = hadoop_file(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = hadoop_file(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = hadoop_file(spark, path)
+    fs.delete(at, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder over another."""
+    fs, at = hadoop_file(spark, path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.delete(there, True)
+    fs.mkdirs(there.getParent())
+    if not fs.rename(at, there):
+        raise OSError(f"{path} could not be moved to {to}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import io
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,9 +15,10 @@ from pyspark.sql import functions as F
 from ..config import Project
 from ..functions import numerics
 from ..functions.expressions import finite, frame_rate, number, usable
-from ..schemas import QUATERNION, SIGNALS, TRIAL_KEYS
+from ..schemas import SIGNALS, TRIAL_KEYS
 from ..session import ensure_importable
-from .manifest import located
+from .containers import opened
+from .manifest import declared_files
 
 
 class UnsupportedFormat(ValueError):
@@ -24,15 +27,13 @@ class UnsupportedFormat(ValueError):
 
 def files(spark: SparkSession, manifest: DataFrame, modality: str, project: Project) -> DataFrame:
     """(trial keys, content): the bytes of each trial's file."""
-    found = located(spark, manifest, modality, project).where("uri is not null")
-    uris = [r[0] for r in found.select("uri").collect()]
+    found = declared_files(spark, manifest, project).where((F.col("modality") == modality) & F.col("uri").isNotNull()).select("path", "uri")
+    uris = [r[0] for r in found.select("uri").distinct().collect()]  # names, for one read of all of them
     keyed = manifest.where(F.col(f"{modality}_path") != "").select(*TRIAL_KEYS, F.col(f"{modality}_path").alias("path")).join(found, "path")
     if not uris:
         return spark.createDataFrame([], ", ".join(f"{k} string" for k in TRIAL_KEYS) + ", content binary")
-    data = spark.read.format("binaryFile").load(uris).select(F.col("path").alias("_p"), "content")
-    # a local file is file:/x or file:///x, as who names it likes
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    return keyed.join(data, plain(F.col("uri")) == plain(F.col("_p"))).select(*TRIAL_KEYS, "content")
+    data = spark.read.format("binaryFile").load(uris).select(F.col("path").alias("uri"), "content")
+    return keyed.join(data, "uri").select(*TRIAL_KEYS, "content")
 
 
 def parsed(rows: DataFrame, columns: str, parse: Callable[[bytes], pd.DataFrame]) -> DataFrame:
@@ -146,34 +147,86 @@ def segment_errors(segments: DataFrame, bounds: DataFrame, keys: list[str] = TRI
     return joined.withColumn("error", error).where("error is not null").groupBy(*keys).agg(F.min_by("error", "segment_ordinal").alias("error"))
 
 
-def read_audio(spark: SparkSession, manifest: DataFrame, project: Project) -> DataFrame:
-    """(trial keys, sampling_rate, original_rate, samples, error): mono waveforms at the target rate. WAV only; other
-    containers need a decoder that isn't here, and get an error."""
-    rate_to = project.audio.target_sampling_rate_hz
+#: Samples at the target rate that one row of audio holds.
+AUDIO_BLOCK = 1 << 18
 
-    def parse(content: bytes) -> pd.DataFrame:
-        rate, raw = numerics.read_wav(content)
-        samples = numerics.mono(raw)
-        if not len(samples):
-            raise ValueError("audio is empty")
-        return pd.DataFrame({"sampling_rate": [rate_to], "original_rate": [rate], "samples": [numerics.polyphase(samples, rate, rate_to)]})
 
-    return parsed(files(spark, manifest, "audio", project), "sampling_rate int, original_rate int, samples array<double>", parse).drop("ordinal")
+def read_audio(spark: SparkSession, manifest: DataFrame, project: Project, block: int = AUDIO_BLOCK) -> DataFrame:
+    """(trial keys, sampling_rate, original_rate, n_samples, first_sample, samples, error): mono waveforms at the target
+    rate, in blocks. WAV only; other containers need a decoder that isn't here, and get an error.
+
+    Headers are read first. Each block's task then reads its own range of the file, and as much on either side as the
+    resampling filter reaches, so that blocks meet without a seam and no row or task holds a recording.
+    """
+    rate_to = project.audio.target_sampling_rate_hz
+    found = declared_files(spark, manifest, project).where("modality = 'audio' and uri is not null").select(F.col("path").alias("audio_path"), "uri")
+    rows = manifest.select(*TRIAL_KEYS, "audio_path").join(found, "audio_path").select(*TRIAL_KEYS, "uri")
+    ensure_importable(spark)
+    fields = [f.name for f in dataclasses.fields(numerics.Wav)]
+    ids = ", ".join(f"{k} string" for k in TRIAL_KEYS)
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            told = []
+            for uri in pdf["uri"]:
+                try:
+                    with opened(uri) as f:
+                        how = numerics.wav_header(f, f.size())
+                    if not how.frames:
+                        raise ValueError("audio is empty")
+                    told.append({**dataclasses.asdict(how), "n_samples": numerics.resampled_length(how.frames, how.rate, rate_to)})
+                except (ValueError, OSError, struct.error) as e:
+                    told.append({"error": str(e)})
+            made = pd.DataFrame(told, index=pdf.index).reindex(columns=[*fields, "n_samples", "error"])
+            yield pd.concat([pdf, made.astype(object).where(made.notna(), None)], axis=1)
+
+    head = rows.mapInPandas(heads, f"{ids}, uri string, rate int, channels int, bits int, floats boolean, at long, frames long, n_samples long, error string")
+    starts = F.explode(F.when(F.col("error").isNull(), F.sequence(F.lit(0).cast("long"), F.col("n_samples") - 1, F.lit(block).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    spread = head.withColumn("first_sample", starts).repartition("uri", "first_sample")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                out = {k: [getattr(row, k)] for k in TRIAL_KEYS} | {"sampling_rate": [rate_to], "original_rate": [row.rate], "n_samples": [row.n_samples], "first_sample": [row.first_sample], "samples": [None], "error": [row.error]}
+                if row.error is None:
+                    how = numerics.Wav(*[t(getattr(row, c)) for c, t in zip(fields, (int, int, int, bool, int, int))])
+                    lo, hi = int(row.first_sample), int(min(row.first_sample + block, row.n_samples))
+                    a, b = numerics.needed(lo, hi, how.frames, how.rate, rate_to)
+                    try:
+                        with opened(row.uri) as f:
+                            x = numerics.mono(numerics.wav_samples(f, how, a, b))
+                        out["samples"] = [numerics.polyphase(x, how.rate, rate_to, lo, hi, a)]
+                    except (ValueError, OSError) as e:
+                        out["error"] = [str(e)]
+                yield pd.DataFrame(out)
+
+    # numbers that an unreadable header leaves out are NULL, never NaN
+    spread = spread.fillna(0, ["rate", "channels", "bits", "at", "frames", "n_samples"]).fillna(False, ["floats"])
+    blocks = spread.mapInPandas(read, f"{ids}, sampling_rate int, original_rate int, n_samples long, first_sample long, samples array<double>, error string")
+    return blocks.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("original_rate", "n_samples")})
 
 
 def wav_timelines(audio: DataFrame, keys: list[str] = TRIAL_KEYS) -> DataFrame:
-    return audio.select(*keys, F.lit(0.0).alias("start_time"), (F.size("samples") / F.col("sampling_rate")).alias("end_time"), "error")
+    """(keys, start_time, end_time, error) of each recording; an error of any block is one of the recording."""
+    return audio.groupBy(*keys).agg(F.lit(0.0).alias("start_time"), F.max(F.col("n_samples") / F.col("sampling_rate")).alias("end_time"), F.min("error").alias("error"))
 
 
 def read_clinical(spark: SparkSession, manifest: DataFrame, project: Project) -> list[DataFrame]:
-    """The distinct clinical tables that trials name; numeric columns become numbers, ids stay strings."""
-    uris = [r[0] for r in located(spark, manifest, "clinical", project).where("uri is not null").select("uri").collect()]
+    """The distinct clinical tables that trials name, one for each kind of header; numeric columns become numbers, ids stay
+    strings. Files are grouped by their first line, so there is one read and one inference a header, not a file."""
+    found = declared_files(spark, manifest, project).where("modality = 'clinical' and uri is not null").select("uri").distinct()
+    uris = [r[0] for r in found.collect()]
+    if not uris:
+        return []
+    lines = spark.read.text(uris).select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = lines.where("start = 0").groupBy("uri").agg(F.min_by("value", "at").alias("header"))
+    groups = heads.groupBy("header").agg(F.collect_list("uri").alias("uris")).orderBy("header").collect()
     out = []
-    for uri in uris:
-        kinds = spark.read.option("header", True).option("inferSchema", True).csv(uri).schema
+    for _, members in groups:
+        kinds = spark.read.option("header", True).option("inferSchema", True).csv(members).schema
         # read again with ids as text: a number would lose its leading zeros
         named = ", ".join(f"`{f.name}` {'string' if f.name == 'participant_id' else f.dataType.simpleString()}" for f in kinds)
-        out.append(spark.read.option("header", True).schema(named).csv(uri))
+        out.append(spark.read.option("header", True).schema(named).csv(members))
     return out
 
 
@@ -197,8 +250,3 @@ def video_metadata(probes: DataFrame, text: str = "probe") -> DataFrame:
     out = out.withColumns({"total_frames": F.coalesce(frames, F.bround(F.col("duration_s") * F.col("frame_rate_hz")).cast("long")), "frames_estimated": frames.isNull()})
     error = F.when(F.col("_s").isNull(), "no video stream").when(F.col("duration_s").isNull(), "no positive duration").when(F.col("frame_rate_hz").isNull(), "no positive frame rate").when(F.col("width_pixels").isNull() | F.col("height_pixels").isNull(), "no frame size")
     return out.withColumn("error", error).drop("_j", "_s", text)
-
-
-def quaternion_columns(df: DataFrame) -> list[str]:
-    """The four quaternion columns if all are there, else none."""
-    return list(QUATERNION) if set(QUATERNION) <= set(df.columns) else []
