@@ -11,6 +11,7 @@ the repeated passages.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,31 +71,99 @@ def occurrences(seeds: np.ndarray) -> np.ndarray:
     return out
 
 
+class Best:
+    """A Fenwick tree for each stretch of places: the largest key, and whose it is, among the stretch's first (or, from the
+    other end, last) so many places. Trees share two lists; what was put in is taken out again by `clear`."""
+
+    def __init__(self, stretch: list[tuple[int, int]], size: int) -> None:
+        self.stretch, self.keys, self.who, self.touched = stretch, [0.0] * size, [-1] * size, []
+
+    def put(self, k: int, at: int, key: float, who: int) -> None:
+        lo, hi = self.stretch[k]
+        i, n = at - lo + 1, hi - lo
+        while i <= n:
+            x = lo + i - 1
+            if self.who[x] < 0 or key > self.keys[x]:
+                self.keys[x], self.who[x] = key, who
+                self.touched.append(x)
+            i += i & -i
+
+    def get(self, k: int, n: int, key: float, who: int) -> tuple[float, int]:
+        """The largest key among the first n places of stretch k, if it is larger than the given one."""
+        lo = self.stretch[k][0]
+        while n > 0:
+            x = lo + n - 1
+            if self.who[x] >= 0 and self.keys[x] > key:
+                key, who = self.keys[x], self.who[x]
+            n -= n & -n
+        return key, who
+
+    def clear(self) -> None:
+        for x in self.touched:
+            self.who[x] = -1
+        self.touched.clear()
+
+
 def chains(p: list[int], q: list[int], how: Passages) -> Iterator[list[int]]:
-    """Chains of matches (p[i], q[i]), which come sorted by p and then q, as lists of indices; the best first.
+    """Chains of distinct matches (p[i], q[i]), which come sorted by p and then q, as lists of indices; the best first.
 
     A link from j to i costs gap_cost * (p_i - p_j + q_i - q_j); it exists where both coordinates grow, by no more than
-    max_gap. The best predecessor is looked for among those only: the matches that p hasn't left behind, of which there
-    are at most a few for each of the last max_gap words. A match is worth its k-mer and the gaps that two sampled k-mers
-    may have between them.
+    max_gap. So i's best predecessor has the largest score + gap_cost * (p + q) among the matches before it in both, which
+    Fenwick trees over the ranks of q give. To keep to max_gap, both coordinates are cut into stretches as long as the
+    gap: a predecessor is in the match's own stretch or the one before. In the own stretch of q it is among the first
+    ranks, in the one before among the last. In the own stretch of p matches are put in as p grows; those of the one
+    before are put in as p falls from the end, so that none is too far. All in n log n. A match is worth its k-mer and the
+    gaps that two sampled k-mers may have between them.
     """
-    score, back, cost, reach = [0.0] * len(p), [-1] * len(p), how.gap_cost, how.max_gap + how.window
-    i = first = 0
-    while i < len(p):
-        j = i
-        while p[i] - p[first] > reach:
-            first += 1
-        while j < len(p) and p[j] == p[i]:
-            ahead, prev = cost * (p[j] + q[j]), -1
-            for x in range(first, i):
-                if 0 < q[j] - q[x] <= reach and (have := score[x] + cost * (p[x] + q[x])) > ahead:
-                    ahead, prev = have, x
-            score[j] = 2 * cost * how.window + how.kmer
-            if prev >= 0:
-                score[j] += ahead - cost * (p[j] + q[j])
-                back[j] = prev
-            j += 1
-        i = j
+    n, cost, reach = len(p), how.gap_cost, how.max_gap + how.window
+    worth = 2 * cost * how.window + how.kmer
+    levels = sorted(set(q))
+    rank = {v: k for k, v in enumerate(levels)}
+    cuts = [0] + [k for k in range(1, len(levels)) if levels[k] // reach != levels[k - 1] // reach] + [len(levels)]
+    stretch = list(zip(cuts, cuts[1:]))
+    of = {levels[lo] // reach: k for k, (lo, _) in enumerate(stretch)}
+    low = Best(stretch, len(levels))
+    high = Best(stretch, len(levels))  # ranks counted from each stretch's end
+    score, back = [0.0] * n, [-1] * n
+
+    def put(j: int) -> None:
+        at, key = rank[q[j]], score[j] + cost * (p[j] + q[j])
+        k = of[q[j] // reach]
+        low.put(k, at, key, j)
+        lo, hi = stretch[k]
+        high.put(k, lo + hi - 1 - at, key, j)
+
+    def get(i: int, key: float, who: int) -> tuple[float, int]:
+        k = of[q[i] // reach]
+        key, who = low.get(k, rank[q[i]] - stretch[k][0], key, who)
+        before = of.get(q[i] // reach - 1)
+        if before is not None:
+            lo, hi = stretch[before]
+            key, who = high.get(before, hi - bisect_left(levels, q[i] - reach, lo, hi), key, who)
+        return key, who
+
+    begin = [0] + [i for i in range(1, n) if p[i] // reach != p[i - 1] // reach] + [n]
+    for b, (lo, hi) in enumerate(zip(begin, begin[1:])):
+        best = [(cost * (p[i] + q[i]), -1) for i in range(lo, hi)]
+        if b and p[begin[b - 1]] // reach == p[lo] // reach - 1:
+            j = lo - 1
+            for i in range(hi - 1, lo - 1, -1):
+                while j >= begin[b - 1] and p[j] >= p[i] - reach:
+                    put(j)
+                    j -= 1
+                best[i - lo] = get(i, *best[i - lo])
+            low.clear(), high.clear()
+        i = lo
+        while i < hi:
+            j = i
+            while j < hi and p[j] == p[i]:
+                key, back[j] = get(j, *best[j - lo])
+                score[j] = worth + key - cost * (p[j] + q[j])
+                j += 1
+            for x in range(i, j):
+                put(x)
+            i = j
+        low.clear(), high.clear()
     used = [False] * len(p)
     for end in sorted(range(len(p)), key=lambda x: (-score[x], x)):
         chain, x = [], end
@@ -223,6 +292,10 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages(), id_col: str =
         def run(t: pa.Table) -> pa.RecordBatch:
             docs_, sources = t.column("doc").to_numpy(zero_copy_only=False), t.column("source").to_numpy(zero_copy_only=False)
             p, q = t.column("pos").to_numpy(), t.column("source_pos").to_numpy()
+            # rows of one id repeat their matches: each counts once
+            new = np.concatenate(([True], (docs_[1:] != docs_[:-1]) | (sources[1:] != sources[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+            if not new.all():
+                t, docs_, sources, p, q = t.filter(pa.array(new)), docs_[new], sources[new], p[new], q[new]
             cuts = np.flatnonzero((docs_[1:] != docs_[:-1]) | (sources[1:] != sources[:-1])) + 1
             at, parts = [], []
             for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs_)]):
