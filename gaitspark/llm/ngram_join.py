@@ -120,7 +120,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, keep: Scratch) -> Dat
 
     wanted = keep(wanted.select(F.col("rep").alias("id"), "sig").distinct(), "wanted-sets")
     chosen = with_ids(docs, wanted, "id").select("id", "text", "sig")
-    return keep(arrow_map(chosen, build, f"rep {kind}, n long, s array<long>"), "shingle-sets")
+    sets = keep(arrow_map(chosen, build, f"rep {kind}, n long, s array<long>"), "shingle-sets")
+    # rows that repeat an id and text give its set again: one each, for sets are joined in pairs
+    return sets if sets.count() == wanted.count() else keep(sets.dropDuplicates(["rep"]), "distinct-sets")
 
 
 def fits(a: str, b: str, percent: int):
