@@ -65,7 +65,54 @@ POSE = f"""SELECT label, vec_id, degrees(atan2((ls_x + rs_x) / 2 - (lh_x + rh_x)
 FROM (SELECT *, sqrt((lh_x - la_x)^2 + (lh_y - la_y)^2) AS l, sqrt((rh_x - ra_x)^2 + (rh_y - ra_y)^2) AS r FROM (SELECT label, vec_id, {SEEN} FROM embeddings))"""
 RANKS = lambda x: f"(rank() OVER (PARTITION BY g ORDER BY {x}) + (count(*) OVER (PARTITION BY g, {x}) - 1) / 2.0)"
 
+#: Places of peaks: levels of equal samples that rise above both neighbours, at their middle; the highest (ties: the last)
+#: of those nearer than `d` samples stays, in rounds; then the drop to the higher of the two lowest values beside it.
+PEAKS = f"""WITH RECURSIVE x AS (SELECT user_id, t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM ({S})),
+r AS (SELECT user_id, greatest(1, round_even(20000.0::DOUBLE * (1 / median(dt)), 0))::BIGINT AS d FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS dt FROM x) WHERE dt > 0 GROUP BY user_id),
+c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS level FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM x)),
+l AS (SELECT user_id, level, any_value(v) AS v, (min(i) + max(i)) // 2 AS p FROM c GROUP BY user_id, level),
+tops AS (SELECT user_id, p, v, d FROM (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM l WINDOW w AS (PARTITION BY user_id ORDER BY level)) JOIN r USING (user_id) WHERE v > before AND v > after),
+m AS (SELECT a.user_id, a.p AS a, a.v AS va, b.p AS b, b.v AS vb, false AS taken FROM tops a JOIN tops b ON a.user_id = b.user_id AND abs(a.p - b.p) < a.d UNION ALL
+  SELECT user_id, a, va, b, vb, da FROM (SELECT *, bool_or(db AND a <> b) OVER (PARTITION BY user_id, a) AS ga, bool_or(da AND a <> b) OVER (PARTITION BY user_id, b) AS gb FROM (
+    SELECT *, bool_and(a = b OR va > vb OR va = vb AND a > b) OVER (PARTITION BY user_id, a) AS da, bool_and(a = b OR vb > va OR va = vb AND b > a) OVER (PARTITION BY user_id, b) AS db FROM m WHERE NOT taken))
+  WHERE da AND a = b OR NOT (da OR db OR ga OR gb)),
+k AS (SELECT user_id, a AS p, va AS v FROM m WHERE taken),
+e AS (SELECT k.user_id, p, k.v, coalesce(max(i) FILTER (i < p AND x.v > k.v), -1) AS lo, coalesce(min(i) FILTER (i > p AND x.v > k.v), 9223372036854775807) AS hi FROM k JOIN x USING (user_id) GROUP BY k.user_id, p, k.v),
+f AS (SELECT e.user_id, p, any_value(e.v) - greatest(min(x.v) FILTER (i > lo AND i <= p), min(x.v) FILTER (i >= p AND i < hi)) AS drop_ FROM e JOIN x USING (user_id) GROUP BY e.user_id, p)
+SELECT user_id, round(t, 6) AS t FROM f JOIN x USING (user_id) WHERE i = p AND drop_ >= 5"""
+
+
+def filtered(name: str, source: str) -> str:
+    """CTEs of one run of two sections over source (user_id, k, x, and the coefficients), each from its steady state."""
+    return f"""{name} AS (SELECT user_id, 0::BIGINT AS k, (b1 - a1 + b2 - a2) * x AS s1, (b2 - a2) * x AS s2, (d1 - c1 + d2 - c2) * x AS u1, (d2 - c2) * x AS u2, x AS y FROM {source} WHERE k = 1 UNION ALL
+  SELECT user_id, n.k, b1 * n.x - a1 * w + s2, b2 * n.x - a2 * w, d1 * w - c1 * z + u2, d2 * w - c2 * z, z FROM {name} f JOIN {source} n USING (user_id),
+  LATERAL (SELECT b0 * n.x + f.s1 AS w), LATERAL (SELECT d0 * w + f.u1 AS z) WHERE n.k = f.k + 1)"""
+
+
+def section(pole: int, a: str, b: str) -> str:
+    """Coefficients of a section: the pole at an angle on a circle of radius w, and the bilinear transform at 2 * rate = q."""
+    angle = f"cos(pi() * {pole} / 8)"
+    far, near = f"(q * q + 2 * q * w * {angle} + w * w)", f"(q * q - 2 * q * w * {angle} + w * w)"
+    a1, a2 = f"(-2 * (q * q - w * w) / {near})", f"({far} / {near})"
+    return f"{a1} AS {a}1, {a2} AS {a}2, (1 + {a1} + {a2}) / 4 AS {b}0, (1 + {a1} + {a2}) / 2 AS {b}1, (1 + {a1} + {a2}) / 4 AS {b}2"
+
+
+LOWPASS = f"""WITH RECURSIVE x AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM ({S})),
+r AS (SELECT user_id, 1 / median(dt) AS rate FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS dt FROM ({S})) WHERE dt > 0 GROUP BY user_id),
+note AS (SELECT x.*, rate, CASE WHEN rate IS NULL THEN 'error: sampling rate is unknown' WHEN 1e-5::DOUBLE >= rate / 2 THEN 'error: cutoff is at or above half the sampling rate' WHEN n <= 15 THEN 'too short to filter' END AS filter_note FROM x LEFT JOIN r USING (user_id)),
+co AS (SELECT user_id, {section(5, "a", "b")}, {section(7, "c", "d")} FROM (SELECT user_id, 2 * rate AS q, 2 * rate * tan(pi() * 1e-5::DOUBLE / rate) AS w FROM r)),
+good AS (SELECT * FROM note WHERE filter_note IS NULL),
+ext AS (SELECT user_id, i + 15 AS k, value AS x FROM good
+  UNION ALL SELECT g.user_id, 17 - g.i, 2 * f.value - g.value FROM good g JOIN good f ON g.user_id = f.user_id AND f.i = 1 WHERE g.i BETWEEN 2 AND 16
+  UNION ALL SELECT g.user_id, 2 * g.n - g.i + 15, 2 * f.value - g.value FROM good g JOIN good f ON g.user_id = f.user_id AND f.i = f.n WHERE g.i BETWEEN g.n - 15 AND g.n - 1),
+there AS (SELECT * FROM ext JOIN co USING (user_id)), {filtered("forth", "there")},
+turned AS (SELECT user_id, last_ + 1 - k AS k, y AS x FROM (SELECT *, max(k) OVER (PARTITION BY user_id) AS last_ FROM forth) WHERE k > 0),
+home AS (SELECT * FROM turned JOIN co USING (user_id)), {filtered("back", "home")}
+SELECT g.user_id, g.event_id, round(CASE WHEN g.filter_note IS NULL THEN y ELSE g.value END, 6) AS value, g.filter_note FROM note g LEFT JOIN back ON back.user_id = g.user_id AND back.k = g.n + 16 - g.i"""
+
 SQL: dict[str, str] = {
+    "step_peaks": PEAKS,
+    "butterworth_lowpass": LOWPASS,
     "manifest_duplicates": "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1",
     "manifest_issues": f"""WITH m AS ({MANIFEST}), ok AS (SELECT *, row_number() OVER (PARTITION BY participant_id, session_id, trial_id ORDER BY row_number) AS nth FROM m WHERE participant_id <> ''),
 all_issues AS (SELECT row_number, 'error' AS severity, 'blank_id' AS code FROM m WHERE participant_id = ''
