@@ -11,6 +11,7 @@ the repeated passages.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,37 +72,8 @@ def occurrences(seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-class Best:
-    """A Fenwick tree for each stretch of places: the largest key, and whose it is, among the stretch's first (or, from the
-    other end, last) so many places. Trees share two lists; what was put in is taken out again by `clear`."""
-
-    def __init__(self, stretch: list[tuple[int, int]], size: int) -> None:
-        self.stretch, self.keys, self.who, self.touched = stretch, [0.0] * size, [-1] * size, []
-
-    def put(self, k: int, at: int, key: float, who: int) -> None:
-        lo, hi = self.stretch[k]
-        i, n = at - lo + 1, hi - lo
-        while i <= n:
-            x = lo + i - 1
-            if self.who[x] < 0 or key > self.keys[x]:
-                self.keys[x], self.who[x] = key, who
-                self.touched.append(x)
-            i += i & -i
-
-    def get(self, k: int, n: int, key: float, who: int) -> tuple[float, int]:
-        """The largest key among the first n places of stretch k, if it is larger than the given one."""
-        lo = self.stretch[k][0]
-        while n > 0:
-            x = lo + n - 1
-            if self.who[x] >= 0 and self.keys[x] > key:
-                key, who = self.keys[x], self.who[x]
-            n -= n & -n
-        return key, who
-
-    def clear(self) -> None:
-        for x in self.touched:
-            self.who[x] = -1
-        self.touched.clear()
+#: Matches of a stretch that are compared with all of the stretch before, until trees are made of it.
+FEW_ASKED = 4
 
 
 def chains(p: list[int], q: list[int], how: Passages) -> Iterator[list[int]]:
@@ -112,58 +84,105 @@ def chains(p: list[int], q: list[int], how: Passages) -> Iterator[list[int]]:
     Fenwick trees over the ranks of q give. To keep to max_gap, both coordinates are cut into stretches as long as the
     gap: a predecessor is in the match's own stretch or the one before. In the own stretch of q it is among the first
     ranks, in the one before among the last. In the own stretch of p matches are put in as p grows; those of the one
-    before are put in as p falls from the end, so that none is too far. All in n log n. A match is worth its k-mer and the
+    before are put in as p falls from the end, so that none is too far. Where a chain goes on, only the first match of a
+    stretch can gain from the stretch before, so the first few that may are answered by a look at its matches, and trees
+    are made for the others. All in n log n. A match is worth its k-mer and the
     gaps that two sampled k-mers may have between them.
     """
     n, cost, reach = len(p), how.gap_cost, how.max_gap + how.window
     worth = 2 * cost * how.window + how.kmer
-    levels = sorted(set(q))
-    rank = {v: k for k, v in enumerate(levels)}
-    cuts = [0] + [k for k in range(1, len(levels)) if levels[k] // reach != levels[k - 1] // reach] + [len(levels)]
-    stretch = list(zip(cuts, cuts[1:]))
-    of = {levels[lo] // reach: k for k, (lo, _) in enumerate(stretch)}
-    low = Best(stretch, len(levels))
-    high = Best(stretch, len(levels))  # ranks counted from each stretch's end
-    score, back = [0.0] * n, [-1] * n
+    stretches_: dict[int, list[int]] = {}
+    for v in sorted(set(q)):
+        stretches_.setdefault(v // reach, []).append(v)
+    place = {v: i for values in stretches_.values() for i, v in enumerate(values)}
+    base = [cost * (a + b) for a, b in zip(p, q)]
+    back, key = [-1] * n, [0.0] * n + [-math.inf]  # key: score + cost * (p + q); an empty node of a tree is match n
+    # trees of a stretch of q: low[k][i] and high[k][i] are the best of the i & -i places up to place i, from either end
+    low: dict[int, list[int]] = {}
+    high: dict[int, list[int]] = {}
 
     def put(j: int) -> None:
-        at, key = rank[q[j]], score[j] + cost * (p[j] + q[j])
-        k = of[q[j] // reach]
-        low.put(k, at, key, j)
-        lo, hi = stretch[k]
-        high.put(k, lo + hi - 1 - at, key, j)
-
-    def get(i: int, key: float, who: int) -> tuple[float, int]:
-        k = of[q[i] // reach]
-        key, who = low.get(k, rank[q[i]] - stretch[k][0], key, who)
-        before = of.get(q[i] // reach - 1)
-        if before is not None:
-            lo, hi = stretch[before]
-            key, who = high.get(before, hi - bisect_left(levels, q[i] - reach, lo, hi), key, who)
-        return key, who
-
-    begin = [0] + [i for i in range(1, n) if p[i] // reach != p[i - 1] // reach] + [n]
+        v, mine = q[j], key[j]
+        k, at = v // reach, place[v]
+        size = len(stretches_[k])
+        tree = low.get(k)
+        if tree is None:
+            tree, low[k], high[k] = (new := [n] * (size + 1)), new, [n] * (size + 1)
+        i = at + 1
+        while i <= size and key[tree[i]] < mine:  # a larger one covers all above it, too
+            tree[i] = j
+            i += i & -i
+        tree, i = high[k], size - at
+        while i <= size and key[tree[i]] < mine:
+            tree[i] = j
+            i += i & -i
+
+    def get(j: int, best: float, who: int) -> tuple[float, int]:
+        v = q[j]
+        k = v // reach
+        if (tree := low.get(k)) is not None:
+            i = place[v]
+            while i:
+                if key[tree[i]] > best:
+                    who = tree[i]
+                    best = key[who]
+                i &= i - 1
+        if (tree := high.get(k - 1)) is not None:
+            values = stretches_[k - 1]
+            i = len(values) - bisect_left(values, v - reach)
+            while i:
+                if key[tree[i]] > best:
+                    who = tree[i]
+                    best = key[who]
+                i &= i - 1
+        return best, who
+
+    def from_before(lo: int, hi: int, first: int) -> list[tuple[float, int]]:
+        """For each of the matches lo to hi the best predecessor among those from `first` on, a stretch of p earlier."""
+        nonlocal low, high
+        kept, low, high = (low, high), {}, {}
+        out, j = [(0.0, -1)] * (hi - lo), begin_of[first] - 1
+        for i in range(hi - 1, lo - 1, -1):
+            nearest = p[i] - reach
+            while j >= first and p[j] >= nearest:
+                put(j)
+                j -= 1
+            out[i - lo] = get(i, base[i], -1)
+        low, high = kept
+        return out
+
+    begin = [0, *[i for i in range(1, n) if p[i] // reach != p[i - 1] // reach], n]
+    begin_of = dict(zip(begin, begin[1:]))
     for b, (lo, hi) in enumerate(zip(begin, begin[1:])):
-        best = [(cost * (p[i] + q[i]), -1) for i in range(lo, hi)]
-        if b and p[begin[b - 1]] // reach == p[lo] // reach - 1:
-            j = lo - 1
-            for i in range(hi - 1, lo - 1, -1):
-                while j >= begin[b - 1] and p[j] >= p[i] - reach:
-                    put(j)
-                    j -= 1
-                best[i - lo] = get(i, *best[i - lo])
-            low.clear(), high.clear()
+        first, most, asked, earlier = lo, -math.inf, 0, None
+        if b and p[lo - 1] // reach == p[lo] // reach - 1:
+            first = begin[b - 1]
+            most = max(key[first:lo])
+        low.clear()
+        high.clear()
         i = lo
         while i < hi:
             j = i
             while j < hi and p[j] == p[i]:
-                key, back[j] = get(j, *best[j - lo])
-                score[j] = worth + key - cost * (p[j] + q[j])
+                best, who = get(j, base[j], -1)
+                if best < most:  # else none of the stretch before is better
+                    if asked < FEW_ASKED:
+                        asked += 1
+                        for x in range(first, lo):
+                            if key[x] > best and p[x] >= p[j] - reach and 0 < q[j] - q[x] <= reach:
+                                best, who = key[x], x
+                    else:
+                        if earlier is None:
+                            at, earlier = j, from_before(j, hi, first)
+                        if earlier[j - at][0] > best:
+                            best, who = earlier[j - at]
+                key[j], back[j] = worth + best, who
                 j += 1
-            for x in range(i, j):
-                put(x)
+            if j < hi:
+                for x in range(i, j):
+                    put(x)
             i = j
-        low.clear(), high.clear()
+    score = [k - x for k, x in zip(key, base)]
     used = [False] * len(p)
     for end in sorted(range(len(p)), key=lambda x: (-score[x], x)):
         chain, x = [], end
