@@ -30,11 +30,6 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
-def seconds(ts: Column | str) -> Column:
-    """Seconds since the epoch of a timestamp."""
-    return F.unix_micros(as_column(ts).cast("timestamp")) / 1e6
-
-
 def acceleration(x: Column, unit: str, gravity: float = 9.80665) -> Column:
     """In m/s^2."""
     return x * gravity if unit == "g" else x

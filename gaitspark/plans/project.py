@@ -89,7 +89,8 @@ def processed(study: Study, manifest: DataFrame, keep: Scratch) -> tuple[DataFra
     broken = status(raw.where("error is not null"), "error")
     mapped = [s for s in SIGNALS if s in how.columns]
     quats = list(QUATERNION) if set(QUATERNION) <= set(mapped) else []
-    rows = raw.where("error is null").drop("error")
+    lacks = raw.where("error is null").groupBy(*KEYS).agg(F.first("absent").alias("absent"))
+    rows = raw.where("error is null").drop("error", "absent")
     rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("timestamp", *mapped)})
     few = status(rows.groupBy(*KEYS).agg(F.count("timestamp").alias("n")).where("n < 2").withColumn("e", F.lit("fewer than two valid timestamps")), "e")
     rows = rows.join(few.select(*KEYS), KEYS, "left_anti")
@@ -115,15 +116,15 @@ def processed(study: Study, manifest: DataFrame, keep: Scratch) -> tuple[DataFra
     if quats:
         even = even.join(series.resample_slerp(good.select(*KEYS, "timestamp", *quats), KEYS, "timestamp", quats, how.target_sampling_rate_hz).drop("timestamp"), [*KEYS, "grid_index"], "left")
     even = even.select(*[c for c in even.columns if c not in KEYS], *KEYS)
-    qc = quality.join(missing, KEYS).join(odd, KEYS).join(rates, KEYS).join(notes, KEYS, "left")
+    qc = quality.join(lacks, KEYS).join(missing, KEYS).join(odd, KEYS).join(rates, KEYS).join(notes, KEYS, "left")
     far = F.abs(F.col("sampling_rate_hz") - how.target_sampling_rate_hz) > 0.01 * how.target_sampling_rate_hz
     warned = F.array_compact(F.array(
         F.when(F.col("nonmonotonic"), "timestamps were not monotonic"), F.when(F.col("n_duplicates") > 0, "duplicate timestamps were dropped"),
         F.when(F.exists(F.map_values("missing_ratio"), lambda x: x > 0), "missing values were interpolated"), F.when(F.exists(F.map_values("anomaly_ratio"), lambda x: x > 0), "values exceed the limits"),
-        F.col("filter_note"), F.when(far, "sampling rate changed by more than 1 %"),
+        F.concat(F.lit("mapped columns are absent: "), "absent"), F.col("filter_note"), F.when(far, "sampling rate changed by more than 1 %"),
     ))
     verdict = F.when(F.col("filter_note").startswith("error"), "fail").when(F.size("_w") > 0, "warning").otherwise("pass")
-    full = qc.withColumn("_w", warned).withColumns({"qc_status": verdict, "qc_notes": F.array_join("_w", " | ")}).drop("_w")
+    full = qc.withColumn("_w", warned).withColumns({"qc_status": verdict, "qc_notes": F.array_join("_w", " | ")}).drop("_w", "absent")
     absent = manifest.where("imu_path = ''").select(*KEYS, F.lit("warning").alias("qc_status"), F.lit("IMU absent").alias("qc_notes"))
     return even, full.unionByName(broken.dropDuplicates(KEYS), allowMissingColumns=True).unionByName(few, allowMissingColumns=True).unionByName(absent, allowMissingColumns=True)
 
@@ -279,8 +280,13 @@ def failures(study: Study, names: tuple[str, ...] = tuple(FAILED)) -> int:
 
 
 def export(study: Study) -> None:
-    """The tables there are; the folder of one that isn't there any more goes."""
+    """The tables there are; the folder of one that isn't there any more goes. Each trial's alignments are a line of JSON in
+    a folder of its own."""
     folder = study.project.resolve(study.project.output_dir)
+    if "synchronization" in study.tables:
+        done = study.tables["synchronization"]
+        told = F.to_json(F.array_sort(F.collect_list(F.struct("target_modality", *[c for c in done.columns if c not in (*KEYS, "target_modality")])))).alias("value")
+        done.groupBy(*KEYS).agg(told).write.mode("overwrite").partitionBy(*KEYS).text(f"{folder}/synchronization")
     for name, path in EXPORTS.items():
         if name in study.tables:
             study.export(name, path)

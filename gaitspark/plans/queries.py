@@ -398,14 +398,16 @@ def baseline(spark: SparkSession, sf_dir: str, model: str, task: str) -> DataFra
 
 
 def fused_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampling quality, steps, gradients and availability of every user in one table."""
-    s = signal(spark, sf_dir)
-    users = s.select("user_id").distinct()
-    parts = windows.full_scopes(windows.extents(s, USER, "t"), USER).withColumn("part", F.lit("all"))
-    steps = s.where("event_type = 'purchase'").select("user_id", F.lit("all").alias("part"), F.col("t").alias("timestamp"))
-    g = s.withColumn("g", series.gradient(F.col("value"), F.col("t") / 3600, series.along(USER, "t"))).groupBy("user_id").agg(F.count("*").alias("n_samples"), X.rms(F.col("g")).alias("gradient_rms"))
-    rate = series.sampling(s, USER, "t").withColumn("sampling_rate_hz", F.col("sampling_rate_hz") * 1000)
-    stat = features.step_statistics(steps, parts, USER).select("user_id", "imu__step_count", "imu__mean_step_time_s")
-    errors = s.where("event_type = 'error'").select("user_id").distinct().withColumn("availability__error", F.lit(1).cast("long"))
-    out = users.join(g, "user_id", "left").join(rate, "user_id", "left").join(stat, "user_id", "left").join(errors, "user_id", "left").fillna(0, ["availability__error"])
+    """Sampling quality, steps, gradients and availability of every user in one table: one windowed pass, one aggregate."""
+    w = series.along(USER, "t")
+    bought = F.when(F.col("event_type") == "purchase", F.col("t"))
+    dt = F.col("t") - F.lag("t").over(w)
+    timed = signal(spark, sf_dir).withColumns({
+        "g": series.gradient(F.col("value"), F.col("t") / 3600, w), "dt": F.when(dt > 0, dt),
+        "gap": bought - F.last(bought, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    out = timed.groupBy("user_id").agg(
+        F.count("*").alias("n_samples"), X.rms(F.col("g")).alias("gradient_rms"), (X.ratio(F.lit(1.0), F.median("dt")) * 1000).alias("sampling_rate_hz"), X.cv_percent(F.col("dt")).alias("interval_cv_pct"),
+        F.count_if(F.col("event_type") == "purchase").alias("imu__step_count"), F.avg("gap").alias("imu__mean_step_time_s"), F.max((F.col("event_type") == "error").cast("long")).alias("availability__error"),
+    )
     return rounded(out, 4)

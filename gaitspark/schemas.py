@@ -4,10 +4,8 @@ from __future__ import annotations
 
 TRIAL = ["participant_id", "session_id", "trial_id"]
 TRIAL_KEYS = [*TRIAL, "condition"]
-WINDOW_KEYS = [*TRIAL_KEYS, "feature_level", "segment_name"]
 
 #: Modalities and the manifest's columns.
-SENSORS = ("imu", "audio", "video", "footswitch")
 MODALITIES = ("imu", "video", "audio", "footswitch", "annotation", "clinical")
 MANIFEST = [*TRIAL[:2], "condition", "trial_id", *[f"{m}_path" for m in MODALITIES]]
 
@@ -21,9 +19,5 @@ SIGNALS = (*ACCELERATION, *ANGULAR, *QUATERNION)
 WALKING = ("outbound_walk", "return_walk", "combined_straight_walk")
 
 _ids = ", ".join(f"{k} string" for k in TRIAL_KEYS)
-IMU = f"{_ids}, ordinal long, timestamp double, {', '.join(f'{s} double' for s in SIGNALS)}"
-FOOTSWITCH = f"{_ids}, ordinal long, native_timestamp double, left_contact double, right_contact double"
-AUDIO = f"{_ids}, sampling_rate int, original_rate int, samples array<double>, error string"
-SEGMENTS = f"{_ids}, segment_name string, start_time double, end_time double, source string, confidence double, notes string"
 LANDMARKS = f"{_ids}, frame_index long, timestamp double, landmark_name string, x double, y double, visibility double"
 FRAMES = f"{_ids}, frame_index long, timestamp double, pose_detected boolean"

@@ -86,14 +86,16 @@ def imu_parser(fmt: str, columns: dict[str, str], sensor: str) -> Callable[[byte
             raise ValueError("no mapped signal column is present")
         out = numbers(raw[[columns["timestamp"], *found.values()]])
         out.columns = ["timestamp", *found]
-        return out
+        lacking = sorted(v for k, v in columns.items() if k in SIGNALS and v not in raw)
+        return out.assign(absent=", ".join(lacking) if lacking else None)
 
     return parse
 
 
 def read_imu(spark: SparkSession, manifest: DataFrame, project: Project) -> DataFrame:
+    """(trial keys, ordinal, timestamp, signals, absent, error): absent names the mapped columns that the file lacks."""
     how = project.imu
-    rows = parsed(files(spark, manifest, "imu", project), "timestamp double, " + ", ".join(f"{s} double" for s in SIGNALS), imu_parser(how.format, how.columns, how.target_sensor))
+    rows = parsed(files(spark, manifest, "imu", project), "timestamp double, " + ", ".join(f"{s} double" for s in SIGNALS) + ", absent string", imu_parser(how.format, how.columns, how.target_sensor))
     return rows
 
 

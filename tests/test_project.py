@@ -2,15 +2,19 @@
 
 import json
 import struct
+import wave
 
+import numpy as np
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
 from gaitspark import cli
 from gaitspark.config import ConfigurationError, build, load_config
+from gaitspark.operators import runs
 from gaitspark.plans import project as stages
 from gaitspark.plans.report import report
+from gaitspark.session import materialize
 from gaitspark.sources import containers, manifest, signals
 from gaitspark.sources.synthetic import write_study
 
@@ -132,6 +136,36 @@ def test_manifest_in_splits_and_odd_paths(spark, tmp_path):
     assert {r.participant_id for t in tables for r in t.collect()} == {f"{k}0{i}" for k in (0, 1) for i in range(4)}
 
 
+def test_audio_in_blocks(spark, tmp_path):
+    """Blocks of a recording meet without a seam, whatever their size; frames and clipping don't depend on it; a broken file
+    is one error."""
+    rng = np.random.default_rng(3)
+    for name, rate, channels in (("cd", 44_100, 2), ("same", 16_000, 1), ("low", 8_000, 1)):
+        with wave.open(f"{tmp_path}/{name}.wav", "wb") as f:
+            f.setnchannels(channels), f.setsampwidth(2), f.setframerate(rate)
+            f.writeframes(rng.integers(-32768, 32767, rate * channels, dtype=np.int16).tobytes())
+    (tmp_path / "text.wav").write_text("no sound")
+    (tmp_path / "song.mp3").write_text("no decoder")
+    (tmp_path / "cut.wav").write_bytes((tmp_path / "same.wav").read_bytes()[:20_044])
+    with wave.open(f"{tmp_path}/empty.wav", "wb") as f:
+        f.setnchannels(1), f.setsampwidth(2), f.setframerate(8000)
+    names = ["cd", "same", "low", "text", "song", "cut", "empty", "gone"]
+    rows = [("P", "S", n, "c", f"{n}.mp3" if n == "song" else f"{n}.wav") for n in names]
+    table = spark.createDataFrame([(*r, "", "", "", "", "") for r in rows], ", ".join(f"{c} string" for c in [*stages.KEYS, "audio_path", "imu_path", "video_path", "footswitch_path", "annotation_path", "clinical_path"]))
+    project = build(CONFIG, base=str(tmp_path))
+    whole, parts = (materialize(signals.read_audio(spark, table, project, block), "audio") for block in (1 << 18, 777))
+    assert parts.agg(F.max(F.size("samples"))).first()[0] == 777 and parts.count() > 50
+    join = lambda df: {t: np.concatenate([r.samples for r in sorted(rs, key=lambda r: r.first_sample)]) for t in names if (rs := df.where((F.col("trial_id") == t) & F.col("error").isNull()).collect())}
+    a, b = join(whole), join(parts)
+    assert set(a) == set(b) == {"cd", "same", "low", "cut"} and all(np.abs(a[t] - b[t]).max() < 1e-12 for t in a) and [len(a[t]) for t in ("cd", "same", "low", "cut")] == [16_000, 16_000, 16_000, 10_000]
+    frames = lambda df: [(r.trial_id, r.frame, r.end_time, round(r.rms, 12)) for r in runs.speech_frames(df, stages.KEYS, 30.0, -35.0).orderBy("trial_id", "frame").collect()]
+    assert frames(whole) == frames(parts) and len(frames(whole)) == 3 * 34 + 21
+    loud = lambda df: {r.trial_id: r.clipping_ratio for r in runs.clipping(df.where("error is null"), stages.KEYS, 0.9).collect()}
+    assert loud(whole) == loud(parts) and loud(whole)["same"] == pytest.approx(np.mean(np.abs(a["same"]) >= 0.9))
+    times = {r.trial_id: (r.end_time, r.error) for r in signals.wav_timelines(parts).collect()}
+    assert times["cd"] == (1.0, None) and times["cut"] == (0.625, None) and times["text"][1] == times["song"][1] == "not a RIFF WAVE file" and times["empty"][1] == "audio is empty" and "gone" not in times
+
+
 def box(kind, *parts, wide=False):
     body = b"".join(parts)
     return struct.pack(">I4sQ", 1, kind, len(body) + 16) + body if wide else struct.pack(">I4s", len(body) + 8, kind) + body
@@ -207,6 +241,11 @@ def test_broken_file_fails_its_trial_only(spark, tmp_path):
     s = stages.load(spark, build(CONFIG, base=str(tmp_path)))
     stages.perform(s, "preprocess")
     assert {r.trial_id: r.qc_status for r in s.tables["imu_qc"].collect()} == {"T01": "pass", "T02": "fail"}
+    path = tmp_path / "study/P001/S01/T01/imu.csv"
+    path.write_text(path.read_text().replace("pelvis_gyro_yaw", "other", 1))
+    odd = stages.load(spark, build(CONFIG, base=str(tmp_path)))
+    stages.perform(odd, "preprocess")
+    assert {r.trial_id: (r.qc_status, r.qc_notes) for r in odd.tables["imu_qc"].where("trial_id = 'T01'").collect()} == {"T01": ("warning", "mapped columns are absent: pelvis_gyro_yaw")}
     assert s.tables["imu"].select(F.count_distinct("trial_id")).first()[0] == 1
 
 
@@ -220,6 +259,8 @@ def test_failed_synchronization_stops_a_run(spark, tmp_path, capsys):
     run = made(tmp_path, synchronization={"offsets_seconds": {"audio": 0.0}})
     assert run(spark, "synchronize") == 1 and run(spark, "run-all") == 1
     assert "synchronize has failures" in capsys.readouterr().err
+    told = [json.loads(p.read_text()) for p in (tmp_path / "outputs/synchronization/participant_id=P001/session_id=S01/trial_id=T02/condition=dual_task").glob("part-*")]
+    assert [[x["target_modality"], x["qc_status"]] for x in told[0]] == [["audio", "warning"], ["footswitch", "fail"]] and len(told) == 1
     assert (tmp_path / "outputs/qc/synchronization").exists() and not (tmp_path / "outputs/features").exists()
 
 
