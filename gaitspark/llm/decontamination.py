@@ -115,6 +115,7 @@ def contained_items(
 
 
 def op8_contained_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it holds to 80 % or more."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -88,6 +88,7 @@ def rejoined(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_c
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of 20 code points or more that 3 documents or more hold."""
     out = drop_common_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

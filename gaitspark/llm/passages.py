@@ -22,7 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Scratch, materialize
 from .common import arrow_map, batch, pick, table, with_ids
 from .shingles import hashed_words, mixed, rolled
 
@@ -277,135 +277,137 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages(), id_col: str =
     Each document gives about 2 / (window + 1) seeds a word. Seeds are counted by partial aggregates and joined with
     their first holder; the matches of one pair of documents, bounded by their lengths, are chained together.
     """
-    kind = dict(docs.dtypes)[id_col]
-    slim = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows, seeds, places, turns = [], [], [], []
-                for i, h in enumerate(hashed_words(part.column(1).to_pylist())):
-                    seed, at = minimizers(h, how.kmer, how.window)
-                    rows.append(np.full(len(seed), i, np.int32))
-                    seeds.append(seed.view(np.int64))
-                    places.append(at.astype(np.int32))
-                    turns.append(occurrences(seed))
-                yield batch(doc=part.column(0).take(pa.array(np.concatenate(rows))), seed=pa.array(np.concatenate(seeds)), pos=pa.array(np.concatenate(places)), turn=pa.array(np.concatenate(turns)))
-
-    seeds = materialize(arrow_map(slim, sample, f"doc {kind}, seed long, pos int, turn int"), "seeds")
-    holders = seeds.groupBy("seed", "turn").agg(F.min("doc").alias("source"), F.max("doc").alias("hi"), F.min_by("pos", "doc").alias("source_pos"))
-    # a seed's later occurrences are in documents that have its first one, too
-    holders = materialize(holders.where("source <> hi or turn > 0"), "holders")
-    shared = holders.where("source <> hi").drop("hi")
-    matches = seeds.join(shared, ["seed", "turn"]).where("doc <> source").select("doc", "source", "pos", "source_pos")
-    # the first holders of later occurrences, with the first holder of the first one
-    firsts = shared.where("turn = 0").select("seed", F.col("source").alias("origin"), F.col("source_pos").alias("origin_pos"))
-    later = holders.where("turn > 0").join(firsts, "seed").where("origin <> source")
-    matches = materialize(matches.union(later.select("source", "origin", "source_pos", "origin_pos")), "matches")
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by pair; the last pair of a batch may go on in the next."""
-        rest: pa.Table | None = None
-
-        def run(t: pa.Table) -> pa.RecordBatch:
-            docs_, sources = t.column("doc").to_numpy(zero_copy_only=False), t.column("source").to_numpy(zero_copy_only=False)
-            p, q = t.column("pos").to_numpy(), t.column("source_pos").to_numpy()
-            # rows of one id repeat their matches: each counts once
-            new = np.concatenate(([True], (docs_[1:] != docs_[:-1]) | (sources[1:] != sources[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
-            if not new.all():
-                t, docs_, sources, p, q = t.filter(pa.array(new)), docs_[new], sources[new], p[new], q[new]
-            cuts = np.flatnonzero((docs_[1:] != docs_[:-1]) | (sources[1:] != sources[:-1])) + 1
-            at, parts = [], []
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs_)]):
-                ps, qs = p[x:y].tolist(), q[x:y].tolist()
-                for found in chains(ps, qs, how):
-                    at.append(x)
-                    parts.append(segments(ps, qs, found, how.kmer))
-            take = pa.array(at, pa.int64())
-            pick_ = lambda c: t.column(c).take(take).combine_chunks()
-            return batch(doc=pick_("doc"), source=pick_("source"), parts=pa.array([[v for s in x for v in s] for x in parts], pa.list_(pa.int32())))
-
-        for b in batches:
-            t = pa.table(b) if not isinstance(b, pa.RecordBatch) else pa.Table.from_batches([b])
-            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-            if not t.num_rows:
-                continue
-            docs_, sources = t.column("doc").to_numpy(zero_copy_only=False), t.column("source").to_numpy(zero_copy_only=False)
-            differs = np.flatnonzero((docs_ != docs_[-1]) | (sources != sources[-1]))
-            whole = int(differs[-1]) + 1 if len(differs) else 0
-            rest = t.slice(whole)
-            if whole:
-                yield run(t.slice(0, whole))
-        if rest is not None and rest.num_rows:
-            yield run(rest)
-
-    dealt = matches.repartition("doc", "source").sortWithinPartitions("doc", "source", "pos", "source_pos")
-    found = materialize(arrow_map(dealt, chain, f"doc {kind}, source {kind}, parts array<int>"), "chains")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                own = [h.astype(np.uint32).view(np.int32) for h in hashed_words(part.column(1).to_pylist())]
-                ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
-                yield batch(id=part.column(0), words=pa.ListArray.from_arrays(ends, np.concatenate(own)))
-
-    involved = materialize(found.select(F.col("doc")).union(found.select("source")).distinct(), "involved")
-    texts = arrow_map(with_ids(slim, involved, "doc").select("doc", "text"), words, f"id {kind}, words array<int>")
-    texts = materialize(texts, "passage-words")
-    # of rows with one id, the longest: texts of a repeated id would otherwise be joined with each other
-    if texts.groupBy("id").count().where("count > 1").limit(1).count():
-        texts = materialize(texts.groupBy("id").agg(F.max_by("words", F.struct(F.size("words"), F.xxhash64("words"))).alias("words")), "passage-words")
-    out = materialize(aligned(found, texts, kind, how), "passages")
-
-    # second round: whole windows that other first holders hold in parts
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ranges = [stretches(np.array(at), known or [], how) for at, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield batch(doc=b.column(0), ranges=pa.array(ranges, pa.list_(pa.int32())))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows, keys, places = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-                for i in range(part.num_rows):
-                    ranges = part.column(2)[i].values.to_numpy()
-                    own = rolled(mixed(part.column(1)[i].values.to_numpy().view(np.uint32).astype(np.uint64) + np.uint64(1)), how.min_words)
-                    at = np.concatenate([np.arange(x, min(y, len(own)), dtype=np.int32) for x, y in ranges.reshape(-1, 2)])
-                    rows.append(np.full(len(at), i, np.int32))
-                    keys.append(own[at].view(np.int64))
-                    places.append(at)
-                yield batch(doc=part.column(0).take(pa.array(np.concatenate(rows))), key=pa.array(np.concatenate(keys)), pos=pa.array(np.concatenate(places)))
-
-    exact = out.where("identity = 1").groupBy("doc").agg(F.collect_list(F.array("start", "end")).alias("known"))
-    places = matches.groupBy("doc").agg(F.collect_list("pos").alias("at")).join(exact, "doc", "left")
-    wanted = materialize(arrow_map(places.select("doc", "at", "known"), spans, f"doc {kind}, ranges array<int>").where("size(ranges) > 0"), "spans")
-    whole = with_ids(texts.withColumnRenamed("id", "doc"), wanted, "doc").select("doc", "words", "ranges")
-    whole = materialize(arrow_map(whole, windows, f"doc {kind}, key long, pos int"), "windows")
-    firsts = whole.groupBy("key").agg(F.min("doc").alias("source"), F.max("doc").alias("hi"), F.min(F.struct("doc", "pos"))["pos"].alias("source_pos"))
-    firsts = materialize(firsts.where("source <> hi").drop("hi"), "window-holders")  # a table, so that the join below may split a window of many documents
-    links = whole.join(firsts, "key").where("doc <> source").select("doc", "source", "pos", (F.col("pos") - F.col("source_pos")).alias("shift"))
-    # windows in a row of one diagonal are one stretch of equal words
-    turn = F.row_number().over(Window.partitionBy("doc", "source", "shift").orderBy("pos"))
-    runs = links.withColumn("run", F.col("pos") - turn).groupBy("doc", "source", "shift", "run").agg(F.min("pos").alias("p"), (F.max("pos") + how.min_words).alias("p_end"))
-    inside = out.select(F.col("doc").alias("d"), "start", "end")
-    runs = runs.join(inside, (F.col("doc") == F.col("d")) & (F.col("p") >= F.col("start")) & (F.col("p_end") <= F.col("end")), "left_anti")
-    more = runs.select("doc", "source", F.array("p", F.col("p") - F.col("shift"), F.col("p_end") - F.col("p")).cast("array<int>").alias("parts"))
-    out = out.union(aligned(materialize(more, "window-chains"), texts, kind, how))
-    return out.select(
-        F.col("doc").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("source").alias(f"source_{id_col}"),
-        F.col("s_start").alias("source_start_word"), F.col("s_end").alias("source_end_word"), "n_equal", "identity",
-    )
-
-
-def aligned(found: DataFrame, texts: DataFrame, kind: str, how: Passages) -> DataFrame:
+    with Scratch(docs.sparkSession) as keep:
+        kind = dict(docs.dtypes)[id_col]
+        slim = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+
+        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    rows, seeds, places, turns = [], [], [], []
+                    for i, h in enumerate(hashed_words(part.column(1).to_pylist())):
+                        seed, at = minimizers(h, how.kmer, how.window)
+                        rows.append(np.full(len(seed), i, np.int32))
+                        seeds.append(seed.view(np.int64))
+                        places.append(at.astype(np.int32))
+                        turns.append(occurrences(seed))
+                    yield batch(doc=part.column(0).take(pa.array(np.concatenate(rows))), seed=pa.array(np.concatenate(seeds)), pos=pa.array(np.concatenate(places)), turn=pa.array(np.concatenate(turns)))
+
+        seeds = keep(arrow_map(slim, sample, f"doc {kind}, seed long, pos int, turn int"), "seeds")
+        holders = seeds.groupBy("seed", "turn").agg(F.min("doc").alias("source"), F.max("doc").alias("hi"), F.min_by("pos", "doc").alias("source_pos"))
+        # a seed's later occurrences are in documents that have its first one, too
+        holders = keep(holders.where("source <> hi or turn > 0"), "holders")
+        shared = holders.where("source <> hi").drop("hi")
+        matches = seeds.join(shared, ["seed", "turn"]).where("doc <> source").select("doc", "source", "pos", "source_pos")
+        # the first holders of later occurrences, with the first holder of the first one
+        firsts = shared.where("turn = 0").select("seed", F.col("source").alias("origin"), F.col("source_pos").alias("origin_pos"))
+        later = holders.where("turn > 0").join(firsts, "seed").where("origin <> source")
+        matches = keep(matches.union(later.select("source", "origin", "source_pos", "origin_pos")), "matches")
+
+        def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come sorted by pair; the last pair of a batch may go on in the next."""
+            rest: pa.Table | None = None
+
+            def run(t: pa.Table) -> pa.RecordBatch:
+                docs_, sources = t.column("doc").to_numpy(zero_copy_only=False), t.column("source").to_numpy(zero_copy_only=False)
+                p, q = t.column("pos").to_numpy(), t.column("source_pos").to_numpy()
+                # rows of one id repeat their matches: each counts once
+                new = np.concatenate(([True], (docs_[1:] != docs_[:-1]) | (sources[1:] != sources[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+                if not new.all():
+                    t, docs_, sources, p, q = t.filter(pa.array(new)), docs_[new], sources[new], p[new], q[new]
+                cuts = np.flatnonzero((docs_[1:] != docs_[:-1]) | (sources[1:] != sources[:-1])) + 1
+                at, parts = [], []
+                for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs_)]):
+                    ps, qs = p[x:y].tolist(), q[x:y].tolist()
+                    for found in chains(ps, qs, how):
+                        at.append(x)
+                        parts.append(segments(ps, qs, found, how.kmer))
+                take = pa.array(at, pa.int64())
+                pick_ = lambda c: t.column(c).take(take).combine_chunks()
+                return batch(doc=pick_("doc"), source=pick_("source"), parts=pa.array([[v for s in x for v in s] for x in parts], pa.list_(pa.int32())))
+
+            for b in batches:
+                t = pa.table(b) if not isinstance(b, pa.RecordBatch) else pa.Table.from_batches([b])
+                t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+                if not t.num_rows:
+                    continue
+                docs_, sources = t.column("doc").to_numpy(zero_copy_only=False), t.column("source").to_numpy(zero_copy_only=False)
+                differs = np.flatnonzero((docs_ != docs_[-1]) | (sources != sources[-1]))
+                whole = int(differs[-1]) + 1 if len(differs) else 0
+                rest = t.slice(whole)
+                if whole:
+                    yield run(t.slice(0, whole))
+            if rest is not None and rest.num_rows:
+                yield run(rest)
+
+        dealt = matches.repartition("doc", "source").sortWithinPartitions("doc", "source", "pos", "source_pos")
+        found = keep(arrow_map(dealt, chain, f"doc {kind}, source {kind}, parts array<int>"), "chains")
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    own = [h.astype(np.uint32).view(np.int32) for h in hashed_words(part.column(1).to_pylist())]
+                    ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
+                    yield batch(id=part.column(0), words=pa.ListArray.from_arrays(ends, np.concatenate(own)))
+
+        involved = keep(found.select(F.col("doc")).union(found.select("source")).distinct(), "involved")
+        texts = arrow_map(with_ids(slim, involved, "doc").select("doc", "text"), words, f"id {kind}, words array<int>")
+        texts = keep(texts, "passage-words")
+        # of rows with one id, the longest: texts of a repeated id would otherwise be joined with each other
+        if texts.groupBy("id").count().where("count > 1").limit(1).count():
+            texts = keep(texts.groupBy("id").agg(F.max_by("words", F.struct(F.size("words"), F.xxhash64("words"))).alias("words")), "passage-words")
+        out = keep(aligned(found, texts, kind, how, keep), "passages")
+
+        # second round: whole windows that other first holders hold in parts
+        def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ranges = [stretches(np.array(at), known or [], how) for at, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                yield batch(doc=b.column(0), ranges=pa.array(ranges, pa.list_(pa.int32())))
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    rows, keys, places = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+                    for i in range(part.num_rows):
+                        ranges = part.column(2)[i].values.to_numpy()
+                        own = rolled(mixed(part.column(1)[i].values.to_numpy().view(np.uint32).astype(np.uint64) + np.uint64(1)), how.min_words)
+                        at = np.concatenate([np.arange(x, min(y, len(own)), dtype=np.int32) for x, y in ranges.reshape(-1, 2)])
+                        rows.append(np.full(len(at), i, np.int32))
+                        keys.append(own[at].view(np.int64))
+                        places.append(at)
+                    yield batch(doc=part.column(0).take(pa.array(np.concatenate(rows))), key=pa.array(np.concatenate(keys)), pos=pa.array(np.concatenate(places)))
+
+        exact = out.where("identity = 1").groupBy("doc").agg(F.collect_list(F.array("start", "end")).alias("known"))
+        places = matches.groupBy("doc").agg(F.collect_list("pos").alias("at")).join(exact, "doc", "left")
+        wanted = keep(arrow_map(places.select("doc", "at", "known"), spans, f"doc {kind}, ranges array<int>").where("size(ranges) > 0"), "spans")
+        whole = with_ids(texts.withColumnRenamed("id", "doc"), wanted, "doc").select("doc", "words", "ranges")
+        whole = keep(arrow_map(whole, windows, f"doc {kind}, key long, pos int"), "windows")
+        firsts = whole.groupBy("key").agg(F.min("doc").alias("source"), F.max("doc").alias("hi"), F.min(F.struct("doc", "pos"))["pos"].alias("source_pos"))
+        firsts = keep(firsts.where("source <> hi").drop("hi"), "window-holders")  # a table, so that the join below may split a window of many documents
+        links = whole.join(firsts, "key").where("doc <> source").select("doc", "source", "pos", (F.col("pos") - F.col("source_pos")).alias("shift"))
+        # windows in a row of one diagonal are one stretch of equal words
+        turn = F.row_number().over(Window.partitionBy("doc", "source", "shift").orderBy("pos"))
+        runs = links.withColumn("run", F.col("pos") - turn).groupBy("doc", "source", "shift", "run").agg(F.min("pos").alias("p"), (F.max("pos") + how.min_words).alias("p_end"))
+        inside = out.select(F.col("doc").alias("d"), "start", "end")
+        runs = runs.join(inside, (F.col("doc") == F.col("d")) & (F.col("p") >= F.col("start")) & (F.col("p_end") <= F.col("end")), "left_anti")
+        more = runs.select("doc", "source", F.array("p", F.col("p") - F.col("shift"), F.col("p_end") - F.col("p")).cast("array<int>").alias("parts"))
+        out = out.union(aligned(keep(more, "window-chains"), texts, kind, how, keep))
+        out = out.select(
+            F.col("doc").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("source").alias(f"source_{id_col}"),
+            F.col("s_start").alias("source_start_word"), F.col("s_end").alias("source_end_word"), "n_equal", "identity",
+        )
+        return materialize(out, "repeated-passages")
+
+
+def aligned(found: DataFrame, texts: DataFrame, kind: str, how: Passages, keep: Scratch) -> DataFrame:
     """(doc, start, end, source, s_start, s_end, n_equal, identity) of the chains (doc, source, parts) that align well enough.
     Chains whose alignment may go on beyond the words that were compared are compared with more, until none is left."""
     done, margin = None, how.margin
     while True:
-        tried = materialize(compared(found, texts, kind, how, margin), "alignments")
+        tried = keep(compared(found, texts, kind, how, margin), "alignments")
         whole = tried.where("not short").drop("short", "parts")
         done = whole if done is None else done.union(whole)
         found, margin = tried.where("short").select("doc", "source", "parts"), margin * 8
@@ -451,4 +453,5 @@ def compared(found: DataFrame, texts: DataFrame, kind: str, how: Passages, margi
 
 
 def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: passages of 50 words or more that an earlier one holds, at 0.8 of equal words or more."""
     return repeated_passages(table(spark, sf_dir, "documents"))

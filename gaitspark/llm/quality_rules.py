@@ -127,6 +127,7 @@ def keep_by_coverage(docs: DataFrame, rules: RepetitionRules = RepetitionRules()
 
 
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: counts, what fails at once, and the verdict of repetition coverage."""
     found = repetition_coverage(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *COLUMNS, "base_failed", "kept")
 

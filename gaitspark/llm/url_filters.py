@@ -82,4 +82,5 @@ def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RUL
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by the five rules; others are allowed."""
     return judge(table(spark, sf_dir, "pages"), rules_table(spark))
