@@ -27,6 +27,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that pass all stages; each stage works on the table that the one before it left.
+
+    Null and empty texts fail the quality rules and go. Rows with a null id are documents of their own, in no group of
+    copies; rows that repeat an id and a text stay together. Columns that aren't read are carried to the last stage,
+    whatever their names; an empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
