@@ -49,7 +49,7 @@ def parsed(rows: DataFrame, columns: str, parse: Callable[[bytes], pd.DataFrame]
                     out = parse(bytes(row.content))
                     out = out.reindex(columns=names).assign(ordinal=np.arange(len(out)), error=None)
                 except (ValueError, KeyError, UnicodeError) as e:
-                    out = pd.DataFrame({"ordinal": [-1], "error": [str(e)]}).reindex(columns=["ordinal", *names, "error"])
+                    out = pd.DataFrame([dict.fromkeys(names) | {"ordinal": -1, "error": str(e)}], dtype=object)
                 yield out.assign(**keys)[[*TRIAL_KEYS, "ordinal", *names, "error"]]
 
     return rows.mapInPandas(run, ", ".join(f"{k} string" for k in TRIAL_KEYS) + f", ordinal long, {columns}, error string")

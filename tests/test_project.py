@@ -245,7 +245,8 @@ def test_broken_file_fails_its_trial_only(spark, tmp_path):
     path.write_text(path.read_text().replace("pelvis_gyro_yaw", "other", 1))
     odd = stages.load(spark, build(CONFIG, base=str(tmp_path)))
     stages.perform(odd, "preprocess")
-    assert {r.trial_id: (r.qc_status, r.qc_notes) for r in odd.tables["imu_qc"].where("trial_id = 'T01'").collect()} == {"T01": ("warning", "mapped columns are absent: pelvis_gyro_yaw")}
+    told = odd.tables["imu_qc"].where("trial_id = 'T01'").first()
+    assert told.qc_status == "warning" and "mapped columns are absent: pelvis_gyro_yaw" in told.qc_notes
     assert s.tables["imu"].select(F.count_distinct("trial_id")).first()[0] == 1
 
 
