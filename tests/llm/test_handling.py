@@ -90,7 +90,7 @@ def test_benchmark_items_with_odd_columns(spark):
 def test_shards_of_repeated_rows_and_ties(spark):
     """Rows that repeat, ids that tie, one value in every dimension: all are placed, sizes are near equal, slots have no gaps."""
     rows = [(i % 40 if i % 7 else None, "same text" if i % 3 else f"text {i % 50}", 5) for i in range(600)] + [(1, "same text", 5)] * 200
-    docs = spark.createDataFrame(rows, "doc_id long, text string, d int").withColumn("D", F.lit(1)).repartition(5)
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, d int, D int").repartition(5)
     for shards in (3, 50):
         got = sharding.kd_shards(docs, ["d"], shards=shards).collect()
         assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(t) + 1) for d, t, _ in rows)
@@ -99,7 +99,7 @@ def test_shards_of_repeated_rows_and_ties(spark):
             slots.setdefault(r.shard, []).append(r.slot)
         assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
     sizes = Counter()
-    for r in sharding.kd_shards(docs.dropDuplicates(["doc_id", "text"]).where("doc_id is not null"), ["d"], shards=4).collect():
+    for r in sharding.kd_shards(docs.dropDuplicates(["doc_id", "text"]), ["d"], shards=4).collect():
         sizes[r.shard] += r.size
     assert max(sizes.values()) - min(sizes.values()) <= 0.25 * sum(sizes.values()) / 4
 
