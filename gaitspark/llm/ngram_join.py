@@ -7,8 +7,8 @@ with many classes is split into several groups. The token-group matrix has a row
 first n - ceil(t n) + 1) with the sizes that the group has there and the room that is left after the shingle.
 
 A query class meets a group through the matrix only. Its overlap with the group's union is then bounded: first by the
-sizes, the room, how often they meet and the group's largest counts of shingles by hash range, then by the group's stored
-union of all its members' shingles, as marks of 16 bits. Only groups that qualify are opened, and only then their members are compared with the query one by one.
+sizes, the room and the group's largest counts of shingles by hash range, then by the group's stored union of all its
+members' shingles, as marks of 16 bits. Only groups that qualify are opened, and only then their members are compared with the query one by one.
 
 What is wanted are the components of the links. So in the first round only the leaders of families are queries and meet
 the groups of their family, and in the second all classes meet one leader of each component: many near copies take a
@@ -197,18 +197,9 @@ def partitioned(open_tokens: DataFrame, step: int, keep: Scratch) -> DataFrame:
     return keep(members.select("rep", "comp", "n", "leader", F.when(wanted, grp).alias("grp")), "groups")
 
 
-def rest(n: Column, percent: int) -> Column:
-    """Shingles of a set of n that aren't among its first ones."""
-    return F.call_function("div", n * percent + 99, F.lit(100).cast("long")) - 1
-
-
 def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int, smaller: bool, keep: Scratch) -> DataFrame:
     """(x, c_x, n_x, g): queries and groups that meet in the matrix with enough room for a member that isn't smaller than the
-    query, or for any member.
-
-    How often they meet is a bound, too: of two sets, the one whose first shingles end earlier shares of these only what the
-    other's first ones hold, so the overlap is at most the meetings and the larger of the two sets' remaining shingles.
-    Shingles that two components share are all open, so none of a pair's meetings is missing."""
+    query, or for any member."""
     placed = open_tokens.select("token", "rep", "room").join(members.drop("leader"), "rep")
     placed = keep(placed.withColumn("class", size_class(F.col("n"))), "placed")
     matrix = placed.where("grp is not null").groupBy("token", "class", F.col("grp").alias("g")).agg(
@@ -219,13 +210,10 @@ def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int,
     reach = F.explode(F.sequence(size_class(F.col("n") * percent / 100) if smaller else F.col("class"), size_class(F.col("n") * 100 / percent)))
     queries = placed.select("token", reach.alias("class"), "rep", "comp", "n", "room")
     # of a similar pair, all that is shared follows its first shared shingle: some shingle of the pair passes this
-    least = F.col("g_lo") if smaller else F.greatest("n", "g_lo")
-    room = leaves_room(F.least("room", "g_room"), F.col("n"), least, percent)
-    maybe = queries.join(matrix, ["token", "class"]).where((F.col("comp") != F.col("g_comp")) & fits("g_hi", "n", percent) & fits("n", "g_lo", percent))
+    room = leaves_room(F.least("room", "g_room"), F.col("n"), F.col("g_lo") if smaller else F.greatest("n", "g_lo"), percent)
+    maybe = queries.join(matrix, ["token", "class"]).where((F.col("comp") != F.col("g_comp")) & fits("g_hi", "n", percent) & fits("n", "g_lo", percent) & room)
     maybe = maybe if smaller else maybe.where("g_hi >= n")
-    met = maybe.groupBy("rep", "comp", "n", "g").agg(F.count("*").alias("met"), F.max(room).alias("roomy"), F.min(least).alias("least"), F.max(F.greatest(rest(F.col("n"), percent), rest(F.col("g_hi"), percent))).alias("rest"))
-    enough = F.col("roomy") & leaves_room(F.col("met") + F.col("rest"), F.col("n"), F.col("least"), percent)
-    return met.where(enough).select(F.col("rep").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_x"), "g")
+    return maybe.select(F.col("rep").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_x"), "g").distinct()
 
 
 def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classes: DataFrame, size: int, percent: int, step: int, keep: Scratch) -> DataFrame:
