@@ -24,14 +24,14 @@ def test_pipeline(spark):
 
 
 def test_awkward_rows(spark, tmp_path):
-    """Nulls, repeated rows and ids, clashing columns, a benchmark item, near copies and an empty table, through all stages."""
+    """Nulls, repeated rows and ids, a column named as one of the stages' own, a benchmark item, near copies and an empty table, through all stages."""
     rng = random.Random(12)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     item, base = fresh(12), fresh(80)
     near, held = [*base[:-1], "other"], [*fresh(60), *item]
     texts = [(1, " ".join(base)), (1, " ".join(base)), (2, " ".join(near)), (3, " ".join(held)), (None, " ".join(fresh(40))), (None, None), (4, ""), (5, None), (6, "too few"), (7, " ".join(fresh(50_000))), (8, " ".join(fresh(30))), (8, " ".join(fresh(31)))]
     rows = [(*r, "en", "s", len(r[1] or ""), "x") for r in texts]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, Text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string")
     for name, some in (("full", docs), ("none", docs.limit(0))):
         some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(9, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
