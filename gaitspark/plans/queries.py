@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import alignment, events, features, fusion, kernels, modeling, runs, series, windows
+from ..session import materialize
 from ..sources import manifest as manifests
 from ..sources.signals import video_metadata
 
@@ -280,7 +281,7 @@ def probe_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fused_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("condition"))
-    scoped = lambda df: df.withColumn("feature_level", F.lit("trial")).join(trials, "id")
+    scoped = lambda df: df.withColumn("feature_level", F.lit("trial")).join(trials.hint("merge"), "id")
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum("o_totalprice").alias("imu__total"), F.count("*").alias("imu__orders"))
     clicks = signal(spark, sf_dir).groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("audio__mean_value"))
     clinical = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("clinical__balance"), F.lit(1).alias("availability__clinical"))
@@ -390,9 +391,11 @@ def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def baseline(spark: SparkSession, sf_dir: str, model: str, task: str) -> DataFrame:
     """Grouped cross-validation on the fused customers, of which nations are the groups, over both cohorts."""
-    fused = fused_tables(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("participant_id")), "id")
+    fused = fused_tables(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("participant_id")).hint("merge"), "id")
     target = fused.withColumn("clinical__target", F.col("clinical__balance") if task == "regression" else (F.col("clinical__balance") > 5000).cast("int")).drop("clinical__balance")
     how = modeling.Baseline(task_type=task, folds=3, models=(model,), positive=1 if task == "classification" else None)
+    # a table: both cohorts read it, and several times
+    target = materialize(target, "fused")
     found = modeling.evaluate(target, {"imu_audio": ("imu", "audio")}, how, ["id"])
     return found["predictions"].select("id", "cohort", "fold", "y_true", F.round("y_pred", 3).alias("y_pred"), F.round("y_score", 4).alias("y_score"))
 
