@@ -48,12 +48,15 @@ def clinical_table(tables: Sequence[DataFrame], key: str = "participant_id") ->
 
 
 def fuse(trials: DataFrame, tables: dict[str, DataFrame], keys: Keys, clinical: DataFrame | None = None, key: str = "participant_id") -> DataFrame:
-    """Trials with the features of every modality, LEFT from the manifest's trials; flags are 1 where a modality is there."""
+    """Trials with the features of every modality, LEFT from the manifest's trials; flags are 1 where a modality is there.
+
+    All sides grow with the trials, so they meet by sort-merge joins: a broadcast would pass each of them through the driver.
+    """
     out = require_unique(trials.select(*keys), keys, "manifest")
     for modality, table in tables.items():
-        out = out.join(trial_features(table, modality, keys), list(keys), "left").fillna(0, [f"availability__{modality}"])
+        out = out.join(trial_features(table, modality, keys).hint("merge"), list(keys), "left").fillna(0, [f"availability__{modality}"])
     if clinical is not None:
-        out = out.join(clinical, key, "left").fillna(0, ["availability__clinical"])
+        out = out.join(clinical.hint("merge"), key, "left").fillna(0, ["availability__clinical"])
     return out.select(*keys, *[c for c in out.columns if c not in keys])
 
 
