@@ -26,6 +26,8 @@ from .ranks import average_ranks
 SHARES = 100
 
 
+#: Rows of a piece of the table that models are fitted on, at most.
+PIECE = 100_000
 #: Values of one column that are collected and sorted, when a search for its median has come down to so few.
 FEW = 4096
 #: Of an approximate percentile: its error is at most one part in so many.
@@ -167,7 +169,7 @@ def regression_metrics(df: DataFrame, by: Sequence[str] = (), true: str = "y_tru
     ranked = both
     for x in ("_t", "_p"):
         ranks = average_ranks(both, x, by, F.col("_k"), name=f"_r{x}").select(*by, x, f"_r{x}")
-        ranked = ranked.join(ranks, [*by, x])
+        ranked = ranked.join(ranks.hint("merge"), [*by, x])
     centred = beside(ranked, sums.select(*by, ((F.col("_n") + 1) / 2).alias("_middle")), by)
     a, b, k = F.col("_r_t") - F.col("_middle"), F.col("_r_p") - F.col("_middle"), F.col("_k")
     products = centred.groupBy(*by).agg(F.sum(k * a * b).alias("_cov"), F.sqrt(F.sum(k * a * a)).alias("_st"), F.sqrt(F.sum(k * b * b)).alias("_sp"))
@@ -290,7 +292,9 @@ def evaluate(frame: DataFrame, feature_sets: dict[str, Sequence[str]], how: Base
             with Scratch(spark) as keep:
                 data = keep(data.withColumn("_y", label), "cohort")
                 placed = group_folds(data, how.group, k, "_y" if how.task_type == "classification" else None, how.seed)
-                folded = keep(data.join(placed, how.group), "folded")
+                # a piece a core at least: models take more time than their few columns' bytes would say
+                pieces = max(spark.sparkContext.defaultParallelism, -(-n // PIECE))
+                folded = keep(data.join(placed, how.group).repartition(pieces), "folded")
                 audit = split_audit(folded, how.group, k).collect()
                 if any(r["group_overlap_count"] for r in audit):
                     raise RuntimeError("a participant group is in two folds")
