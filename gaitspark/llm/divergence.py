@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from .common import arrow_map, batch, pick, slices, table
 #: Bytes of a term (ASCII letters lower-cased, and all of other scripts); the others separate terms.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Distinct (language, source, term) that a task counts before it hands them on.
-HELD = 200_000
+HELD = 400_000
 UNIT = 1_000_000_000
 
 
@@ -33,18 +34,23 @@ def term_counts(docs: DataFrame) -> DataFrame:
         held: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
         def flush() -> pa.RecordBatch:
-            rows = [(g, t, n, seen[t]) for g, (all_, seen) in held.items() for t, n in all_.items()]
-            rows += [(g, b"", 0, 0) for g in held]
+            terms, n, docs, sizes = [], [], [], []
+            for all_, seen in held.values():
+                terms += [b"", *all_]
+                n += [0, *all_.values()]
+                docs += [0, *map(seen.__getitem__, all_)]
+                sizes.append(len(all_) + 1)
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            lang, source = (pa.array(names, pa.string()).take(at) for names in zip(*held))
             held.clear()
-            lang, source = ([r[0][k] for r in rows] for k in (0, 1))
-            return batch(lang=pa.array(lang, pa.string()), source=pa.array(source, pa.string()), term=pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), n=pa.array([r[2] for r in rows], pa.int64()), docs=pa.array([r[3] for r in rows], pa.int64()))
+            return batch(lang=lang, source=source, term=pa.array(terms, pa.binary()).cast(pa.string()), n=pa.array(n, pa.int64()), docs=pa.array(docs, pa.int64()))
 
         for part in slices(batches, 2, most_rows=1 << 14):
             for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
-                own = Counter(text.translate(TERM_BYTES).split())
+                own = text.translate(TERM_BYTES).split()
                 all_, seen = held[lang, source]
                 all_.update(own)
-                seen.update(own.keys())
+                seen.update(set(own))
             if sum(len(seen) for _, seen in held.values()) > HELD:
                 yield flush()
         if held:
@@ -53,6 +59,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, count, "lang string, source string, term string, n long, docs long")
 
 
+def whole_counts(partial: DataFrame) -> DataFrame:
+    """The sums of term_counts. Rows are dealt first: tasks have summed what they can, so that partial sums before the
+    shuffle would take time and save no rows."""
+    key = ("lang", "source", "term")
+    return partial.repartition(*key).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(UNIT * (count + 2) / (total + 2 * kept)), exact for counts of any size."""
     big = lambda c: c.cast("decimal(20,0)")
@@ -107,7 +120,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, lang_col: str = "l
     known = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
     with Scratch(docs.sparkSession) as keep:
         partial = term_counts(pick(docs, lang_col, source_col, text_col).select(*known))
-        counts = keep(partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
+        counts = keep(whole_counts(partial), "term-counts")
         kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
         cells = keep(counts.join(kept.drop("docs"), ["lang", "term"]).select("lang", "source", "term", "n", "in_lang"), "cells")
         langs = kept.groupBy("lang").agg(F.sum("in_lang").alias("lang_total"), F.count("*").alias("kept"))

@@ -171,3 +171,13 @@ def test_reply_trees(spark):
 def test_gains_are_exact():
     raw, target = np.array([0, 5, 10**9]), np.array([0, 0, 7])
     assert list(target_resampling.bucket_gains(raw, target)) == [math.floor(1000 * math.log((t + 1) * (10**9 + 8) / ((s + 1) * 10))) for s, t in ((0, 0), (5, 0), (10**9, 7))]
+
+
+def test_terms_are_summed_in_tasks(spark):
+    """A task hands on a term of a group once where they are few, and no partial sums are made again before they are dealt."""
+    docs = spark.createDataFrame([("en", "a", f"one two two w{chr(97 + i // 26)}{chr(97 + i % 26)} é") for i in range(300)] + [("en", "b", "")], "lang string, source string, text string").coalesce(1)
+    rows = {(r.lang, r.source, r.term): (r.n, r.docs) for r in divergence.term_counts(docs).collect()}
+    assert rows[("en", "a", "two")] == (600, 300) and rows[("en", "a", "é")] == (300, 300) and rows[("en", "b", "")] == (0, 0) == rows[("en", "a", "")]
+    assert len(rows) == 305 == divergence.term_counts(docs).count()
+    plan = divergence.whole_counts(divergence.term_counts(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") > plan.rindex("HashAggregate")
