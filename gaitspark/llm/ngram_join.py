@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Scratch, ensure_importable, materialize
+from ..session import Scratch, ensure_importable, materialize, sweep
 from .common import arrow_map, batch, pick, table, with_ids
 from .graph import components
 from .shingles import distinct, shingle_sets
@@ -194,7 +194,9 @@ def partitioned(open_tokens: DataFrame, step: int, keep: Scratch) -> DataFrame:
     grp = F.xxhash64("family", F.pmod(F.xxhash64("rep"), parts))
     members = own.join(keep(sizes, "family-sizes"), "family")
     wanted = [F.col("rep") != F.col("leader"), (F.col("rep") == F.col("leader")) & (F.col("size") > 1), F.lit(True)][step]
-    return keep(members.select("rep", "comp", "n", "leader", F.when(wanted, grp).alias("grp")), "groups")
+    groups = keep(members.select("rep", "comp", "n", "leader", F.when(wanted, grp).alias("grp")), "groups")
+    keep.drop("families", "family-sizes")
+    return groups
 
 
 def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int, smaller: bool, keep: Scratch) -> DataFrame:
@@ -232,6 +234,7 @@ def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classe
     other = (F.col("c_x") != F.col("g_comp_lo")) | (F.col("c_x") != F.col("g_comp_hi"))
     sized = maybe.join(keep(sizes, "group-sizes"), "g").where(other & fits("n_x", "g_lo", percent) & fits("g_hi", "n_x", percent))
     sized = keep(sized.select("x", "c_x", "n_x", "g", (F.greatest("g_lo", "n_x") if last else F.col("g_lo")).alias("least")), "sized")
+    keep.drop("bridges", "open-tokens", "placed", "matrix", "group-sizes")
     # the largest counts by hash range of the groups' members
     bands = classes.select(F.col("rep").alias("y"), "bands")
     listed = keep(inside.join(sized.select("g").distinct(), "g", "left_semi").select("y", "g"), "sized-members")
@@ -240,7 +243,9 @@ def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classe
     of_queries = with_ids(bands.toDF("x", "b_x"), keep(sized.select("x").distinct(), "queries"), "x")
     bounded = sized.join(of_queries, "x").join(of_groups, "g").where(leaves_room(common_room(F.col("b_x"), F.col("b_g")), F.col("n_x"), F.col("least"), percent))
     bounded = keep(bounded.select("x", "c_x", "n_x", "g", "least"), "bounded")
+    keep.drop("sized", "sized-members", "group-bands", "queries")
     inside = keep(inside.join(bounded.select("g").distinct(), "g", "left_semi"), "candidate-members")
+    keep.drop("groups")
     # the groups' stored unions, as marks: n - size(marks) shingles of the query may hide behind another's mark
     named = keep(with_sig(bounded.select("x").union(inside.select("y")), classes).withColumnRenamed("rep", "id"), "wanted-marks")
     marks = keep(with_ids(seen.select("id", "marks", F.col("sig").alias("own")), named, "id").where(F.col("own") == F.col("sig")).groupBy(F.col("id").alias("rep")).agg(F.first("marks").alias("m")), "marks")
@@ -248,10 +253,13 @@ def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classe
     asked = bounded.join(marks.select(F.col("rep").alias("x"), "m"), "x").join(keep(unions, "unions"), "g")
     most = (F.size(F.array_intersect("m", "u")) + F.col("n_x") - F.size("m")).cast("long")
     opened = keep(asked.where(leaves_room(most, F.col("n_x"), F.col("least"), percent)).select("x", "c_x", "n_x", "g"), "opened")
+    keep.drop("bounded", "wanted-marks", "marks", "unions")
+    sweep(docs.sparkSession)
     pairs = opened.join(inside, "g").where((F.col("c_x") != F.col("c_y")) & fits("n_x", "n_y", percent) & fits("n_y", "n_x", percent))
     if last:
         pairs = pairs.where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
     pairs = keep(possible(pairs.select("x", "y"), classes, percent), "opened-pairs")
+    keep.drop("opened", "candidate-members")
     sets = sets_of(docs, with_sig(pairs.select("x").union(pairs.select("y")), classes), size, keep)
     return similar(pairs, sets, percent)
 
@@ -267,10 +275,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     kind = dict(docs.dtypes)[id_col]
     slim = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = profiles(slim, kind, size, percent)
-    classes = materialize(seen.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bands").alias("bands")), "classes")
-    tokens = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("rep", "n", "token", (F.col("n") - F.col("pos")).alias("room"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    tokens = materialize(tokens.join(materialize(shared, "shared-tokens"), "token"), "tokens")
+    with Scratch(docs.sparkSession) as keep:
+        whole = seen.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bands").alias("bands"))
+        whole = keep(whole, "whole-classes")
+        sweep(docs.sparkSession)
+        # the first shingles are needed for the tokens only
+        classes = materialize(whole.drop("prefix"), "classes")
+        tokens = whole.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("rep", "n", "token", (F.col("n") - F.col("pos")).alias("room"))
+        shared = keep(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "shared-tokens")
+        sweep(docs.sparkSession)
+        tokens = materialize(tokens.join(shared, "token"), "tokens")
+    sweep(docs.sparkSession)
     reps = tokens.select("rep").distinct()
     comp = materialize(reps.select("rep", F.col("rep").alias("comp")), "components")
     for step in range(ROUNDS):
@@ -279,6 +294,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
             links = keep(group_links(open_tokens, slim, seen, classes, size, percent, step, keep), "similar")
             if not links.isEmpty():
                 comp = merged(comp, links)
+        sweep(docs.sparkSession)
     # a table, so that the join may split a component with most classes
     least = materialize(comp.groupBy("comp").agg(F.min("rep").alias("least")), "component-ids")
     known = classes.select("sig", "rep").join(comp, "rep", "left").join(least, "comp", "left").select("sig", F.coalesce("least", "rep").alias("component"))

@@ -49,6 +49,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps: Spark removes them when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Materialises tables that are only needed until the block ends, and then removes them:
 
@@ -66,6 +71,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Removes tables of these names before the block ends; nothing may read them again."""
+        for path in [p for p in self.paths if p.rpartition("/")[2].rpartition("-")[0] in names]:
+            remove(self.spark, path)
+            self.paths.remove(path)
+
     def __enter__(self) -> Scratch:
         return self
 
