@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +72,8 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
-    """(id, n, sig, prefix, bands, marks) for each row: the set's size and digest, its first shingles from rare to common, its
-    counts by hash range, and the distinct marks of its shingles."""
+    """(id, n, sig, prefix, bands) for each row: the set's size and digest, its first shingles from rare to common, and its
+    counts by hash range."""
     spark = docs.sparkSession
     ensure_importable(spark)
     common = spark.sparkContext.broadcast(frequencies(docs, size).astype(np.int32))
@@ -83,30 +83,33 @@ def profiles(docs: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 sets = shingle_sets(part.column(1).to_pylist(), size)
-                first, marks, bands = [], [np.empty(0, np.int16)], np.zeros((len(sets), BANDS), np.int32)
+                first, bands = [], np.zeros((len(sets), BANDS), np.int32)
                 for i, s in enumerate(sets):
                     bands[i] = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BANDS)
                     take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     rank = common.value[(s & np.uint64(RANGES - 1)).astype(np.int64)]
                     first.append(s[np.argsort(rank, kind="stable")[:take]].view(np.int64))
-                    marks.append(distinct((s >> np.uint64(64 - 7 - MARK_BITS)).astype(np.uint16)).view(np.int16))
                 ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
-                mark_ends = np.cumsum(list(map(len, marks)), dtype=np.int32)
                 yield batch(
                     id=part.column(0),
                     n=pa.array([len(s) for s in sets], pa.int64()),
                     sig=pa.array([signature(s) for s in sets], pa.binary()),
                     prefix=pa.ListArray.from_arrays(ends, np.concatenate(first)),
                     bands=pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, bands.reshape(-1)),
-                    marks=pa.ListArray.from_arrays(mark_ends, np.concatenate(marks)),
                 )
 
-    return materialize(arrow_map(docs, profile, f"id {kind}, n long, sig binary, prefix array<long>, bands array<int>, marks array<smallint>"), "profiles")
+    return arrow_map(docs, profile, f"id {kind}, n long, sig binary, prefix array<long>, bands array<int>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int, keep: Scratch) -> DataFrame:
-    """(rep, n, s): the whole shingle sets of the wanted classes (rep, sig)."""
-    kind = docs.schema["id"].dataType.simpleString()
+def marks_of(shingles: np.ndarray) -> np.ndarray:
+    """The distinct marks of a set's shingles."""
+    return distinct((shingles >> np.uint64(64 - 7 - MARK_BITS)).astype(np.uint16)).view(np.int16)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int, name: str, keep: Scratch, of: Callable[[np.ndarray], np.ndarray] = lambda s: s.view(np.int64), kind_of: str = "long") -> DataFrame:
+    """(rep, n, s): the whole shingle sets of the wanted classes (rep, sig, one row each), or what `of` makes of them. Other
+    columns of `wanted` are carried. Sets are built from the texts when they are wanted: a table of all is larger than the texts."""
+    kind, carried = docs.schema["id"].dataType.simpleString(), wanted.drop("rep", "sig").columns
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,15 +117,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, keep: Scratch) -> Dat
                 part = b.slice(lo, 256)
                 sets = shingle_sets(part.column(1).to_pylist(), size)
                 right = [i for i, (s, sig) in enumerate(zip(sets, part.column(2).to_pylist())) if signature(s) == sig]
-                flat = [sets[i].view(np.int64) for i in right]
+                at, flat = pa.array(right, pa.int32()), [of(sets[i]) for i in right]
                 ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
-                yield batch(rep=part.column(0).take(pa.array(right, pa.int32())), n=pa.array(list(map(len, flat)), pa.int64()), s=pa.ListArray.from_arrays(ends, np.concatenate(flat) if flat else np.array([], np.int64)))
+                yield batch(
+                    rep=part.column(0).take(at),
+                    n=pa.array([len(sets[i]) for i in right], pa.int64()),
+                    s=pa.ListArray.from_arrays(ends, np.concatenate([of(np.empty(0, np.uint64)), *flat])),
+                    **{c: part.column(3 + k).take(at) for k, c in enumerate(carried)},
+                )
 
-    wanted = keep(wanted.select(F.col("rep").alias("id"), "sig").distinct(), "wanted-sets")
-    chosen = with_ids(docs, wanted, "id").select("id", "text", "sig")
-    sets = keep(arrow_map(chosen, build, f"rep {kind}, n long, s array<long>"), "shingle-sets")
+    wanted = keep(wanted.withColumnRenamed("rep", "id"), f"wanted-{name}")
+    chosen = with_ids(docs, wanted, "id").select("id", "text", "sig", *carried)
+    schema = [f"rep {kind}, n long, s array<{kind_of}>", *[f"{c} {wanted.schema[c].dataType.simpleString()}" for c in carried]]
+    sets = keep(arrow_map(chosen, build, ", ".join(schema)), name)
     # rows that repeat an id and text give its set again: one each, for sets are joined in pairs
-    return sets if sets.count() == wanted.count() else keep(sets.dropDuplicates(["rep"]), "distinct-sets")
+    return sets if sets.count() == wanted.count() else keep(sets.dropDuplicates(["rep"]), f"distinct-{name}")
 
 
 def fits(a: str, b: str, percent: int):
@@ -145,10 +154,12 @@ def common_room(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y).cast("long")
 
 
-def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def possible(pairs: DataFrame, classes: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     """Those of the pairs (x, y) whose sizes and counts by hash range leave room for the overlap."""
+    paired = keep(pairs.select("x").union(pairs.select("y")).toDF("rep").distinct(), "paired")
+    own = with_ids(classes.select("rep", "n", "bands"), paired, "rep")
     for k in ("x", "y"):
-        pairs = pairs.join(classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bands").alias(f"b_{k}")), k)
+        pairs = pairs.join(own.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bands").alias(f"b_{k}")), k)
     return pairs.where(reaches(common_room(F.col("b_x"), F.col("b_y")), "n_x", "n_y", percent)).select("x", "y")
 
 
@@ -165,10 +176,13 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def bridging(tokens: DataFrame, comp: DataFrame, keep: Scratch) -> DataFrame:
     """tokens with their classes' components, without those whose classes are all in one component."""
-    placed = tokens.join(comp, "rep")
-    several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where(F.col("lo") != F.col("hi"))
+    # a table, for it is read twice
+    placed = keep(tokens.join(comp, "rep"), "tokens-in-components")
+    several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
     # a table, so that the join may split a shingle that most classes share
-    return placed.join(keep(several.select("token", "df"), "bridges"), "token")
+    open_tokens = keep(placed.join(keep(several.select("token"), "bridges"), "token"), "open-tokens")
+    keep.drop("tokens-in-components", "bridges")
+    return open_tokens
 
 
 def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,7 +232,7 @@ def matrix_candidates(open_tokens: DataFrame, members: DataFrame, percent: int,
     return maybe.select(F.col("rep").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_x"), "g").distinct()
 
 
-def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classes: DataFrame, size: int, percent: int, step: int, keep: Scratch) -> DataFrame:
+def group_links(open_tokens: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, step: int, keep: Scratch) -> DataFrame:
     """Links (x, y) between components that the groups give. In the first round queries are the families' leaders, which meet
     the groups of their family; then all classes, which meet the groups that the matrix names, in the last round only
     members that aren't smaller, for each pair is to be compared once."""
@@ -234,7 +248,8 @@ def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classe
     other = (F.col("c_x") != F.col("g_comp_lo")) | (F.col("c_x") != F.col("g_comp_hi"))
     sized = maybe.join(keep(sizes, "group-sizes"), "g").where(other & fits("n_x", "g_lo", percent) & fits("g_hi", "n_x", percent))
     sized = keep(sized.select("x", "c_x", "n_x", "g", (F.greatest("g_lo", "n_x") if last else F.col("g_lo")).alias("least")), "sized")
-    keep.drop("bridges", "open-tokens", "placed", "matrix", "group-sizes")
+    keep.drop("open-tokens", "placed", "matrix", "group-sizes")
+    sweep(docs.sparkSession)
     # the largest counts by hash range of the groups' members
     bands = classes.select(F.col("rep").alias("y"), "bands")
     listed = keep(inside.join(sized.select("g").distinct(), "g", "left_semi").select("y", "g"), "sized-members")
@@ -246,21 +261,26 @@ def group_links(open_tokens: DataFrame, docs: DataFrame, seen: DataFrame, classe
     keep.drop("sized", "sized-members", "group-bands", "queries")
     inside = keep(inside.join(bounded.select("g").distinct(), "g", "left_semi"), "candidate-members")
     keep.drop("groups")
-    # the groups' stored unions, as marks: n - size(marks) shingles of the query may hide behind another's mark
-    named = keep(with_sig(bounded.select("x").union(inside.select("y")), classes).withColumnRenamed("rep", "id"), "wanted-marks")
-    marks = keep(with_ids(seen.select("id", "marks", F.col("sig").alias("own")), named, "id").where(F.col("own") == F.col("sig")).groupBy(F.col("id").alias("rep")).agg(F.first("marks").alias("m")), "marks")
-    unions = inside.join(marks.select(F.col("rep").alias("y"), "m"), "y").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("u"))
-    asked = bounded.join(marks.select(F.col("rep").alias("x"), "m"), "x").join(keep(unions, "unions"), "g")
+    # the groups' stored unions, as marks: n - size(marks) shingles of the query may hide behind another's mark. A class is in
+    # one group at most, so its marks come with the group's name and move once
+    named = bounded.select(F.col("x").alias("rep"), F.lit(None).cast("long").alias("g"), F.lit(True).alias("asks")).union(inside.select("y", "g", F.lit(False)))
+    named = named.groupBy("rep").agg(F.max("g").alias("g"), F.max("asks").alias("asks")).join(classes.select("rep", "sig"), "rep")
+    marks = sets_of(docs, named, size, "marks", keep, marks_of, "smallint")
+    unions = keep(marks.where("g is not null").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u")), "unions")
+    sweep(docs.sparkSession)
+    asked = bounded.join(marks.where("asks").select(F.col("rep").alias("x"), F.col("s").alias("m")), "x").join(unions, "g")
     most = (F.size(F.array_intersect("m", "u")) + F.col("n_x") - F.size("m")).cast("long")
     opened = keep(asked.where(leaves_room(most, F.col("n_x"), F.col("least"), percent)).select("x", "c_x", "n_x", "g"), "opened")
-    keep.drop("bounded", "wanted-marks", "marks", "unions")
+    keep.drop("bounded", "wanted-marks", "marks", "distinct-marks", "unions")
     sweep(docs.sparkSession)
     pairs = opened.join(inside, "g").where((F.col("c_x") != F.col("c_y")) & fits("n_x", "n_y", percent) & fits("n_y", "n_x", percent))
     if last:
         pairs = pairs.where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
-    pairs = keep(possible(pairs.select("x", "y"), classes, percent), "opened-pairs")
+    sized_pairs = keep(pairs.select("x", "y"), "sized-pairs")
     keep.drop("opened", "candidate-members")
-    sets = sets_of(docs, with_sig(pairs.select("x").union(pairs.select("y")), classes), size, keep)
+    pairs = keep(possible(sized_pairs, classes, percent, keep), "opened-pairs")
+    keep.drop("sized-pairs", "paired")
+    sets = sets_of(docs, with_sig(pairs.select("x").union(pairs.select("y")), classes), size, "shingle-sets", keep)
     return similar(pairs, sets, percent)
 
 
@@ -274,15 +294,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     """
     kind = dict(docs.dtypes)[id_col]
     slim = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seen = profiles(slim, kind, size, percent)
     with Scratch(docs.sparkSession) as keep:
-        whole = seen.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bands").alias("bands"))
+        made = keep(profiles(slim, kind, size, percent), "profiles")
+        whole = made.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bands").alias("bands"))
         whole = keep(whole, "whole-classes")
+        seen = materialize(made.select("id", "n", "sig"), "seen")
+        keep.drop("profiles")
         sweep(docs.sparkSession)
         # the first shingles are needed for the tokens only
         classes = materialize(whole.drop("prefix"), "classes")
         tokens = whole.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("rep", "n", "token", (F.col("n") - F.col("pos")).alias("room"))
-        shared = keep(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "shared-tokens")
+        shared = keep(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
         sweep(docs.sparkSession)
         tokens = materialize(tokens.join(shared, "token"), "tokens")
     sweep(docs.sparkSession)
@@ -290,8 +312,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     comp = materialize(reps.select("rep", F.col("rep").alias("comp")), "components")
     for step in range(ROUNDS):
         with Scratch(docs.sparkSession) as keep:
-            open_tokens = keep(bridging(tokens, comp, keep), "open-tokens")
-            links = keep(group_links(open_tokens, slim, seen, classes, size, percent, step, keep), "similar")
+            # at first each class is a component, and all tokens are shared by several
+            open_tokens = bridging(tokens, comp, keep) if step else tokens.withColumn("comp", F.col("rep"))
+            links = keep(group_links(open_tokens, slim, classes, size, percent, step, keep), "similar")
             if not links.isEmpty():
                 comp = merged(comp, links)
         sweep(docs.sparkSession)

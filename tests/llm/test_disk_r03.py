@@ -27,3 +27,29 @@ def test_tables_go_early(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5}
     assert not set().union(*at_end) & {"matrix", "placed", "open-tokens", "marks", "unions", "group-bands", "groups"}
     assert "prefix" not in dict(made)["classes"]
+
+
+def test_tables_of_all_rows_are_narrow(spark, monkeypatch):
+    """What stays for all rounds has no list that grows with a text: marks are made for the classes that a round asks for
+    only, and the first round takes the shared tokens as they are."""
+    stays, passing = {}, []
+
+    class Watched(Scratch):
+        def __call__(self, df, name):
+            out = super().__call__(df, name)
+            passing.append((name, out.count()))
+            return out
+
+    monkeypatch.setattr(ngram_join, "Scratch", Watched)
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: stays.update({name: df.dtypes}) or materialize(df, name))
+    texts = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(100)]
+    # near copies of each of the first ten, one of them twice, and the same id with another text
+    rows = list(enumerate(texts)) + [(1000 + 10 * j + k, f"{t} end{j}") for j in range(2) for k, t in enumerate(texts[:10])]
+    docs = spark.createDataFrame(rows + [rows[-1], (5000, texts[50]), (5000, texts[9] + " last")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs, 3, 90).collect())
+    near = [(1000 + 10 * j + k, k) for j in range(2) for k in range(10)]
+    assert got == [*((k, k) for k in range(100)), *near, (1019, 9), (5000, 9), (5000, 50)]
+    assert {n for cols in stays.values() for n, kind in cols if kind.startswith("array")} == {"bands"}
+    asked = [n for name, n in passing if name == "wanted-marks"]
+    assert asked and 0 < max(asked) <= 31
+    assert sum(name == "bridges" for name, _ in passing) == ngram_join.ROUNDS - 1
